@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import mix_sources
+from .quality import quality_verdicts
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +15,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), alpha=0.5, epochs=1.0, seed=17)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document; the label model is fitted on all of them."""
+    judged = quality_verdicts(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op9_quality": op9_quality,
 }
 
 SQL = {
