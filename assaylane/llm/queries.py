@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .language import fit_languages, identify, remainder
 from .mixing import mix_sources
 from .quality import quality_verdicts
 
@@ -15,6 +16,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), alpha=0.5, epochs=1.0, seed=17)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from the four fifths that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(remainder(F.col("doc_id"), 5) != 0))
+    found = identify(docs, model)
+    return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "mixture")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document; the label model is fitted on all of them."""
     judged = quality_verdicts(table(spark, sf_dir, "documents"))
@@ -23,6 +32,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_language": op3_language,
     "op9_quality": op9_quality,
 }
 
