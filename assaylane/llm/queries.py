@@ -9,6 +9,7 @@ from .common import table
 from .language import fit_languages, identify, remainder
 from .mixing import mix_sources
 from .quality import quality_verdicts
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,15 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "mixture")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    mine = remainder(F.col("doc_id"), 4) != 2
+    model = fit_toxicity(docs.where(mine), labels.where(mine))
+    scored = score_toxicity(docs, model, threshold=0.3)
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document; the label model is fitted on all of them."""
     judged = quality_verdicts(table(spark, sf_dir, "documents"))
@@ -33,6 +43,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_language": op3_language,
+    "op4_toxicity": op4_toxicity,
     "op9_quality": op9_quality,
 }
 
