@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .bpe import decode, encode
 from .common import table
 from .language import fit_languages, identify, remainder
 from .mixing import mix_sources
@@ -34,6 +41,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+@F.pandas_udf(T.StringType())
+def ids_digest(ids: pd.Series) -> pd.Series:
+    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
+    return ids.map(lambda x: hashlib.sha256(np.asarray(x, dtype="<u4").tobytes()).hexdigest())
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the vocabulary for many languages, and decoded again."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).drop("text")
+    decoded = decode(encoded, ranks, pattern)
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document; the label model is fitted on all of them."""
     judged = quality_verdicts(table(spark, sf_dir, "documents"))
@@ -44,6 +65,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
+    "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
 }
 
