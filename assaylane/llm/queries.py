@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from .bpe import decode, encode
 from .common import table
+from .html import main_text
 from .language import fit_languages, identify, remainder
 from .mixing import mix_sources
 from .quality import quality_verdicts
@@ -61,12 +62,18 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
+    "op10_html": op10_html,
 }
 
 SQL = {
