@@ -17,6 +17,7 @@ from .html import main_text
 from .language import fit_languages, identify, remainder
 from .mixing import mix_sources
 from .quality import quality_verdicts
+from .simhash import simhash_components
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -42,6 +43,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash_components(table(spark, sf_dir, "documents"), width=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @F.pandas_udf(T.StringType())
 def ids_digest(ids: pd.Series) -> pd.Series:
     """SHA-256 of ids as little-endian unsigned 32-bit integers."""
@@ -71,6 +78,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
+    "op6_simhash": op6_simhash,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_html": op10_html,
