@@ -15,6 +15,7 @@ from .bpe import decode, encode
 from .common import table
 from .html import main_text
 from .language import fit_languages, identify, remainder
+from .lines import drop_duplicate_lines
 from .mixing import mix_sources
 from .quality import quality_verdicts
 from .simhash import simhash_components
@@ -49,6 +50,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier one."""
+    kept = drop_duplicate_lines(table(spark, sf_dir, "documents"), threshold=0.8, min_chars=40)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @F.pandas_udf(T.StringType())
 def ids_digest(ids: pd.Series) -> pd.Series:
     """SHA-256 of ids as little-endian unsigned 32-bit integers."""
@@ -79,6 +86,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
     "op6_simhash": op6_simhash,
+    "op7_lines": op7_lines,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_html": op10_html,
