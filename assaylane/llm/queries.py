@@ -18,6 +18,7 @@ from .language import fit_languages, identify, remainder
 from .lines import drop_duplicate_lines
 from .mixing import mix_sources
 from .quality import quality_verdicts
+from .search import search
 from .simhash import simhash_components
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -44,6 +45,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose doc_id is divisible by 50, its whole text being the query."""
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, docs.where(F.col("doc_id") % 50 == 0), k=10)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash_components(table(spark, sf_dir, "documents"), width=3, radius=2)
@@ -85,6 +92,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
+    "op5_search": op5_search,
     "op6_simhash": op6_simhash,
     "op7_lines": op7_lines,
     "op8_bpe": op8_bpe,
@@ -93,6 +101,20 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_search": """
+WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+len AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+total AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM terms) AS words),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id,
+    round(sum(q.tf * ln(1 + (docs - df + 0.5) / (df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * n / (words / docs)))), 6) AS score
+  FROM tf q JOIN tf d ON q.term = d.term JOIN df ON df.term = q.term JOIN len ON len.doc_id = d.doc_id, total
+  WHERE q.doc_id % 50 = 0 GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10
+""",
     "op1_mixing": """
 WITH sizes AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS size FROM documents GROUP BY source),
 total AS (SELECT sum(size) AS t, sum(CASE WHEN size > 0 THEN sqrt(size) END) AS w FROM sizes),
