@@ -20,6 +20,7 @@ from .mixing import mix_sources
 from .quality import quality_verdicts
 from .search import search
 from .simhash import simhash_components
+from .substring import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -28,6 +29,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), alpha=0.5, epochs=1.0, seed=17)
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 50 words that an earlier document has."""
+    kept = remove_repeats(table(spark, sf_dir, "documents"), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from the four fifths that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -90,6 +97,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_substring": op2_substring,
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
     "op5_search": op5_search,
