@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -14,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Distinct words whose tokens a Python worker keeps; the rest are merged anew.
-KEPT_WORDS = 200_000
+#: Distinct words whose tokens a Python worker keeps (some 200 bytes each); the rest are merged anew.
+KEPT_WORDS = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -24,85 +26,107 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
 
 
-def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The tokens of one word: again and again the leftmost pair of least rank becomes one piece.
+def merge_table(ranks: dict[bytes, int]) -> dict[int, int]:
+    """What two neighbouring tokens merge into, for every way to cut a piece into two pieces: ``left << 32 | right`` to token."""
+    table = {}
+    for piece, rank in ranks.items():
+        for i in range(1, len(piece)):
+            left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if left is not None and right is not None:
+                table[left << 32 | right] = rank
+    return table
 
-    The list of pair ranks is kept beside the pieces, so that a merge looks up only its two new
-    pairs.
+
+#: Above every rank: two tokens that don't merge.
+NONE = 1 << 40
+#: A word of more bytes than this is merged with a heap: the list takes quadratic time.
+LONG_WORD = 500
+
+
+def merge_word(ids: list[int], merged: dict[int, int]) -> list[int]:
+    """The tokens of a word from those of its bytes: again and again the leftmost pair of least rank becomes one token.
+
+    The pairs' ranks are kept beside the tokens, so that a merge looks up only its two new pairs.
     """
-    whole = ranks.get(word)
-    if whole is not None:
-        return [whole]
-    pieces = [word[i : i + 1] for i in range(len(word))]
-    none = len(ranks) + (1 << 40)
-    pairs = [ranks.get(a + b, none) for a, b in zip(pieces, pieces[1:], strict=False)]
+    get = merged.get
+    pairs = [get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
     while pairs:
         least = min(pairs)
-        if least == none:
+        if least == NONE:
             break
         i = pairs.index(least)
-        pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
-        del pairs[i]
+        ids[i] = least
+        del ids[i + 1], pairs[i]
         if i < len(pairs):
-            pairs[i] = ranks.get(pieces[i] + pieces[i + 1], none)
+            pairs[i] = get(least << 32 | ids[i + 1], NONE)
         if i:
-            pairs[i - 1] = ranks.get(pieces[i - 1] + pieces[i], none)
-    return [ranks[p] for p in pieces]
-
+            pairs[i - 1] = get(ids[i - 1] << 32 | least, NONE)
+    return ids
 
-#: A word longer than this is merged with a heap: the list above takes quadratic time.
-LONG_WORD = 500
 
-
-def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """As :func:`merge_word`, in n log n: a heap of pairs over a linked list of pieces."""
-    n = len(word)
-    whole = ranks.get(word)
-    if whole is not None:
-        return [whole]
-    piece: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+def merge_long(ids: list[int], merged: dict[int, int]) -> list[int]:
+    """As :func:`merge_word`, in n log n: a heap of pairs over a linked list of tokens."""
+    n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, i + 1, 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heap = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := merged.get(ids[i] << 32 | ids[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, j, size = heapq.heappop(heap)
-        if piece[i] is None or j >= n or piece[j] is None or after[i] != j or len(piece[i]) + len(piece[j]) != size:
+        rank, i, left, right = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] != left or j >= n or ids[j] != right:
             continue
-        piece[i], piece[j] = piece[i] + piece[j], None
+        ids[i], ids[j] = rank, -1
         after[i] = after[j]
         if after[j] < n:
             before[after[j]] = i
         for a, b in ((before[i], i), (i, after[i])):
-            if a >= 0 and b < n and (r := ranks.get(piece[a] + piece[b])) is not None:
-                heapq.heappush(heap, (r, a, b, len(piece[a]) + len(piece[b])))
-    return [ranks[p] for p in piece if p is not None]
+            if a >= 0 and b < n and (r := merged.get(ids[a] << 32 | ids[b])) is not None:
+                heapq.heappush(heap, (r, a, ids[a], ids[b]))
+    return [x for x in ids if x >= 0]
 
 
 class Encoder:
-    """Splits texts by a pattern and merges each distinct word of them once, within the memory of KEPT_WORDS words."""
+    """Splits texts by a pattern and merges each distinct word of them once, within the memory of KEPT_WORDS words.
+
+    Token ids are held as bytes of little-endian 32-bit integers, so a text's ids are its words' bytes joined.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-        self.pieces = {rank: piece for piece, rank in ranks.items()}
-
-    def word(self, word: str) -> list[int]:
+        self.merged = merge_table(ranks)
+        self.single = [ranks[bytes([i])] for i in range(256)]
+        self.known: dict[str, bytes] = {}
+        pieces = [b""] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
+            pieces[rank] = piece
+        self.bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        self.length = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        self.start = self.length.cumsum() - self.length
+
+    def word(self, word: str) -> bytes:
+        """The ids of one word; it is kept if there is room."""
         encoded = word.encode("utf-8", "replace")
-        return merge_word(encoded, self.ranks) if len(encoded) <= LONG_WORD else merge_long(encoded, self.ranks)
-
-    def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for word in self.find(text):
-            tokens = known.get(word)
-            if tokens is None:
-                tokens = self.word(word)
-                if len(known) < KEPT_WORDS:
-                    known[word] = tokens
-            out += tokens
-        return out
-
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+        whole = self.ranks.get(encoded)
+        if whole is not None:
+            ids = [whole]
+        else:
+            ids = (merge_word if len(encoded) <= LONG_WORD else merge_long)([self.single[b] for b in encoded], self.merged)
+        found = array("I", ids).tobytes()
+        if len(self.known) < KEPT_WORDS:
+            self.known[word] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        known, word = self.known.get, self.word
+        return b"".join([known(w) or word(w) for w in self.find(text)])
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that the ids stand for; an id that the ranks lack is an error."""
+        length = self.length[ids]
+        if not length.all():
+            raise ValueError("an id without a piece")
+        ends = length.cumsum()
+        return self.bytes[np.repeat(self.start[ids] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 @lru_cache(maxsize=4)
@@ -134,7 +158,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [encoder.encode(t or "") for t in part.column(kept.index(text)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], [*kept, ids])
+                offsets = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
+                values = np.frombuffer(b"".join(found), dtype="<i4")
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, values)], [*kept, ids])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
@@ -153,7 +179,8 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, *, ids: str = "ids
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [encoder.decode(x or ()) for x in part.column(kept.index(ids)).to_pylist()]
+                column = part.column(kept.index(ids))
+                found = [encoder.decode(np.asarray(x.values, dtype=np.int64) if x.is_valid else np.zeros(0, np.int64)).tobytes() for x in column]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*kept, decoded])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(decoded, T.BinaryType())]))
