@@ -154,17 +154,21 @@ def fit_label_model(votes: DataFrame, names: list[str], *, share: float = 0.5, s
     return LabelModel(share, dict(zip(names, accuracy, strict=True)))
 
 
-def judge(statistics: DataFrame, rules: list[Rule] | None = None, *, threshold: float = 0.5, min_words: int = 50, model: LabelModel | None = None) -> DataFrame:
+def _voted(statistics: DataFrame, rules: list[Rule], min_words: int) -> DataFrame:
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return statistics.withColumn("base_failed", failed).withColumns({r.name: r.vote() for r in rules})
+
+
+def judge(statistics: DataFrame, rules: list[Rule] | None = None, *, threshold: float = 0.5, min_words: int = 50) -> DataFrame:
     """``statistics`` with base_failed, the votes, quality (posterior probability) and kept.
 
     base_failed: fewer than ``min_words`` words, or over half the words in repeated windows.
-    The label model is fitted on all rows that pass the base, unless one is given.
+    The label model is fitted on all rows that pass the base. ``statistics`` is read twice, so it should be written.
     """
     rules = default_rules() if rules is None else rules
     names = [r.name for r in rules]
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    voted = statistics.withColumn("base_failed", failed).withColumns({r.name: r.vote() for r in rules})
-    model = fit_label_model(voted.where(~F.col("base_failed")), names) if model is None else model
+    voted = _voted(statistics, rules, min_words)
+    model = fit_label_model(voted.where(~F.col("base_failed")).select(*names), names)
     return voted.withColumn("quality", model.posterior()).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
@@ -188,14 +192,11 @@ def quality_verdicts(docs: DataFrame, **options) -> DataFrame:
 def keep_quality(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns.
 
-    The model is fitted in a first pass; the second recomputes the statistics beside the
-    whole rows, which costs less than shuffling all texts for a join.
+    Rows and statistics are written once to the shared folder and read twice, for the model and
+    for the verdict: a filter over unwritten statistics would be pushed below them and compute them anew, and
+    joining verdicts to documents would shuffle all texts.
     """
-    rules = options.pop("rules", None) or default_rules()
-    base = text_statistics(docs.select(F.col("text")), "text")
-    failed = (F.col("n_words") < options.get("min_words", 50)) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    votes = base.where(~failed).select(*[r.vote() for r in rules])
-    model = fit_label_model(votes, [r.name for r in rules])
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    kept = judge(text_statistics(inner), rules, model=model, **options).where("kept")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    measured = cut(text_statistics(docs.select(row, F.col("text"))).select("_row", *STATISTICS))
+    kept = judge(measured, **options).where("kept")
     return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -76,12 +76,18 @@ def ids_digest(ids: pd.Series) -> pd.Series:
     return ids.map(lambda x: hashlib.sha256(np.asarray(x, dtype="<u4").tobytes()).hexdigest())
 
 
-def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document encoded by the vocabulary for many languages, and decoded again."""
+def encode_public(docs: DataFrame) -> DataFrame:
+    """``docs`` with ids, n_tokens, the decoded bytes, and whether these are the text's, by the public vocabulary for many languages."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).drop("text")
-    decoded = decode(encoded, ranks, pattern)
-    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    decoded = decode(encode(docs, ranks, pattern), ranks, pattern)
+    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return decoded.withColumns({"n_tokens": F.size("ids").cast("bigint"), "decodes": same})
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    found = encode_public(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_tokens", ids_digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
