@@ -10,11 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .grams import chunks, code_points, lower_letters, mix64
 
 #: Hashed n-grams: fixes the size of all that the driver gathers.
 BUCKETS = 1 << 19
 SIZES = (3, 4, 5)
+#: Bytes of labels up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Letters of a typical text, and the steps in which values are added up (whole numbers add up alike in any order).
 TYPICAL = 2000
 STEPS = 1000
@@ -77,8 +80,8 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(self.bias + np.bincount(owner, self.weight[buckets] * value, minlength=len(texts)))))
 
 
-def log_count_ratios(total: np.ndarray, squares: np.ndarray, rows: np.ndarray, *, min_ratio: float, min_z: float) -> np.ndarray:
-    """log of the mean value of a bucket in toxic texts over that in other texts; zero where it is small or may be chance.
+def log_count_ratios(total: np.ndarray, squares: np.ndarray, rows: np.ndarray, *, min_ratio: float, min_z: float, most: int) -> np.ndarray:
+    """log of the mean value of a bucket in toxic texts over that in other texts; zero where it is small or may be chance, and for all but the ``most`` surest.
 
     ``total[class, bucket]`` and ``squares`` sum values and their squares over ``rows[class]`` texts; class 1 is toxic.
     """
@@ -87,7 +90,9 @@ def log_count_ratios(total: np.ndarray, squares: np.ndarray, rows: np.ndarray, *
     spread = np.maximum(squares / n - mean**2, 0) / n + 1 / n**2
     ratio = np.log((total[1] + 1) / (n[1] + 2)) - np.log((total[0] + 1) / (n[0] + 2))
     sure = np.abs(mean[1] - mean[0]) / np.sqrt(spread.sum(axis=0))
-    return np.where((np.abs(ratio) >= min_ratio) & (sure >= min_z), ratio, 0.0)
+    sure = np.where((np.abs(ratio) >= min_ratio) & (sure >= min_z), sure, 0.0)
+    least = np.partition(sure, len(sure) - most)[len(sure) - most]
+    return np.where((sure > 0) & (sure >= least), ratio, 0.0)
 
 
 def logistic(owner: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, n_features: int, *, l2: float, rounds: int) -> tuple[np.ndarray, float]:
@@ -107,12 +112,14 @@ def logistic(owner: np.ndarray, feature: np.ndarray, value: np.ndarray, label: n
     return w, b
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_fit_rows: int = 20_000, min_ratio: float = 0.25, min_z: float = 4.0, l2: float = 1e-4, rounds: int = 400) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_fit_rows: int = 10_000, max_features: int = 8192, min_ratio: float = 0.25, min_z: float = 4.0, l2: float = 1e-4, rounds: int = 400) -> ToxicityModel:
     """Learns from the rows of ``docs`` that have a ``labels.toxic``; of several labels of a doc_id the largest counts.
 
     The log-count ratios use every labelled text: tasks count in arrays of BUCKETS numbers, and Spark adds them.
     The linear classifier is then fitted on the driver to about ``max_fit_rows`` labelled texts
-    at most (a hash of doc_id picks them), of which only the buckets with a ratio come.
+    at most (a hash of doc_id picks them), of which only the buckets with a ratio come; of these
+    the ``max_features`` surest. Labels are broadcast to the documents if their counted size is within
+    BROADCAST_BYTES; above, both are shuffled by doc_id.
     Without labels of both kinds the model gives every text the share of toxic labels (one half if there are none).
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -132,7 +139,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_fit_rows: int = 20_0
         yield pd.DataFrame({"bucket": at.astype("int32"), "total": total[at], "squares": squares[at]})
         yield pd.DataFrame({"bucket": np.array([-2, -1], "int32"), "total": rows, "squares": 0})
 
-    labelled = texts.join(known, F.col("_id") == F.col("doc_id")).select("text", "toxic")
+    known = cut(known)
+    labels_side = F.broadcast(known) if known.count() * 16 <= BROADCAST_BYTES else known
+    labelled = texts.join(labels_side, F.col("_id") == F.col("doc_id")).select("text", "toxic")
     counts = labelled.mapInPandas(count, "bucket int, total long, squares long").groupBy("bucket").agg(F.sum("total").alias("total"), F.sum("squares").alias("squares")).toPandas().sort_values("bucket")
     n_neg, n_pos = (int(counts.loc[counts["bucket"] == k, "total"].sum()) for k in (-2, -1))
     weight = np.zeros(BUCKETS)
@@ -141,7 +150,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_fit_rows: int = 20_0
     counts = counts[counts["bucket"] >= 0]
     total, squares = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
     total[counts["bucket"]], squares[counts["bucket"]] = counts["total"] / STEPS, counts["squares"] / STEPS**2
-    ratio = log_count_ratios(total.reshape(2, -1), squares.reshape(2, -1), np.array([n_neg, n_pos]), min_ratio=min_ratio, min_z=min_z)
+    ratio = log_count_ratios(total.reshape(2, -1), squares.reshape(2, -1), np.array([n_neg, n_pos]), min_ratio=min_ratio, min_z=min_z, most=max_features)
     shared = docs.sparkSession.sparkContext.broadcast(ratio != 0)
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,14 +160,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_fit_rows: int = 20_0
             yield pd.DataFrame({"toxic": piece["toxic"], "buckets": [x.tolist() for x in np.split(buckets, cuts)], "vals": [x.tolist() for x in np.split(value, cuts)]})
 
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, max_fit_rows / (n_pos + n_neg)))))
-    sample = texts.join(chosen, F.col("_id") == F.col("doc_id")).select("text", "toxic").mapInPandas(pick, "toxic int, buckets array<int>, vals array<float>").toPandas()
-    if sample.empty:
+    sample = texts.join(F.broadcast(cut(chosen)), F.col("_id") == F.col("doc_id")).select("text", "toxic").mapInPandas(pick, "toxic int, buckets array<int>, vals array<float>").toArrow()
+    if not sample.num_rows:
         return ToxicityModel(weight, float(np.log((n_pos + 1) / (n_neg + 1))))
-    owner = np.repeat(np.arange(len(sample)), sample["buckets"].map(len))
-    buckets = np.concatenate([np.asarray(x, dtype=np.int64) for x in sample["buckets"]])
-    value = np.concatenate([np.asarray(x, dtype=np.float64) for x in sample["vals"]])
+    lists = sample.column("buckets").combine_chunks()
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    buckets = lists.flatten().to_numpy().astype(np.int64)
+    value = sample.column("vals").combine_chunks().flatten().to_numpy().astype(np.float64)
+    label = (sample.column("toxic").to_numpy() > 0).astype(float)
     names, feature = np.unique(buckets, return_inverse=True)
-    w, bias = logistic(owner, feature, ratio[names][feature] * value, (sample["toxic"].to_numpy() > 0).astype(float), len(names), l2=l2, rounds=rounds)
+    w, bias = logistic(owner, feature, ratio[names][feature] * value, label, len(names), l2=l2, rounds=rounds)
     weight[names] = w * ratio[names]
     return ToxicityModel(weight, bias)
 
