@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import curation, models, relations, sequence, statistics  # noqa: F401  each registers its queries
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
