@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import anchor9, one_hot
+from .stats import correlation
 
 
 def prepare(df: DataFrame, keys: Sequence[str], value: str, censored: str, order: Sequence) -> DataFrame:
@@ -78,4 +79,4 @@ def out_of_fold(df: DataFrame, fold: str, target: str, folds: Sequence[int], *,
 def fold_metrics(predicted: DataFrame, target: str, by: Sequence[str]) -> DataFrame:
     """n, RMSE of model and baseline, and correlation of prediction and target."""
     square = lambda p: F.sqrt(F.avg(F.pow(F.col(p) - F.col(target), F.lit(2.0))))
-    return predicted.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), square("predicted").alias("rmse"), square("baseline").alias("rmse_baseline"), F.corr("predicted", target).alias("r"))
+    return predicted.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), square("predicted").alias("rmse"), square("baseline").alias("rmse_baseline"), correlation("predicted", target).alias("r"))

@@ -28,8 +28,13 @@ def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = (), *, min_n: int
     return _correlated(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, y, by, "r", min_n)
 
 
+def correlation(x: str, y: str) -> Column:
+    """The correlation of two columns as an aggregate; NULL where one is constant, for which ``corr`` raises an error."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _correlated(df: DataFrame, x: str, y: str, by: Sequence[str], name: str, min_n: int) -> DataFrame:
-    found = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y)).alias(name))
+    found = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(x, y).alias(name))
     return found.where(F.col("n") >= min_n).select(*by, "n", name)
 
 

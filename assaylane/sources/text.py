@@ -51,7 +51,7 @@ def read_csv(spark: SparkSession, path: str, *, header_rows: Sequence[int] = (0,
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no (from 1) and line of every line of the files."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("_i", "line")).select("path", (F.col("_i") + 1).alias("line_no"), "line")
 
 
@@ -97,7 +97,7 @@ def write_fasta(df: DataFrame, name: str, sequence: str, path: str, partition_by
 
 def scan_logs(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """allele_dir, peptide (from the path) and the first capture of the pattern in each log; a repeated key is an error."""
-    logs = spark.read.option("wholetext", True).text(path)
+    logs = spark.read.text(path, wholetext=True)
     where = F.col("_metadata.file_path")
     found = logs.select(path_part(where, 2).alias("allele_dir"), path_part(where, 1).alias("peptide"), F.regexp_extract("value", pattern, 1).alias("template")).where("template <> ''")
     if not found.groupBy("allele_dir", "peptide").count().where("count > 1").isEmpty():
