@@ -14,13 +14,13 @@ from .grams import chunks, code_points, mix64
 
 K1, B = 1.2, 0.75
 #: Documents of a block, whose maxima bound what a query can score in it.
-BLOCK_DOCS = 1024
+BLOCK_DOCS = 4096
 #: Queries scored at once against a block.
-QUERY_ROWS = 2048
+QUERY_ROWS = 512
 #: Terms of the queries that are broadcast at once, about; more queries make more rounds.
 ROUND_TERMS = 4_000_000
 #: Terms in a larger share of a block's documents are multiplied as dense rows, the others by their postings.
-DENSE_SHARE = 0.1
+DENSE_SHARE = 0.04
 #: Places that scores are rounded to before they are ranked; ties go to the smaller doc_id.
 PLACES = 6
 
@@ -95,13 +95,13 @@ class Block:
         """Offers to ``best`` all documents of queries whose bound in this block reaches their k-th score."""
         if not len(self.terms):
             return
-        place = np.searchsorted(self.terms, queries.term)
-        place[place == len(self.terms)] = 0
-        pairs = np.flatnonzero(self.terms[place] == queries.term)
+        places = np.full(len(queries.vocabulary), -1, dtype=np.int32)
+        places[self.terms] = np.arange(len(self.terms))
+        place = places[queries.term]
+        pairs = np.flatnonzero(place >= 0)
         place, row, weight = place[pairs], queries.row[pairs], queries.weight[pairs]
         bound = np.bincount(row, weight * self.most[place], minlength=len(queries.ids))
-        alive = bound + 10.0**-PLACES >= best.least()
-        alive &= bound > 0
+        alive = (bound + 10.0**-PLACES >= best.least()) & (bound > 0)
         dense_terms = np.flatnonzero(self.count > DENSE_SHARE * len(self.ids))
         dense_place = np.full(len(self.terms), -1)
         dense_place[dense_terms] = np.arange(len(dense_terms))
@@ -109,21 +109,34 @@ class Block:
         for i, t in enumerate(dense_terms.tolist()):
             at = slice(self.start[t], self.start[t] + self.count[t])
             rows_of_dense[i, self.doc[at]] = self.impact[at]
-        chosen = np.flatnonzero(alive)
-        for at in range(0, len(chosen), QUERY_ROWS):
-            mine = chosen[at : at + QUERY_ROWS]
-            local = np.full(len(queries.ids), -1)
-            local[mine] = np.arange(len(mine))
-            keep = np.flatnonzero(local[row] >= 0)
-            r, p, w = local[row[keep]], place[keep], weight[keep]
+        cuts = np.searchsorted(row, np.arange(0, len(queries.ids) + QUERY_ROWS, QUERY_ROWS))
+        for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            mine = i * QUERY_ROWS + np.flatnonzero(alive[i * QUERY_ROWS : (i + 1) * QUERY_ROWS])
+            if not len(mine):
+                continue
+            local = np.full(QUERY_ROWS, -1)
+            local[mine - i * QUERY_ROWS] = np.arange(len(mine))
+            r, p, w = local[row[lo:hi] - i * QUERY_ROWS], place[lo:hi], weight[lo:hi]
+            kept = r >= 0
+            r, p, w = r[kept], p[kept], w[kept]
             in_dense = dense_place[p] >= 0
             by_term = np.zeros((len(mine), len(dense_terms)))
             by_term[r[in_dense], dense_place[p[in_dense]]] = w[in_dense]
             r, p, w = r[~in_dense], p[~in_dense], w[~in_dense]
             n = self.count[p]
             posting = np.repeat(self.start[p] - n.cumsum() + n, n) + np.arange(n.sum())
-            sparse = np.bincount(np.repeat(r, n) * len(self.ids) + self.doc[posting], np.repeat(w, n) * self.impact[posting], minlength=len(mine) * len(self.ids))
-            best.offer(mine, self.ids, by_term @ rows_of_dense + sparse.reshape(len(mine), -1))
+            sparse = np.bincount(np.repeat(r, n) * len(self.ids) + self.doc[posting], np.repeat(w, n) * self.impact[posting], minlength=len(mine) * len(self.ids)).reshape(len(mine), -1)
+            scores = by_term @ rows_of_dense
+            scores += sparse
+            least = best.least()[mine] - 10.0**-PLACES
+            hit = np.flatnonzero(scores.max(axis=1) >= least)
+            if not len(hit):
+                continue
+            near = scores[hit]
+            n_best = min(best.k, len(self.ids))
+            edge = np.partition(near, -n_best, axis=1)[:, -n_best] - 10.0**-PLACES
+            r, c = np.nonzero(near >= np.maximum(least[hit], edge)[:, None])
+            best.offer(mine[hit[r]], self.ids[c], near[r, c])
 
 
 class Best:
@@ -138,18 +151,16 @@ class Best:
         return self.score[:, -1]
 
     def offer(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Takes (query row, document, score) triples, and keeps the best of each row; ties go to the smaller doc_id."""
         scores = np.round(scores, PLACES)
-        scores[scores <= 0] = -1.0
-        hit = np.flatnonzero((scores >= np.maximum(self.score[rows, -1:], 0)).any(axis=1))
-        if not len(hit):
+        good = (scores > 0) & (scores >= self.score[rows, -1])
+        rows, ids, scores = rows[good], ids[good], scores[good]
+        if not len(rows):
             return
-        rows, scores = rows[hit], scores[hit]
-        n = min(self.k, scores.shape[1])
-        edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
-        r, c = np.nonzero((scores >= edge[:, None]) & (scores >= np.maximum(self.score[rows, -1:], 0)))  # ties at the edge included
-        q = np.concatenate([rows[r], np.repeat(rows, self.k)])
-        s = np.concatenate([scores[r, c], self.score[rows].ravel()])
-        d = np.concatenate([ids[c], self.doc[rows].ravel()])
+        known = np.unique(rows)
+        q = np.concatenate([rows, np.repeat(known, self.k)])
+        s = np.concatenate([scores, self.score[known].ravel()])
+        d = np.concatenate([ids, self.doc[known].ravel()])
         order = np.lexsort((d, -s, q))
         q, s, d = q[order], s[order], d[order]
         starts = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
