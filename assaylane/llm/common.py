@@ -1,10 +1,7 @@
-"""What the text operators share: word splitting, table access, cutting of lineage."""
+"""What the text operators share: word splitting and table access."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,26 +17,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words(text: Column) -> Column:
     """The words of a text in order; none for a null or blank text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="assaylane-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
-
-    Lineage ends there, so that lost executors cost a reread, not a recomputation,
-    and the reader knows the size of what it joins.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

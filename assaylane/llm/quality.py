@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut, words
+from ..storage import cut
+from .common import WORD_PATTERN, words
 
 GOOD, BAD = 1, -1
 

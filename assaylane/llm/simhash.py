@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .components import connected_components
+from ..operators.graph import connected_components
+from ..storage import cut
 from .grams import chunks
 
 BITS = 64

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylane.llm.common import cut, table
+from assaylane.llm.common import table
 from assaylane.llm.lines import drop_duplicate_lines
 from assaylane.llm.mixing import mix_sources
 from assaylane.llm.quality import keep_quality
 from assaylane.llm.queries import encode_public
 from assaylane.llm.simhash import keep_one_per_component
+from assaylane.storage import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
