@@ -85,3 +85,12 @@ def p_label(p: Column) -> Column:
 
 def stable_seed(text: Column, modulus: int = 1000) -> Column:
     return F.crc32(text.cast("binary")) % modulus
+
+
+def mark_residue(sequence: Column, position: Column, name: str) -> Column:
+    """The residue at a place (from 1) followed by a bracketed name, as of a modified amino acid."""
+    return F.concat(F.substring(sequence, F.lit(1), position), F.lit(f"[{name}]"), F.substring(sequence, position + 1, F.length(sequence)))
+
+
+def mark_unknown(sequence: Column, name: str = "NCAA") -> Column:
+    return F.replace(sequence, F.lit("X"), F.lit(f"X[{name}]"))

@@ -84,3 +84,12 @@ def in_listed(df: DataFrame, item: str, lists: DataFrame, listed: str, out: str)
 
 def top_k_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, *, out: str = "rank") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(out) <= k)
+
+
+def attach_members(scores: DataFrame, files: DataFrame, path: str, tag: str, *, strict: bool = True) -> DataFrame:
+    """Score rows with the path of the file whose stem is their tag; strict: a row without a file is an error."""
+    stems = files.select(F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1).alias("_stem"), F.col(path).alias("member_path"))
+    found = scores.join(stems, F.col(tag) == F.col("_stem"), "left" if strict else "inner").drop("_stem")
+    if strict and not found.where("member_path is null").isEmpty():
+        raise ValueError("scores without a file")
+    return found

@@ -105,6 +105,23 @@ def superposed_rmsd(fixed: pd.Series, moving: pd.Series) -> pd.Series:
     return pd.Series([one(p, q) for p, q in zip(fixed, moving, strict=True)], dtype=float)
 
 
+@F.pandas_udf(T.DoubleType())
+def peptide_rmsd(fixed_receptor: pd.Series, moving_receptor: pd.Series, fixed_peptide: pd.Series, moving_peptide: pd.Series) -> pd.Series:
+    """RMSD of the peptide after superposing the receptor: flat arrays of paired x, y, z.
+
+    Missing if the receptor has fewer than three pairs, or the sides' numbers of points differ.
+    """
+
+    def one(a, b, p, q) -> float | None:
+        if any(x is None for x in (a, b, p, q)) or len(a) != len(b) or len(p) != len(q) or len(a) < 9 or not len(p):
+            return None
+        a, b, p, q = (np.asarray(x, float).reshape(-1, 3) for x in (a, b, p, q))
+        rotation, shift = superpose(a, b)
+        return rmsd(p, q @ rotation + shift)
+
+    return pd.Series([one(*x) for x in zip(fixed_receptor, moving_receptor, fixed_peptide, moving_peptide, strict=True)], dtype=float)
+
+
 def align(a: str, b: str, *, score: dict | None = None, match: float = 1.0, mismatch: float = 0.0, gap_open: float = -10.0, gap_extend: float = -0.5) -> tuple[float, list[tuple[int, int]]]:
     """Score and aligned places of the best global alignment with affine gaps (Gotoh); a diagonal step wins ties."""
     n, m = len(a), len(b)

@@ -96,3 +96,10 @@ def best_and_mean(df: DataFrame, keys: Sequence[str], score: str, *, top: int =
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).asc_nulls_last()))
     rows = df.withColumn("_rn", rn).groupBy(*keys).agg(F.count(score).alias("n"), F.min(score).alias("best"), F.avg(score).alias("mean"), F.avg(F.when(F.col("_rn") <= top, F.col(score))).alias("top_mean"))
     return rows if expected is None else rows.withColumn("complete", F.col("n") == expected)
+
+
+def fractions_to_percent(df: DataFrame, column: str, *, most: float = 1.5) -> DataFrame:
+    """A column that holds fractions (no value over ``most``) in per cent; one that holds per cent already, unchanged."""
+    top = df.agg(F.max(column).alias("_top")).withColumn("_j", F.lit(1))
+    scaled = F.when(F.col("_top") <= most, F.col(column) * 100).otherwise(F.col(column))
+    return df.withColumn("_j", F.lit(1)).join(F.broadcast(top), "_j").withColumn(column, scaled).drop("_j", "_top")

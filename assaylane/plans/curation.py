@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..functions.predicates import is_censored
 from ..operators import dedup, quality, structure, summaries
 from ..operators.joins import pairs_within
@@ -191,6 +192,29 @@ def kabsch_rmsd(spark, d):
     return rounded(rows.join(ref, F.col("label") == F.col("l")).select("vec_id", "label", structure.superposed_rmsd("fixed", "points").alias("rmsd")), "rmsd")
 
 
+@query("peptide_rmsd")
+def peptide_rmsd(spark, d):
+    """Every vector as a receptor of 15 points and a peptide of six, against the first of its label: the receptor is superposed."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 45).alias("receptor"), F.slice("embedding", 46, 18).alias("peptide"))
+    ref = rows.groupBy(F.col("label").alias("l")).agg(F.min_by("receptor", "vec_id").alias("r"), F.min_by("peptide", "vec_id").alias("p"))
+    found = rows.join(ref, F.col("label") == F.col("l"))
+    return rounded(found.select("vec_id", "label", structure.peptide_rmsd("r", "receptor", "p", "peptide").alias("rmsd")), "rmsd")
+
+
+@query("unit_fix", """
+SELECT l_suppkey, round(avg(l_discount) * 100, 6) AS mean_discount, round(avg(l_quantity), 6) AS mean_quantity FROM lineitem GROUP BY 1""")
+def unit_fix(spark, d):
+    means = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("mean_discount"), F.avg("l_quantity").alias("mean_quantity"))
+    return rounded(summaries.fractions_to_percent(summaries.fractions_to_percent(means, "mean_discount"), "mean_quantity"), "mean_discount", "mean_quantity")
+
+
+@query("marked_residues", """
+SELECT p_partkey, substr(p_name, 1, 3) || '[NCAA]' || substr(p_name, 4) AS marked, replace(upper(p_name), 'X', 'X[NCAA]') AS unknown FROM part""")
+def marked_residues(spark, d):
+    n = F.col("p_name")
+    return table(spark, d, "part").select("p_partkey", scalars.mark_residue(n, F.lit(3), "NCAA").alias("marked"), scalars.mark_unknown(F.upper(n)).alias("unknown"))
+
+
 @query("quality_report", """
 SELECT 'orders have lines' AS expectation, count(*) AS violations, count(*) = 0 AS holds FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
 UNION ALL SELECT 'lines have orders', count(*), count(*) = 0 FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE l_orderkey = o_orderkey)

@@ -38,3 +38,8 @@ def require_columns(df: DataFrame, *columns: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
+
+
+def columns_like(df: DataFrame, *parts: str, suffix: str = "") -> list[str]:
+    """Names that hold one of the parts, or any if none is given, and end in the suffix."""
+    return [c for c in df.columns if (not parts or any(p.lower() in c.lower() for p in parts)) and c.endswith(suffix)]
