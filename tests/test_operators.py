@@ -188,3 +188,33 @@ def test_stream_keeps_the_last(spark, tmp_path):
     stream = spark.readStream.schema("tag string, no int, v string").parquet(str(tmp_path / "in"))
     upsert.start(upsert.latest(stream, ["tag"], "no", ["v"]), "kept_last", str(tmp_path / "ck"))
     assert {r.tag: r.v for r in spark.table("kept_last").collect()} == {"t": "new", "u": "x"}
+
+
+def test_small_helpers(spark):
+    from assaylane.operators import summaries
+    from assaylane.schemas import columns_like
+
+    df = spark.createDataFrame([("SIXN", 0.5), ("AAAA", 1.0)], "s string, f double")
+    assert [tuple(r) for r in df.select(scalars.mark_residue(F.col("s"), F.lit(2), "NCAA"), scalars.mark_unknown(F.col("s"))).collect()] == [("SI[NCAA]XN", "SIX[NCAA]N"), ("AA[NCAA]AA", "AAAA")]
+    assert sorted(r.f for r in summaries.fractions_to_percent(df, "f").collect()) == [50.0, 100.0]
+    assert sorted(r.f for r in summaries.fractions_to_percent(df.withColumn("f", F.col("f") * 100), "f").collect()) == [50.0, 100.0]
+    assert columns_like(df.withColumn("x_best", F.lit(1)), "x", suffix="_best") == ["x_best"]
+
+
+def test_members_need_files(spark):
+    scores = spark.createDataFrame([("m_1", 1.0), ("m_2", 2.0)], "tag string, total double")
+    files = spark.createDataFrame([("/a/m_1.pdb",)], "path string")
+    assert joins.attach_members(scores, files, "path", "tag", strict=False).count() == 1
+    with pytest.raises(ValueError):
+        joins.attach_members(scores, files, "path", "tag")
+
+
+def test_peptide_moves_with_a_fixed_receptor(spark):
+    rng = np.random.default_rng(10)
+    receptor, peptide = rng.normal(size=(20, 3)), rng.normal(size=(8, 3))
+    turn = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
+    flat = lambda x: [float(v) for v in x.ravel()]
+    row = (flat(receptor), flat(receptor @ turn + 3), flat(peptide), flat((peptide + np.array([1.0, 0, 0])) @ turn + 3))
+    df = spark.createDataFrame([row, (None, None, None, None)], "a array<double>, b array<double>, p array<double>, q array<double>")
+    found = [r[0] for r in df.select(structure.peptide_rmsd("a", "b", "p", "q")).collect()]
+    assert found[0] == pytest.approx(1) and found[1] is None
