@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from ..storage import cut
 from .grams import chunks, mix64
 
 #: Words of the grams by which windows are found to meet.
@@ -180,20 +180,20 @@ def _to_documents(docs: DataFrame, lists: DataFrame, name: str, bytes_each: int,
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """anchor, doc_id, start and words of the ``wanted`` segments (anchor, doc_id, start, size), words joined by spaces."""
-    lists = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "size")).alias("parts")))
+    """anchor, n_contents, doc_id, start and words (joined by spaces) of the ``wanted`` segments (anchor, n_contents, doc_id, start, size)."""
+    lists = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "n_contents", "start", "size")).alias("parts")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in chunks(batches):
             out = []
             for doc_id, text, parts in zip(piece["doc_id"], piece["text"], piece["parts"], strict=True):
                 words = text.encode("utf-8", "replace").split()
-                out += [(p["anchor"], doc_id, p["start"], b" ".join(words[p["start"] : p["start"] + p["size"]])) for p in parts]
-            yield pd.DataFrame(out, columns=["anchor", "doc_id", "start", "words"])
+                out += [(p["anchor"], p["n_contents"], doc_id, p["start"], b" ".join(words[p["start"] : p["start"] + p["size"]])) for p in parts]
+            yield pd.DataFrame(out, columns=["anchor", "n_contents", "doc_id", "start", "words"])
 
     once = docs.select("doc_id", "text").where("doc_id is not null")
-    joined = _to_documents(once, lists, "parts", 24, "inner")
-    return cut(joined.mapInPandas(run, "anchor long, doc_id long, start int, words binary").dropDuplicates(["anchor", "doc_id", "start"]))
+    joined = _to_documents(once, lists, "parts", 32, "inner")
+    return cut(joined.mapInPandas(run, "anchor long, n_contents long, doc_id long, start int, words binary").dropDuplicates(["anchor", "doc_id", "start"]))
 
 
 def _owners(texts: DataFrame, window: int) -> DataFrame:
@@ -257,19 +257,19 @@ def repeated_spans(docs: DataFrame, *, window: int = 50) -> DataFrame:
        several units that each get them.
     """
     found = cut(segments(docs, window))
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(F.col("anchor").alias("_anchor"))
-    met = cut(found.join(shared, F.col("anchor") == F.col("_anchor"), "left_semi"))
+    # written before the joins, so that a join stands alone in its stage and Spark can split an anchor's rows;
+    # both sides grow with the input, so they are merged at every size
+    shared = cut(found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(F.col("anchor").alias("_anchor")))
+    met = cut(found.join(shared.hint("merge"), F.col("anchor") == F.col("_anchor"), "left_semi"))
     contents = cut(met.groupBy("anchor", "content").agg(F.min("doc_id").alias("first_id")))
     keys = contents.select(F.col("anchor").alias("_anchor"), F.col("content").alias("_content"), "first_id")
-    placed = cut(met.join(keys, (F.col("anchor") == F.col("_anchor")) & (F.col("content") == F.col("_content"))).drop("_anchor", "_content"))
+    placed = cut(met.join(keys.hint("merge"), (F.col("anchor") == F.col("_anchor")) & (F.col("content") == F.col("_content"))).drop("_anchor", "_content"))
     settled = placed.where("doc_id > first_id").select("doc_id", F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end"))
 
-    several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_contents")).where("n_contents > 1").select(F.col("anchor").alias("_anchor"), "n_contents")
-    open_ = placed.where("doc_id = first_id").join(several, F.col("anchor") == F.col("_anchor")).select("anchor", "doc_id", "start", "size", "n_contents")
+    several = cut(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_contents")).where("n_contents > 1").select(F.col("anchor").alias("_anchor"), "n_contents"))
+    open_ = placed.where("doc_id = first_id").join(several.hint("merge"), F.col("anchor") == F.col("_anchor")).select("anchor", "doc_id", "start", "size", "n_contents")
     open_ = cut(open_)
-    texts = _texts_of(docs, open_.select("anchor", "doc_id", "start", "size"))
-    counts = several.withColumnRenamed("_anchor", "_of")
-    texts = texts.join(counts, F.col("anchor") == F.col("_of")).drop("_of")
+    texts = _texts_of(docs, open_)
     few = texts.where(F.col("n_contents") <= MANY_SEGMENTS).select(F.col("anchor").alias("unit"), "doc_id", "start", "words", F.lit(True).alias("reference"))
     many = texts.where(F.col("n_contents") > MANY_SEGMENTS)
     owners = cut(_owners(many.drop("n_contents"), window)).select(F.col("anchor").alias("_a"), F.col("doc_id").alias("_d"), F.col("start").alias("_s"))
