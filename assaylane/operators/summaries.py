@@ -41,11 +41,27 @@ def equal_width_histogram(df: DataFrame, value: str, n_bins: int) -> DataFrame:
     return placed.groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _first_at_least(value: Column, thresholds: Sequence[float], low: int = 0) -> Column:
+    """The place of the first of the ascending thresholds that is at least the value, as a balanced tree of comparisons; their number if none is."""
+    if not thresholds:
+        return F.lit(low)
+    middle = len(thresholds) // 2
+    return F.when(value <= float(thresholds[middle]), _first_at_least(value, thresholds[:middle], low)).otherwise(_first_at_least(value, thresholds[middle + 1 :], low + middle + 1))
+
+
 def threshold_sweep(df: DataFrame, score: str, label: str, thresholds: Sequence[float]) -> DataFrame:
-    """Confusion counts and rates of "score at most the threshold is positive", for each threshold: one scan."""
+    """Confusion counts and rates of "score at most the threshold is positive", for each threshold: one scan.
+
+    Rows are counted by the first threshold that reaches them; a threshold then sums a table with a row for each threshold.
+    """
+    steps = sorted(float(t) for t in thresholds)
     y = F.col(label)
-    parts = [F.struct(F.lit(float(t)).alias("threshold"), F.count_if((F.col(score) <= t) & y).alias("tp"), F.count_if((F.col(score) <= t) & ~y).alias("fp"), F.count_if((F.col(score) > t) & y).alias("fn"), F.count_if((F.col(score) > t) & ~y).alias("tn")) for t in thresholds]
-    rows = df.agg(F.array(*parts).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    counted = df.where(F.col(score).isNotNull()).groupBy(_first_at_least(F.col(score), steps).alias("_at")).agg(F.count_if(y).alias("_p"), F.count_if(~y).alias("_n"))
+    places = df.sparkSession.createDataFrame(list(enumerate(steps)), "_i int, threshold double")
+    met = counted.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(len(steps) - 1))))
+    hit = F.col("_at") <= F.col("_i")
+    sums = met.groupBy("_i").agg(*[F.sum(F.when(c, n).otherwise(0)).alias(a) for a, c, n in (("tp", hit, F.col("_p")), ("fp", hit, F.col("_n")), ("fn", ~hit, F.col("_p")), ("tn", ~hit, F.col("_n")))])
+    rows = places.join(sums, "_i").drop("_i")
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     rows = rows.withColumns({"tpr": F.try_divide(tp, tp + fn), "tnr": F.try_divide(tn, tn + fp), "ppv": F.try_divide(tp, tp + fp), "npv": F.try_divide(tn, tn + fn), "accuracy": F.try_divide(tp + tn, tp + fp + fn + tn)})
     return rows.withColumns({"fpr": 1 - F.col("tnr"), "fnr": 1 - F.col("tpr"), "fdr": 1 - F.col("ppv"), "lr_plus": F.try_divide("tpr", 1 - F.col("tnr")), "lr_minus": F.try_divide(1 - F.col("tpr"), "tnr"), "youden": F.col("tpr") + F.col("tnr") - 1})
