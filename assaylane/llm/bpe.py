@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Distinct words whose tokens a Python worker keeps (some 200 bytes each); the rest are merged anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -129,7 +129,7 @@ class Encoder:
         return self.bytes[np.repeat(self.start[ids] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _encoder(name: str, pattern: str) -> Encoder:
     """One for each Python worker, from the file that Spark has brought to its machine."""
     return Encoder(read_ranks(SparkFiles.get(name)), pattern)
