@@ -25,24 +25,23 @@ TILE = 512
 CALL = 16_384
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """SimHash of a text as an unsigned number.
+def shingles(text: str, width: int) -> list[bytes]:
+    """A text's shingles of ``width`` words joined by a space, repeats included (fewer words: all of them; none: no shingle).
 
-    Words are split at ASCII white space after A-Z are made small; shingles are ``width``
-    words joined by a space, repeats included (fewer words: all of them; none: fingerprint 0). A bit is
-    set if it is set in over half of the shingles' XXH64.
+    Words are split at ASCII white space after A-Z are made small.
     """
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
+        return []
     if len(words) < width:
-        shingles = [b" ".join(words)]
-    elif width == 3:
-        shingles = [b"%b %b %b" % s for s in zip(words, words[1:], words[2:], strict=False)]
-    else:
-        shingles = [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8", count=len(shingles))
+        return [b" ".join(words)]
+    if width == 3:
+        return [b"%b %b %b" % s for s in zip(words, words[1:], words[2:], strict=False)]
+    return [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half of the hashes; 0 for none."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), COUNTED):
         part = hashes[at : at + COUNTED]
@@ -50,6 +49,13 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, width: int = 3) -> int:
+    """SimHash of a text as an unsigned number: a bit is set if it is set in over half of the shingles' XXH64 (:func:`shingles`)."""
+    digest = xxhash.xxh64_intdigest
+    found = shingles(text, width)
+    return majority(np.fromiter((digest(s, SEED) for s in found), dtype="<u8", count=len(found)))
+
+
 def fingerprints(docs: DataFrame, *, width: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a signed number) of every row; null texts are empty."""
 

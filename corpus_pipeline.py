@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from assaylane.llm.common import table
 from assaylane.llm.lines import drop_duplicate_lines
 from assaylane.llm.mixing import mix_sources
+from assaylane.llm.near import keep_one_near
 from assaylane.llm.quality import keep_quality
 from assaylane.llm.queries import encode_public
-from assaylane.llm.simhash import keep_one_per_component
 from assaylane.storage import cut
 
 
@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return keep_one_per_component(docs, width=3, radius=2)
+    """One document of each group of near-duplicates stays: five-word shingles of Jaccard similarity 0.8 or more."""
+    return keep_one_near(docs, width=5, threshold=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
