@@ -11,7 +11,7 @@ from ..storage import cut
 #: Characters of a shingle, and MinHash bins in a band and bands: two lines of similarity 0.8 share a band
 #: with probability 0.985, of 0.85 with 0.997, of 0.9 with 0.9998.
 WIDTH, ROWS, BANDS = 8, 4, 8
-#: Leaders of a large bucket in the second round; buckets of no more members are compared all with all.
+#: Leaders of a large bucket in the second round; buckets of no more members go to the last round, of all pairs, at once.
 LEADERS = 4
 #: Bytes up to which the removed lines are broadcast to the documents; above, both are shuffled.
 BROADCAST_BYTES = 32 << 20
@@ -47,9 +47,13 @@ def bands(lines: DataFrame) -> DataFrame:
     return keyed.select(F.xxhash64("band", "key").alias("key"), "id")
 
 
+def grams(line: Column) -> Column:
+    """All shingles of a line, overlapping, by looking ahead."""
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of the sets of shingles of two lines."""
-    grams = lambda line: F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1))  # noqa: E731  overlapping, by looking ahead
     return F.size(F.array_intersect(grams(a), grams(b))) / F.size(F.array_union(grams(a), grams(b)))
 
 
@@ -82,28 +86,44 @@ def line_components(docs: DataFrame, *, threshold: float = 0.8, min_chars: int =
 
     Lines that share a band key meet in a bucket. All members are compared with the bucket's leader, its least id: a
     group of copies of one line, however large, costs one comparison a member. Components are taken, and only buckets
-    that hold several of them go on, since a comparison within a component can add nothing. In a bucket of
-    up to LEADERS members all pairs of different components are compared, in a larger one LEADERS members of different components
-    with all members of other components. So comparisons grow with the lines and not with the square of a bucket. What this
-    can miss, beside what the bands miss: two lines near each other that meet in large buckets only, neither of them a leader in
-    any, and that no chain of other links joins.
+    that hold several of them go on, since a comparison within a component can add nothing. In buckets of more than
+    LEADERS members, LEADERS of different components meet all members of other components, and components are taken again. At last all
+    pairs of different components that still share a bucket are compared, so that all that is missed is what the bands miss. A line's
+    number of different shingles rules pairs out beforehand. What is left grows with the square of a bucket whose lines are not near each other.
     """
     lines = occurrences(docs, min_chars)
     members = cut(_meet(cut(bands(lines))))
     texts = cut(_few(lines.select("id", "line"), members.select("id").distinct()).groupBy("id").agg(F.first("line").alias("line")))
     pairs = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    near = _verify(pairs, texts, threshold).where("near").select("a", "b")
-    roots = connected_components(near)
+    met = _verify(pairs, texts, threshold)
+    roots = connected_components(met.where("near").select("a", "b"))
     left = _named(members.select("key", "id"), roots)
-    small, large = left.where(F.col("size") <= LEADERS), left.where(F.col("size") > LEADERS)
     slot = F.pmod(F.xxhash64("root", F.lit(11)), F.lit(LEADERS))
+    large = left.where(F.col("size") > LEADERS)
     leaders = cut(large.groupBy("key", slot.alias("slot")).agg(F.min_by("id", "id").alias("_id"), F.min_by("root", "id").alias("_root")).select(F.col("key").alias("_key"), "_id", "_root"))
-    others = small.select(F.col("key").alias("_key"), F.col("id").alias("_id"), F.col("root").alias("_root"))
     apart = (F.col("key") == F.col("_key")) & (F.col("root") != F.col("_root"))
-    met = small.join(others, apart & (F.col("id") > F.col("_id"))).unionByName(large.join(leaders, apart))
-    pairs = met.select(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b")).distinct()
-    more = _verify(pairs, texts, threshold).where("near").select("a", "b")
-    return connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    pairs = _unordered(large.join(leaders, apart))
+    done = cut(met.select("a", "b", "near").unionByName(_verify(pairs, texts, threshold)))
+    roots = _joined(done.where("near"), roots)
+
+    left = _named(left.select("key", "id"), roots)
+    sizes = _few(texts, left.select("id").distinct()).select(F.col("id").alias("_of"), F.size(F.array_distinct(grams(F.col("line")))).alias("n"))
+    sized = cut(left.join(cut(sizes), F.col("id") == F.col("_of")).select("key", "id", "root", "n"))
+    others = sized.select(F.col("key").alias("_key"), F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("n").alias("_n"))
+    alike = F.least("n", "_n") >= F.lit(threshold) * F.greatest("n", "_n")
+    pairs = _unordered(sized.join(others, apart & (F.col("id") > F.col("_id")) & alike))
+    pairs = pairs.join(done.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+    return _joined(_verify(pairs, texts, threshold).where("near"), roots)
+
+
+def _unordered(met: DataFrame) -> DataFrame:
+    """Every pair of id and _id once, as a and b."""
+    return met.select(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b")).distinct()
+
+
+def _joined(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """Components of the near pairs and of those known."""
+    return connected_components(near.select("a", "b").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def _small_enough(df: DataFrame, bytes_a_row: int) -> DataFrame:
