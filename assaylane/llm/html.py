@@ -20,6 +20,10 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("article aside body details dialog div dl fieldset figure footer form header main menu nav ol section table td th ul".split())
+#: Elements whose content is no text but, unlike raw text, ends with their parent.
+HIDDEN_TAGS = frozenset("svg math select button object audio video canvas".split())
+#: What an end tag of another element, or a made-up one, doesn't reach beyond.
+WALLS = SCOPES | HIDDEN_TAGS
 BOILER_TAGS = frozenset("aside dialog fieldset footer form menu nav".split())
 MAIN_TAGS = frozenset("article main".split())
 BOILER_WORDS = frozenset(
@@ -30,10 +34,10 @@ BOILER_WORDS = frozenset(
 MAIN_WORDS = frozenset("article body content entry main post story text".split())
 UPPER_WORDS = frozenset("header head top meta".split())
 
-#: Comments, declarations, elements whose content is no text, and tags.
+#: Comments, declarations, elements of raw text (which run to the page's end without an end tag), and tags.
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|textarea|svg|math|iframe|select|button|object|audio|video|canvas|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|iframe|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|</?[a-zA-Z][^>]*>",
     re.S | re.I,
@@ -60,12 +64,25 @@ def blocks(html: str) -> list[dict]:
 
     A block ends at every block-level tag; ``<br>`` is white space. Character references are decoded,
     white space becomes one space, and blocks without text are left out. Missing end tags are
-    made up for: a block-level tag ends an open paragraph, an end tag what is open inside it.
+    made up for: a block-level tag ends an open paragraph, an end tag what is open inside it. HIDDEN_TAGS hide what is inside them;
+    one without its own end tag hides only what comes before the next block-level tag or its parent's end.
     """
+    unclosed: set[int] = set()
+    while True:
+        out, found = _walk(html, unclosed)
+        if not found:
+            return out
+        unclosed |= found
+
+
+def _walk(html: str, unclosed: set[int]) -> tuple[list[dict], set[int]]:
+    """The blocks, and where elements of HIDDEN_TAGS begin that turned out to have no end tag, beside those known."""
     out: list[dict] = []
+    opened: list[int] = []
+    found: set[int] = set()
     stack: list[tuple[str, bool, bool]] = []
     parts: list[tuple[str, bool]] = []
-    state = {"boiler": 0, "main": 0, "a": 0, "heading": 0}
+    state = {"boiler": 0, "main": 0, "a": 0, "heading": 0, "hidden": 0}
 
     def count(entry: tuple[str, bool, bool], by: int) -> None:
         tag, boiler, main = entry
@@ -73,6 +90,7 @@ def blocks(html: str) -> list[dict]:
         state["main"] += by * main
         state["a"] += by * (tag == "a")
         state["heading"] += by * (tag in HEADINGS)
+        state["hidden"] += by * (tag in HIDDEN_TAGS)
 
     def flush() -> None:
         text = " ".join("".join(t for t, _ in parts).split())
@@ -82,8 +100,12 @@ def blocks(html: str) -> list[dict]:
             out.append({"text": text, "n_words": n, "n_linked": min(linked, n), "boiler": int(state["boiler"] > 0), "main": int(state["main"] > 0), "heading": int(state["heading"] > 0)})
         parts.clear()
 
-    def close(to: int) -> None:
+    def close(to: int, ended: bool = False) -> None:
         while len(stack) > to:
+            if stack[-1][0] in HIDDEN_TAGS:
+                begin = opened.pop()
+                if begin not in unclosed and not (ended and len(stack) == to + 1):
+                    found.add(begin)
             count(stack.pop(), -1)
 
     def last(tag: str, within: frozenset[str]) -> int:
@@ -96,7 +118,7 @@ def blocks(html: str) -> list[dict]:
 
     at = 0
     for m in MARKUP.finditer(html):
-        if m.start() > at:
+        if m.start() > at and not state["hidden"]:
             parts.append((unescape(html[at : m.start()]), state["a"] > 0))
         at = m.end()
         if m[3] is None:
@@ -105,31 +127,38 @@ def blocks(html: str) -> list[dict]:
             continue
         tag, closing = m[3].lower(), bool(m[2])
         block = tag in BLOCK_TAGS
-        if block:
+        if block and opened and (ends := [i for i, begin in zip((i for i, e in enumerate(stack) if e[0] in HIDDEN_TAGS), opened, strict=True) if begin in unclosed]):
+            close(ends[0])
+        if block and not state["hidden"]:
             flush()
+        elif tag in HIDDEN_TAGS:
+            parts.append((" ", False))
         elif tag == "br":
             parts.append((" ", False))
         if tag in VOID_TAGS:
             continue
         if closing:
-            i = last(tag, frozenset() if tag in SCOPES else SCOPES)
+            i = last(tag, frozenset() if tag in SCOPES or tag in HIDDEN_TAGS else WALLS)
             if i >= 0:
-                close(i)
+                close(i, True)
         else:
-            if block and (i := last("p", SCOPES)) >= 0:
+            if block and (i := last("p", WALLS)) >= 0:
                 close(i)
-            if tag in ("li", "dt", "dd", "tr", "td", "th", "a") and (i := last(tag, SCOPES - {"td", "th"} if tag == "tr" else SCOPES)) >= 0:
+            if tag in ("li", "dt", "dd", "tr", "td", "th", "a") and (i := last(tag, WALLS - {"td", "th"} if tag == "tr" else WALLS)) >= 0:
                 close(i)
             if m[4].endswith("/"):
                 continue
             boiler, main = hints(tag, m[4], state["main"] > 0)
             entry = (tag, boiler, main)
             stack.append(entry)
+            if tag in HIDDEN_TAGS:
+                opened.append(m.start())
             count(entry, 1)
-    if at < len(html):
+    if at < len(html) and not state["hidden"]:
         parts.append((unescape(html[at:]), state["a"] > 0))
     flush()
-    return out
+    close(0)
+    return out, found
 
 
 BLOCK_SCHEMA = "array<struct<text:string,n_words:int,n_linked:int,boiler:int,main:int,heading:int>>"
