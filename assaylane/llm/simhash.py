@@ -126,6 +126,12 @@ def spanning(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
+def calls_for(sizes: DataFrame) -> int:
+    """Calls among which the tile rows of buckets of the given sizes are dealt: a row comes once for each tile of its bucket."""
+    rows = sizes.agg(F.sum(F.col("size") * F.ceil(F.col("size") / TILE))).first()[0] or 0
+    return max(1, int(rows) // CALL)
+
+
 def links(distinct: DataFrame, *, radius: int = 2) -> DataFrame:
     """Edges a, b between distinct fingerprints that span the same components as all pairs within ``radius`` bits.
 
@@ -136,12 +142,12 @@ def links(distinct: DataFrame, *, radius: int = 2) -> DataFrame:
     """
     n = distinct.count()
     keyed = distinct.select("fp", F.explode(_keys(F.col("fp"), n, radius)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("key", "_key")
+    sizes = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("key", "_key"))
     met = keyed.join(sizes, F.col("key") == F.col("_key")).select("fp", "key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
     units = met.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     unit = F.xxhash64("key", F.least("_mine", "_other"), F.greatest("_mine", "_other"))
-    calls = max(1, 3 * n // CALL)
+    calls = calls_for(sizes)
     dealt = units.select(unit.alias("unit"), "fp").withColumn("call", F.pmod("unit", F.lit(calls)))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
