@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, discard
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star rounds until the edges are stars around the roots: every
     node hands its larger neighbours, then its smaller ones, to the least of them. A round
     joins the edges with one minimum for each node, so no neighbourhood is ever gathered in a task.
-    Each round is written to the shared folder. Self-loops keep a node with itself as root;
+    Each round is written to the shared folder, where it takes the place of the one before. Self-loops keep a node with itself as root;
     edges with a null end are ignored; repeated edges count once; no edges give no rows.
     """
     ends = cut(edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull()))
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = cut(_attach_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _attach_least(large, least).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = cut(small.where("u <> v").distinct())
+        old, now = now, cut(small.where("u <> v").distinct())
+        discard(old, large)
         before, state = state, _state(now)
         if before == state:
             break
