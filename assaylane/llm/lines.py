@@ -6,71 +6,83 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..storage import cut
+from ..storage import cut, discard
 
 #: Characters of a shingle, and MinHash bins in a band and bands: two lines of similarity 0.8 share a band
 #: with probability 0.985, of 0.85 with 0.997, of 0.9 with 0.9998.
 WIDTH, ROWS, BANDS = 8, 4, 8
+#: Shingles, about, of a longer line that may hold a bin's least hash: a bin is left without one by chance ``exp(-SURVIVORS / 32)``.
+SURVIVORS = 96
 #: Leaders of a large bucket in the second round; buckets of no more members go to the last round, of all pairs, at once.
 LEADERS = 4
 #: Bytes up to which the removed lines are broadcast to the documents; above, both are shuffled.
 BROADCAST_BYTES = 32 << 20
+#: Fixed: the characters besides the line feed that make no word.
+BLANKS = " \t\v\f\r"
 
 
-def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, pos (from 0), line (in small letters) and id (its hash) of all lines of at least ``min_chars`` characters.
+def occurrences(docs: DataFrame) -> DataFrame:
+    """doc_id, pos (from 0), line (in small letters) and id (its hash) of all lines with a word.
 
     An id has 64 bits: among n different lines some ``n ** 2 / 2 ** 65`` pairs share one.
     """
     lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    small = lines.where(F.length("line") >= min_chars).withColumn("line", F.lower("line"))
+    small = lines.where(F.ltrim("line", F.lit(BLANKS)) != "").withColumn("line", F.lower("line"))
     return small.select("doc_id", "pos", "line", F.xxhash64("line").alias("id"))
 
 
+def _places(wide: Column) -> Column:
+    """Where the shingles of a line in UTF-16 begin; a line of fewer than WIDTH characters is one shingle."""
+    return F.sequence(F.lit(0), F.greatest((F.length(wide) / 2).cast("int") - WIDTH, F.lit(0)))
+
+
+def _shingle_hash(wide: Column, at: Column) -> Column:
+    """UTF-16 makes a shingle a slice of bytes."""
+    return F.xxhash64(F.substring(wide, 2 * at + 1, F.lit(2 * WIDTH)))
+
+
 def bands(lines: DataFrame) -> DataFrame:
-    """key and id of every different line and each of its bands.
+    """key and id of every different line (id, line) and each of its bands.
 
     MinHash by one permutation: shingles' hashes are dealt into ROWS * BANDS bins, and a line's signature is the
-    least hash of each bin; a band's key hashes ROWS bins. An empty bin, of a short line, adds nothing to the
-    key. Equal lines are merged first, in the tasks that read them and then by a shuffle on id. The
-    shingles are then exploded and reduced on the same key, so nothing is shuffled again. UTF-16
-    makes a shingle a slice of bytes; the bytes are made below the explode, or each shingle would make them anew.
+    least hash of each bin; a band's key hashes ROWS bins. An empty bin, of a short line, counts as empty. Of a long
+    line only hashes under a bound that leaves about SURVIVORS of them are looked at, since a greater one is hardly
+    ever the least of a bin. Equal lines are merged first, in the tasks that read them and then by a shuffle on id.
+    The shingles are then exploded and reduced on the same key, so nothing is shuffled again. The bytes and
+    the bound are made below the explode, or each shingle would make them anew.
     """
-    different = lines.groupBy("id").agg(F.first("line").alias("line"))
-    wide = different.select("id", F.encode("line", "UTF-16BE").alias("wide"))
-    places = F.sequence(F.lit(0), F.greatest((F.length("wide") / 2).cast("int") - WIDTH, F.lit(0)))
-    spread = wide.select("id", "wide", F.explode(places).alias("at"))
-    hashed = spread.select("id", F.xxhash64(F.substring("wide", 2 * F.col("at") + 1, F.lit(2 * WIDTH))).alias("h"))
-    bins = hashed.select("id", "h", F.pmod("h", F.lit(ROWS * BANDS)).cast("int").alias("bin"))
-    least = bins.groupBy("id", "bin").agg(F.min("h").alias("h"))
-    keyed = least.groupBy("id", F.floor(F.col("bin") / ROWS).cast("int").alias("band")).agg(F.bit_xor(F.xxhash64("bin", "h")).alias("key"))
-    return keyed.select(F.xxhash64("band", "key").alias("key"), "id")
+    wide = lines.select("id", "line").distinct().select("id", F.encode("line", "UTF-16BE").alias("wide"))
+    some = F.length("wide") / 2
+    bound = F.when(some <= 2 * SURVIVORS, F.lit((1 << 63) - 1)).otherwise((F.lit(SURVIVORS * 2.0**64) / some - F.lit(2.0**63)).cast("bigint"))
+    spread = wide.select("id", "wide", bound.alias("bound"), F.explode(_places(F.col("wide"))).alias("at"))
+    hashed = spread.select("id", "bound", _shingle_hash(F.col("wide"), F.col("at")).alias("h")).where("h <= bound")
+    dealt = hashed.select("id", "h", F.pmod("h", F.lit(BANDS)).cast("int").alias("band"), F.pmod(F.shiftright("h", 16), F.lit(ROWS)).cast("int").alias("row"))
+    least = dealt.groupBy("id", "band").agg(*[F.min(F.when(F.col("row") == i, F.col("h"))).alias(f"least_{i}") for i in range(ROWS)])
+    return least.select(F.xxhash64("band", *[F.coalesce(f"least_{i}", F.lit(0)) for i in range(ROWS)]).alias("key"), "id")
 
 
-def grams(line: Column) -> Column:
-    """All shingles of a line, overlapping, by looking ahead."""
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1))
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the sets of shingles of two lines."""
-    return F.size(F.array_intersect(grams(a), grams(b))) / F.size(F.array_union(grams(a), grams(b)))
+def shingle_hashes(wide: Column) -> Column:
+    """The hashes of all shingles of a line in UTF-16. The outer lambda holds the line's bytes, which each shingle would else copy anew."""
+    return F.get(F.transform(F.array(wide), lambda w: F.transform(_places(w), lambda at: _shingle_hash(w, at))), F.lit(0))
 
 
 def _meet(members: DataFrame) -> DataFrame:
     """``members`` (key, id) of buckets of two or more, with the bucket's size and leader, its member of least id."""
     # written before the join, so that the join stands alone in its stage and Spark can split a bucket's rows
     sizes = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("leader"), F.max("id").alias("_most")).where("leader < _most"))
-    return members.join(sizes.select(F.col("key").alias("_key"), "size", "leader"), F.col("key") == F.col("_key")).drop("_key")
+    few = sizes.select(F.col("key").alias("_key"), "size", "leader").hint("shuffle_hash")
+    return members.join(few, F.col("key") == F.col("_key")).drop("_key")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """a, b and near of the given pairs."""
-    left = texts.select(F.col("id").alias("_a"), F.col("line").alias("_line_a"))
-    right = texts.select(F.col("id").alias("_b"), F.col("line").alias("_line_b"))
+    """a, b and near of the given pairs: the Jaccard similarity of their sets of shingles, by 64-bit hashes, unless their sizes rule it out."""
+    left = texts.select(F.col("id").alias("_a"), F.col("wide").alias("_wide_a"), F.col("n").alias("_n_a"))
+    right = texts.select(F.col("id").alias("_b"), F.col("wide").alias("_wide_b"), F.col("n").alias("_n_b"))
     both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-    near = similarity(F.col("_line_a"), F.col("_line_b")) >= threshold
-    return cut(both.select("a", "b", near.alias("near")))
+    alike = F.least("_n_a", "_n_b") >= F.lit(threshold) * F.greatest("_n_a", "_n_b")
+    shared = F.size(F.array_intersect(shingle_hashes(F.col("_wide_a")), shingle_hashes(F.col("_wide_b"))))
+    counted = both.select("a", "b", (F.col("_n_a") + F.col("_n_b")).alias("n"), F.when(alike, shared).otherwise(0).alias("shared"))
+    return cut(counted.select("a", "b", (F.col("shared") / (F.col("n") - F.col("shared")) >= threshold).alias("near")))
 
 
 def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -78,11 +90,13 @@ def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
     known = members.join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col("id") == F.col("_node"), "left")
     named = cut(known.select("key", "id", F.coalesce("_root", "id").alias("root")))
     mixed = cut(named.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("size")).where("_low < _high"))
-    return cut(named.join(mixed.select(F.col("key").alias("_key"), "size"), F.col("key") == F.col("_key")).drop("_key"))
+    left = cut(named.join(mixed.select(F.col("key").alias("_key"), "size"), F.col("key") == F.col("_key")).drop("_key"))
+    discard(named, mixed)
+    return left
 
 
 def line_components(docs: DataFrame, *, threshold: float = 0.8, min_chars: int = 40) -> DataFrame:
-    """node and root for the ids of lines that are linked, over any number of links, by a similarity of at least ``threshold``.
+    """node and root for the ids of lines of at least ``min_chars`` characters that are linked, over any number of links, by a similarity of at least ``threshold``.
 
     Lines that share a band key meet in a bucket. All members are compared with the bucket's leader, its least id: a
     group of copies of one line, however large, costs one comparison a member. Components are taken, and only buckets
@@ -91,9 +105,13 @@ def line_components(docs: DataFrame, *, threshold: float = 0.8, min_chars: int =
     pairs of different components that still share a bucket are compared, so that all that is missed is what the bands miss. A line's
     number of different shingles rules pairs out beforehand. What is left grows with the square of a bucket whose lines are not near each other.
     """
-    lines = occurrences(docs, min_chars)
-    members = cut(_meet(cut(bands(lines))))
-    texts = cut(_few(lines.select("id", "line"), members.select("id").distinct()).groupBy("id").agg(F.first("line").alias("line")))
+    lines = occurrences(docs).where(F.length("line") >= min_chars)
+    keyed = cut(bands(lines))
+    members = cut(_meet(keyed))
+    discard(keyed)
+    # the distinct rows are an aggregate: above it the bytes are a column, made once
+    met = _few(lines.select("id", "line"), members.select("id").distinct()).select("id", F.encode("line", "UTF-16BE").alias("wide")).distinct()
+    texts = cut(met.select("id", "wide", F.size(F.array_distinct(shingle_hashes(F.col("wide")))).alias("n")))
     pairs = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     met = _verify(pairs, texts, threshold)
     roots = connected_components(met.where("near").select("a", "b"))
@@ -103,12 +121,13 @@ def line_components(docs: DataFrame, *, threshold: float = 0.8, min_chars: int =
     leaders = cut(large.groupBy("key", slot.alias("slot")).agg(F.min_by("id", "id").alias("_id"), F.min_by("root", "id").alias("_root")).select(F.col("key").alias("_key"), "_id", "_root"))
     apart = (F.col("key") == F.col("_key")) & (F.col("root") != F.col("_root"))
     pairs = _unordered(large.join(leaders, apart))
-    done = cut(met.select("a", "b", "near").unionByName(_verify(pairs, texts, threshold)))
-    roots = _joined(done.where("near"), roots)
+    more = _verify(pairs, texts, threshold)
+    roots = _joined(more.where("near"), roots)
+    done = met.select("a", "b").unionByName(more.select("a", "b"))
 
     left = _named(left.select("key", "id"), roots)
-    sizes = _few(texts, left.select("id").distinct()).select(F.col("id").alias("_of"), F.size(F.array_distinct(grams(F.col("line")))).alias("n"))
-    sized = cut(left.join(cut(sizes), F.col("id") == F.col("_of")).select("key", "id", "root", "n"))
+    sizes = texts.select(F.col("id").alias("_of"), "n")
+    sized = cut(left.join(sizes, F.col("id") == F.col("_of")).select("key", "id", "root", "n"))
     others = sized.select(F.col("key").alias("_key"), F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("n").alias("_n"))
     alike = F.least("n", "_n") >= F.lit(threshold) * F.greatest("n", "_n")
     pairs = _unordered(sized.join(others, apart & (F.col("id") > F.col("_id")) & alike))
@@ -122,7 +141,9 @@ def _unordered(met: DataFrame) -> DataFrame:
 
 
 def _joined(near: DataFrame, roots: DataFrame) -> DataFrame:
-    """Components of the near pairs and of those known."""
+    """Components of the near pairs and of those known, which stay if there is no pair."""
+    if near.isEmpty():
+        return roots
     return connected_components(near.select("a", "b").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
@@ -134,43 +155,64 @@ def _small_enough(df: DataFrame, bytes_a_row: int) -> DataFrame:
 def _few(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The ``rows`` whose id is among ``ids``."""
     ids = cut(ids.withColumnRenamed("id", "_id"))
-    return rows.join(_small_enough(ids, 16), F.col("id") == F.col("_id"), "left_semi")
+    return rows.join(_small_enough(ids, 64), F.col("id") == F.col("_id"), "left_semi")
 
 
 def duplicate_lines(docs: DataFrame, *, threshold: float = 0.8, min_chars: int = 40) -> DataFrame:
-    """doc_id and ``removed``, the places of the lines that repeat an earlier one, for every document that has such lines.
+    """doc_id and ``removed`` (pos and id), the lines that repeat an earlier one, for every document that has such lines.
 
-    A class holds all occurrences of equal lines and of lines that :func:`line_components` joins. Its first occurrence, by doc_id and then by place, stays.
+    A class holds all occurrences of equal lines, however short, and of the lines of at least ``min_chars`` characters that
+    :func:`line_components` joins. Its first occurrence, by doc_id and then by place, stays.
     """
-    roots = line_components(docs, threshold=threshold, min_chars=min_chars)
-    places = occurrences(docs, min_chars).select("doc_id", "pos", "id")
-    classed = cut(places.join(roots, F.col("id") == F.col("node"), "left").select("doc_id", "pos", F.coalesce("root", "id").alias("class")))
-    first = classed.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("_class"), "first_id")
-    repeated = cut(classed.join(first, F.col("class") == F.col("_class")).select("class", "doc_id", "pos", "first_id"))
-    first_pos = repeated.where("doc_id = first_id").groupBy("class").agg(F.min("pos").alias("first_pos")).withColumnRenamed("class", "_class")
-    marked = repeated.join(first_pos, F.col("class") == F.col("_class")).where("doc_id <> first_id or pos <> first_pos")
-    return cut(marked.groupBy("doc_id").agg(F.collect_set("pos").alias("removed")))
-
-
-def drop_duplicate_lines(docs: DataFrame, *, threshold: float = 0.8, min_chars: int = 40) -> DataFrame:
-    """``docs`` without the lines that repeat an earlier one, with its columns, and n_lines and n_removed.
-
-    Lines are split at line feeds and compared in small letters; lines of under ``min_chars``
-    characters stay: they have few shingles and repeat by chance. A document all of whose lines go
-    stays with an empty text. The removed places are broadcast if their counted size is within
+    roots = line_components(docs, threshold=threshold, min_chars=min_chars).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    places = occurrences(docs).select("doc_id", "pos", "id")
+    named = places.join(roots.hint("shuffle_hash"), F.col("id") == F.col("_node"), "left")
+    classed = cut(named.select("doc_id", "pos", "id", F.coalesce("_root", "id").alias("class")))
+    spread = classed.groupBy("class", "doc_id").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
+    # written before the join, so that the join stands alone in its stage and Spark can split a class's rows
+    first = spread.groupBy("class").agg(F.min("doc_id").alias("_first_id"), F.min_by("pos", "doc_id").alias("_first_pos"), F.sum("n").alias("n"))
+    first = cut(first.where("n > 1").select(F.col("class").alias("_class"), "_first_id", "_first_pos"))
+    repeated = classed.join(first.hint("shuffle_hash"), F.col("class") == F.col("_class")).where("doc_id <> _first_id or pos <> _first_pos")
+    removed = cut(repeated.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "id")).alias("removed")))
+    discard(classed, first)
+    return removed
+
+
+def without_lines(docs: DataFrame, removed: DataFrame, *, n_lines: str | None = None, n_removed: str | None = None) -> DataFrame:
+    """``docs`` without the lines that :func:`duplicate_lines` found, with columns named ``n_lines`` and ``n_removed`` if names are given.
+
+    An added column replaces one of ``docs`` of its name. The removed lines are broadcast if their counted size is within
     BROADCAST_BYTES, and else joined by shuffling.
+    """
+    weight = removed.agg(F.sum(32 * F.size("removed") + 64)).first()[0] or 0
+    gone = removed.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
+    # rows travel in a struct, so that their columns can have any name
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.split("text", "\n").alias("_lines"))
+    whole = rows.join(F.broadcast(gone) if weight <= BROADCAST_BYTES else gone, F.col("_doc") == F.col("_id"), "left")
+    # rows that share a doc_id may have different texts: a place counts only where it holds the line that was found there
+    found = F.filter("_removed", lambda r: F.xxhash64(F.lower(F.get("_lines", r["pos"]))) == r["id"])
+    placed = whole.withColumn("_found", F.when(F.col("_removed").isNotNull(), F.transform(found, lambda r: r["pos"])))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_found"), lambda at: F.get("_lines", at))
+    text = F.when(F.col("_found").isNull() | F.col("_row.text").isNull(), F.col("_row.text")).otherwise(F.array_join(kept, "\n"))
+    added = {}
+    if n_lines is not None:
+        added[n_lines] = F.when(F.col("_row.text").isNull(), 0).otherwise(F.size("_lines"))
+    if n_removed is not None:
+        added[n_removed] = F.when(F.col("_found").isNull(), 0).otherwise(F.size("_found"))
+    columns = [(text if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns if c not in added]
+    return placed.select(*columns, *[v.alias(c) for c, v in added.items()])
+
+
+def drop_duplicate_lines(docs: DataFrame, *, threshold: float = 0.8, min_chars: int = 40, n_lines: str | None = "n_lines", n_removed: str | None = "n_removed") -> DataFrame:
+    """``docs`` without the lines that repeat an earlier one, with its columns, and n_lines and n_removed (None: without them).
+
+    Lines are split at line feeds and compared in small letters. A line goes if an equal one comes earlier, by doc_id and then by place;
+    lines of at least ``min_chars`` characters also if they are joined, over any number of links, to an earlier one by links
+    of at least ``threshold`` Jaccard similarity of their sets of WIDTH-character shingles. Lines without a word stay. A document all of
+    whose lines go stays with an empty text.
 
     Null text stays null. Rows with a null doc_id stay as they are, and nothing is compared
-    with them. Repeated rows count as one document. Empty table: empty result.
+    with them. Rows that repeat a doc_id count as one document that has all their lines, and lines at one place as one occurrence.
+    Empty table: empty result. Other columns pass through, but for those named like the added ones, which are replaced.
     """
-    removed = duplicate_lines(docs, threshold=threshold, min_chars=min_chars)
-    weight = removed.agg(F.sum(F.size("removed") + 8)).first()[0] or 0
-    dropped = removed.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    dropped = F.broadcast(dropped) if 8 * weight <= BROADCAST_BYTES else dropped
-    whole = docs.join(dropped, docs["doc_id"] == F.col("_id"), "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_removed", i)), "\n")
-    columns = [F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    n_removed = F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed"))
-    return whole.select(*columns, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    return without_lines(docs, duplicate_lines(docs, threshold=threshold, min_chars=min_chars), n_lines=n_lines, n_removed=n_removed)
