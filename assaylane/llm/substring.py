@@ -76,8 +76,13 @@ def anchors(hashes: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndar
     return starts, place[starts], least[starts]
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_id, the text's hash: rows that share a doc_id may have different texts."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"))
+
+
 def segments(docs: DataFrame, window: int) -> DataFrame:
-    """anchor, content, doc_id, start and size of every segment: the windows that one gram stands for, joined.
+    """anchor, content, doc_id, text_id, start and size of every segment: the windows that one gram stands for, joined.
 
     Each window of a text lies in one segment, and equal windows lie in segments of one anchor. ``content``
     hashes the segment's words; start and size count words.
@@ -96,13 +101,14 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
                     "anchor": gram[first].view(np.int64),
                     "content": ranges_hash(hashes, begin, end).view(np.int64),
                     "doc_id": piece["doc_id"].to_numpy(dtype=np.int64)[doc],
+                    "text_id": piece["text_id"].to_numpy(dtype=np.int64)[doc],
                     "start": (begin - texts_at[doc]).astype(np.int32),
                     "size": (end - begin).astype(np.int32),
                 }
             )
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInPandas(run, "anchor long, content long, doc_id long, start int, size int")
+    rows = _rows(docs).where(F.col("doc_id").isNotNull())
+    return rows.mapInPandas(run, "anchor long, content long, doc_id long, text_id long, start int, size int")
 
 
 class SuffixAutomaton:
@@ -172,32 +178,37 @@ class SuffixAutomaton:
         return [tuple(x) for x in out]
 
 
-def _to_documents(docs: DataFrame, lists: DataFrame, name: str, bytes_each: int, how: str) -> DataFrame:
-    """``docs`` (doc_id, text) joined with a list for each doc_id, which is broadcast if its counted size allows."""
-    total = lists.agg(F.sum(F.size(name) * bytes_each + 32)).first()[0] or 0
-    side = lists.select(F.col("doc_id").alias("_id"), name)
-    return docs.join(F.broadcast(side) if total <= BROADCAST_BYTES else side, F.col("doc_id") == F.col("_id"), how).drop("_id")
+def _to_documents(rows: DataFrame, lists: DataFrame, name: str, bytes_each: int, how: str) -> DataFrame:
+    """``rows`` (doc_id, text, text_id) joined with a list for each doc_id and text_id, which is broadcast if its counted size allows.
+
+    An array of structs takes 8 bytes a field and 8 an element as Spark holds it, and 24 to point at it; a row's keys, and the map that holds them, some 128.
+    """
+    total = lists.agg(F.sum(F.size(name) * bytes_each + 128)).first()[0] or 0
+    side = lists.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"), name)
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("text_id") == F.col("_text_id"))
+    return rows.join(F.broadcast(side) if total <= BROADCAST_BYTES else side, same, how).drop("_id", "_text_id")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """anchor, n_contents, doc_id, start and words (joined by spaces) of the ``wanted`` segments (anchor, n_contents, doc_id, start, size)."""
-    lists = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "n_contents", "start", "size")).alias("parts")))
+    """anchor, n_contents, doc_id, text_id, start and words (joined by spaces) of the ``wanted`` segments (anchor, n_contents, doc_id, text_id, start, size)."""
+    lists = cut(wanted.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("anchor", "n_contents", "start", "size")).alias("parts")))
+    columns = ["anchor", "n_contents", "doc_id", "text_id", "start", "words"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in chunks(batches):
             out = []
-            for doc_id, text, parts in zip(piece["doc_id"], piece["text"], piece["parts"], strict=True):
+            for doc_id, text_id, text, parts in zip(piece["doc_id"], piece["text_id"], piece["text"], piece["parts"], strict=True):
                 words = text.encode("utf-8", "replace").split()
-                out += [(p["anchor"], p["n_contents"], doc_id, p["start"], b" ".join(words[p["start"] : p["start"] + p["size"]])) for p in parts]
-            yield pd.DataFrame(out, columns=["anchor", "n_contents", "doc_id", "start", "words"])
+                out += [(p["anchor"], p["n_contents"], doc_id, text_id, p["start"], b" ".join(words[p["start"] : p["start"] + p["size"]])) for p in parts]
+            yield pd.DataFrame(out, columns=columns)
 
-    once = docs.select("doc_id", "text").where("doc_id is not null")
-    joined = _to_documents(once, lists, "parts", 32, "inner")
-    return cut(joined.mapInPandas(run, "anchor long, n_contents long, doc_id long, start int, words binary").dropDuplicates(["anchor", "doc_id", "start"]))
+    joined = _to_documents(_rows(docs).where("doc_id is not null"), lists, "parts", 64, "inner")
+    texts = joined.mapInPandas(run, "anchor long, n_contents long, doc_id long, text_id long, start int, words binary")
+    return cut(texts.dropDuplicates(["anchor", "doc_id", "text_id", "start"]))
 
 
 def _owners(texts: DataFrame, window: int) -> DataFrame:
-    """anchor, doc_id and start of those segments that are the first to hold a window that another one holds."""
+    """anchor, doc_id, text_id and start of those segments that are the first to hold a window that another one holds."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -208,43 +219,44 @@ def _owners(texts: DataFrame, window: int) -> DataFrame:
                 starts = starts[owner[starts] == owner[starts + window - 1]]
                 mine = part.iloc[owner[starts]]
                 found = ranges_hash(hashes, starts, starts + window)
-                yield pd.DataFrame({"found": found.view(np.int64), "anchor": mine["anchor"].to_numpy(), "doc_id": mine["doc_id"].to_numpy(), "start": mine["start"].to_numpy()})
+                yield pd.DataFrame({"found": found.view(np.int64), **{c: mine[c].to_numpy() for c in ("anchor", "doc_id", "text_id", "start")}})
 
-    windows = texts.mapInPandas(run, "found long, anchor long, doc_id long, start int")
-    first = windows.groupBy("found").agg(F.min(F.struct("doc_id", "start", "anchor")).alias("own"), F.max("doc_id").alias("last")).where("own.doc_id < last")
-    return first.select("own.anchor", "own.doc_id", "own.start").distinct()
+    windows = texts.mapInPandas(run, "found long, anchor long, doc_id long, text_id long, start int")
+    first = windows.groupBy("found").agg(F.min(F.struct("doc_id", "text_id", "start", "anchor")).alias("own"), F.max("doc_id").alias("last")).where("own.doc_id < last")
+    return first.select("own.anchor", "own.doc_id", "own.text_id", "own.start").distinct()
 
 
 def _matched(texts: DataFrame, window: int) -> DataFrame:
-    """doc_id, begin and end of the spans of segments that occur in segments of the same unit with a smaller doc_id.
+    """doc_id, text_id, begin and end of the spans of segments that occur in segments of the same unit with a smaller doc_id.
 
-    ``texts``: unit, doc_id, start, words, reference. In each unit segments pass in order of doc_id: a
-    segment is streamed through the automaton of the references before it, and then added to it if it is a reference.
+    ``texts``: unit, doc_id, text_id, start, words, reference, asked. In each unit segments pass in order of doc_id: a
+    segment that asks is streamed through the automaton of the references before it, and one that is a reference is then added to it.
     """
     calls = max(1, texts.count() // CALL_SEGMENTS)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        rows = rows.sort_values(["unit", "doc_id", "start"], kind="stable")
+        rows = rows.sort_values(["unit", "doc_id", "text_id", "start"], kind="stable")
         for _, unit in rows.groupby("unit", sort=False):
             automaton, waiting, before = SuffixAutomaton(), [], None
-            for doc_id, start, words, reference in zip(unit["doc_id"], unit["start"], unit["words"], unit["reference"], strict=True):
+            for doc_id, text_id, start, words, reference, asked in zip(*(unit[c] for c in ("doc_id", "text_id", "start", "words", "reference", "asked")), strict=True):
                 if doc_id != before:
                     for sequence in waiting:
                         automaton.add(sequence)
                     waiting, before = [], doc_id
                 sequence = words.split()
-                out += [(doc_id, start + b, start + e) for b, e in automaton.spans(sequence, window)]
+                if asked:
+                    out += [(doc_id, text_id, start + b, start + e) for b, e in automaton.spans(sequence, window)]
                 if reference:
                     waiting.append(sequence)
-        return pd.DataFrame(out, columns=["doc_id", "begin", "end"])
+        return pd.DataFrame(out, columns=["doc_id", "text_id", "begin", "end"])
 
     dealt = texts.withColumn("call", F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(calls)))
-    return dealt.groupBy("call").applyInPandas(run, "doc_id long, begin int, end int")
+    return dealt.groupBy("call").applyInPandas(run, "doc_id long, text_id long, begin int, end int")
 
 
 def repeated_spans(docs: DataFrame, *, window: int = 50) -> DataFrame:
-    """doc_id and ``spans`` (begin, end in words) that hold every window that also starts in a document with a smaller doc_id.
+    """doc_id, text_id and ``spans`` (begin, end in words) that hold every window that also starts in a document with a smaller doc_id.
 
     1. Every text is cut into segments (:func:`segments`); those of different documents with one anchor may
        share windows. An equal segment of a smaller doc_id settles a segment without looking at words.
@@ -253,8 +265,8 @@ def repeated_spans(docs: DataFrame, *, window: int = 50) -> DataFrame:
        for their matching statistics. Maximal spans of at least ``window`` matching words are repeated.
     3. An anchor with more than MANY_SEGMENTS contents, as of a passage that very many documents quote, is
        not left to one task: hashes of windows, combined before the shuffle, name the segments that first
-       hold a shared window. These alone are its references, and the other segments are dealt over
-       several units that each get them.
+       hold a shared window. These alone are its references. References and segments are both dealt into parts, and a unit is
+       one part of either, so that a unit stays small however many there are.
     """
     found = cut(segments(docs, window))
     # written before the joins, so that a join stands alone in its stage and Spark can split an anchor's rows;
@@ -264,23 +276,29 @@ def repeated_spans(docs: DataFrame, *, window: int = 50) -> DataFrame:
     contents = cut(met.groupBy("anchor", "content").agg(F.min("doc_id").alias("first_id")))
     keys = contents.select(F.col("anchor").alias("_anchor"), F.col("content").alias("_content"), "first_id")
     placed = cut(met.join(keys.hint("merge"), (F.col("anchor") == F.col("_anchor")) & (F.col("content") == F.col("_content"))).drop("_anchor", "_content"))
-    settled = placed.where("doc_id > first_id").select("doc_id", F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end"))
+    settled = placed.where("doc_id > first_id").select("doc_id", "text_id", F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end"))
 
     several = cut(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_contents")).where("n_contents > 1").select(F.col("anchor").alias("_anchor"), "n_contents"))
-    open_ = placed.where("doc_id = first_id").join(several.hint("merge"), F.col("anchor") == F.col("_anchor")).select("anchor", "doc_id", "start", "size", "n_contents")
+    open_ = placed.where("doc_id = first_id").join(several.hint("merge"), F.col("anchor") == F.col("_anchor")).select("anchor", "doc_id", "text_id", "start", "size", "n_contents")
     open_ = cut(open_)
     texts = _texts_of(docs, open_)
-    few = texts.where(F.col("n_contents") <= MANY_SEGMENTS).select(F.col("anchor").alias("unit"), "doc_id", "start", "words", F.lit(True).alias("reference"))
+    place = ["doc_id", "text_id", "start", "words"]
+    few = texts.where(F.col("n_contents") <= MANY_SEGMENTS).select(F.col("anchor").alias("unit"), *place, F.lit(True).alias("reference"), F.lit(True).alias("asked"))
     many = texts.where(F.col("n_contents") > MANY_SEGMENTS)
-    owners = cut(_owners(many.drop("n_contents"), window)).select(F.col("anchor").alias("_a"), F.col("doc_id").alias("_d"), F.col("start").alias("_s"))
-    same = (F.col("anchor") == F.col("_a")) & (F.col("doc_id") == F.col("_d")) & (F.col("start") == F.col("_s"))
-    flagged = cut(many.join(owners, same, "left").withColumn("reference", F.col("_a").isNotNull()).drop("_a", "_d", "_s"))
-    units = F.ceil(F.col("n_contents") / MANY_SEGMENTS).cast("int")
-    salt = F.when(F.col("reference"), F.sequence(F.lit(0), units - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "start"), units).cast("int")))
-    dealt = flagged.withColumn("salt", F.explode(salt)).select(F.xxhash64("anchor", "salt").alias("unit"), "doc_id", "start", "words", "reference")
+    owners = cut(_owners(many.drop("n_contents"), window)).select(*[F.col(c).alias(f"_{c}") for c in ("anchor", "doc_id", "text_id", "start")])
+    same = (F.col("anchor") == F.col("_anchor")) & (F.col("doc_id") == F.col("_doc_id")) & (F.col("text_id") == F.col("_text_id")) & (F.col("start") == F.col("_start"))
+    flagged = cut(many.join(owners, same, "left").withColumn("reference", F.col("_anchor").isNotNull()).drop("_anchor", "_doc_id", "_text_id", "_start"))
+    held = cut(flagged.groupBy("anchor").agg(F.count_if("reference").alias("n_references")).select(F.col("anchor").alias("_anchor"), "n_references"))
+    sized = flagged.join(held, F.col("anchor") == F.col("_anchor")).drop("_anchor")
+    asking, referring = F.ceil(F.col("n_contents") / MANY_SEGMENTS).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("n_references") / MANY_SEGMENTS)).cast("int")
+    mine = F.pmod(F.xxhash64("doc_id", "text_id", "start"), asking).cast("int")
+    my_reference = F.pmod(F.xxhash64("doc_id", "text_id", "start", F.lit(5)), referring).cast("int")
+    asks = sized.withColumn("_other", F.explode(F.sequence(F.lit(0), referring - 1))).select("anchor", mine.alias("a"), F.col("_other").alias("r"), *place, F.lit(False).alias("reference"), F.lit(True).alias("asked"))
+    refers = sized.where("reference").withColumn("_other", F.explode(F.sequence(F.lit(0), asking - 1))).select("anchor", F.col("_other").alias("a"), my_reference.alias("r"), *place, F.lit(True).alias("reference"), F.lit(False).alias("asked"))
+    dealt = asks.unionByName(refers).select(F.xxhash64("anchor", "a", "r").alias("unit"), *place, "reference", "asked")
     matched = _matched(cut(few.unionByName(dealt)), window)
     spans = settled.unionByName(matched)
-    return cut(spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans")))
+    return cut(spans.groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans")))
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 50) -> DataFrame:
@@ -291,11 +309,10 @@ def remove_repeats(docs: DataFrame, *, window: int = 50) -> DataFrame:
     they come, whole.
 
     Null or empty text: no words. Rows with a null doc_id are returned unchanged and compared with nothing.
-    Rows that repeat a doc_id are taken for repeated rows: they aren't each other's smaller document. Empty table: empty
+    Rows that share a doc_id aren't each other's smaller document, and each loses only what its own text has in common with smaller ones. Empty table: empty
     result. Columns other than doc_id and text aren't read.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    joined = _to_documents(rows, repeated_spans(docs, window=window), "spans", 16, "left")
+    joined = _to_documents(_rows(docs), repeated_spans(docs, window=window), "spans", 32, "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in chunks(batches):

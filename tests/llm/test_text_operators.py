@@ -67,6 +67,34 @@ def test_one_passage_in_very_many_documents(spark, make, monkeypatch):
     assert found == {i: 0 if i == 0 else 60 for i in range(200)}
 
 
+def test_substrings_of_rows_that_share_a_doc_id(spark, make):
+    passage, own = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(70))
+    found = substring.remove_repeats(make((1, passage), (2, passage), (2, own), (2, passage)))
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in found.collect()) == [(1, 60, 0), (2, 60, 60), (2, 60, 60), (2, 70, 0)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_many_variants_of_a_passage_equal_brute_force(spark, make, monkeypatch, seed):
+    """Windows that many documents share in many variants: references and segments are dealt into several parts each."""
+    monkeypatch.setattr(substring, "MANY_SEGMENTS", 4)
+    rng = random.Random(seed)
+    base = [f"p{i}" for i in range(90)]
+    texts = {}
+    for i in range(60):
+        w = base.copy()
+        for at in rng.sample([*range(20), *range(72, 90)], 3):
+            w[at] = f"x{rng.randrange(6)}"
+        texts[i] = [f"a{i}"] * rng.randrange(5) + w[rng.randrange(8) : 90 - rng.randrange(8)]
+    first: dict = {}
+    for i, w in texts.items():
+        for j in range(len(w) - 49):
+            first.setdefault(tuple(w[j : j + 50]), i)
+    for r in substring.remove_repeats(make(*[(i, " ".join(w)) for i, w in texts.items()])).collect():
+        w = texts[r.doc_id]
+        gone = {k for j in range(len(w) - 49) if first[tuple(w[j : j + 50])] < r.doc_id for k in range(j, j + 50)}
+        assert r.n_removed == len(gone) and r.kept == " ".join(x for k, x in enumerate(w) if k not in gone)
+
+
 def test_automaton_equals_brute_force():
     rng = random.Random(2)
     for _ in range(500):
