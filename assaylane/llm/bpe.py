@@ -10,12 +10,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of text, or ids, about, that are handled at once.
+SLICE_BYTES = 1 << 20
 #: Distinct words whose tokens a Python worker keeps (some 200 bytes each); the rest are merged anew.
 KEPT_WORDS = 250_000
 
@@ -141,6 +144,17 @@ def _ship(spark: SparkSession, ranks_path: str) -> str:
     return ranks_path.rstrip("/").rsplit("/", 1)[-1]
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in pieces of about SLICE_BYTES of a column, but for a longer single row: bounds a task's memory."""
+    held = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(held) if pa.types.is_string(held.type) else pc.list_value_length(held), 0).to_numpy(zero_copy_only=False)
+    at = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with its whole texts' token ids as an array of integers; special tokens' names are ordinary text.
 
@@ -155,8 +169,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, kept.index(text)):
                 found = [encoder.encode(t or "") for t in part.column(kept.index(text)).to_pylist()]
                 offsets = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
                 values = np.frombuffer(b"".join(found), dtype="<i4")
@@ -177,8 +190,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, *, ids: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, kept.index(ids)):
                 column = part.column(kept.index(ids))
                 found = [encoder.decode(np.asarray(x.values, dtype=np.int64) if x.is_valid else np.zeros(0, np.int64)).tobytes() for x in column]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*kept, decoded])

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,22 +44,41 @@ def replication_rates(docs: DataFrame, weights: DataFrame | None = None, *, alph
     return weighed.select("source", "size", F.when(F.col("size") > 0, F.lit(float(epochs)) * share / F.col("size")).otherwise(F.lit(float(epochs))).alias("rate"))
 
 
+def poisson_table(rate: float) -> tuple[int, list[float]]:
+    """The count that the distribution of mean ``rate`` begins with, and the bounds P(X <= count), count by count, to its far end.
+
+    Counts beyond ten standard deviations and some are left out: together they have less than 2 ** -52. So a table has
+    some ``20 * sqrt(rate)`` bounds.
+    """
+    if not rate > 0:
+        return 0, []
+    reach = 10 * math.sqrt(rate) + 30
+    first = max(0, math.floor(rate - reach))
+    counts = np.arange(first, math.ceil(rate + reach) + 1)
+    logs = counts * math.log(rate) - rate - np.fromiter(map(math.lgamma, counts + 1.0), dtype=float, count=len(counts))
+    return first, np.cumsum(np.exp(logs)).tolist()
+
+
 def poisson_copies(docs: DataFrame, rates: DataFrame, *, seed: int = 17) -> DataFrame:
-    """``docs`` with ``n_copies``: the Poisson distribution of the source's rate, inverted at a number hashed from seed and doc_id."""
-    top = rates.agg(F.max("rate")).first()[0] or 0.0
-    last = math.ceil(top + 12 * math.sqrt(top) + 30)  # beyond it lies less than 2 ** -52
-    logs = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(last + 1)])
-    masses = F.transform(logs, lambda lg, i: F.exp(i * F.ln("rate") - F.col("rate") - lg))
-    bounds = F.aggregate(
-        masses,
-        F.array().cast("array<double>"),
-        lambda done, mass: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)) + mass)),
-    )
-    tables = cut(rates.select(F.col("source").alias("_source"), F.when(F.col("rate") > 0, bounds).alias("_bounds")))
-    draw = uniform(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    joined = docs.withColumn("_draw", draw).join(tables, docs["source"].eqNullSafe(tables["_source"]), "left")
-    copies = F.when(F.col("_bounds").isNull(), 0).otherwise(F.size(F.filter("_bounds", lambda bound: bound <= F.col("_draw"))))
-    return joined.withColumn("n_copies", copies).drop("_source", "_bounds", "_draw")
+    """``_row`` (the row of ``docs``), ``_doc`` (its doc_id as text) and ``_copies``: the Poisson distribution of the source's rate, inverted at a number hashed from seed and doc_id.
+
+    Tasks make a table of bounds for each source; a document then looks its number up.
+    """
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [poisson_table(rate) for rate in batch["rate"]]
+            yield pd.DataFrame({"_source": batch["source"], "_first": pd.array([m[0] for m in made], dtype="int32"), "_bounds": [m[1] for m in made]})
+
+    kind = rates.schema["source"].dataType.simpleString()
+    made = cut(rates.select("source", "rate").mapInPandas(tables, f"_source {kind}, _first int, _bounds array<double>"))
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    # rows travel in a struct, so that their columns can have any name
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), doc.alias("_doc"), F.col("source").alias("_from"))
+    joined = rows.withColumn("_draw", uniform(F.lit(str(seed)), F.col("_doc"))).join(made, F.col("_from").eqNullSafe(F.col("_source")), "left")
+    below = F.size(F.filter("_bounds", lambda bound: bound <= F.col("_draw")))
+    copies = F.when(F.size("_bounds") > 0, F.col("_first") + below).otherwise(0)
+    return joined.select("_row", "_doc", copies.alias("_copies"))
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, alpha: float = 0.5, epochs: float = 1.0, seed: int = 17) -> DataFrame:
@@ -72,10 +94,10 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, alpha: flo
 
     Null text: size 0. Null source: a source like any other. Null doc_id: drawn as
     if it were empty. Repeated rows: drawn alike, and each is kept as often. Empty
-    table: empty result. Other columns pass through.
+    table: empty result. Other columns pass through, but for those named copy or shuffle_key, which are replaced.
     """
     counted = poisson_copies(docs, replication_rates(docs, weights, alpha=alpha, epochs=epochs), seed=seed)
-    copied = counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).drop("n_copies")
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), doc, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("bigint")
-    return copied.withColumn("shuffle_key", key).orderBy("shuffle_key", "doc_id", "copy")
+    copied = counted.where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col("_doc"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("bigint")
+    columns = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("copy", "shuffle_key")]
+    return copied.select(*columns, "copy", key.alias("shuffle_key")).orderBy("shuffle_key", "doc_id", "copy")

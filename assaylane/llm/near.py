@@ -161,6 +161,9 @@ def keep_one_near(docs: DataFrame, **options) -> DataFrame:
 
     Rows with a null doc_id stay.
     """
-    keep = near_components(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    chosen = docs.join(keep, docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where(F.col("doc_id").isNull()))
+    found = near_components(docs, **options)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    # rows travel in a struct, so that their columns can have any name
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_doc"))
+    chosen = rows.join(keep, F.col("_doc") == F.col("_id"), "left_semi").dropDuplicates(["_doc"])
+    return chosen.unionByName(rows.where(F.col("_doc").isNull())).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -80,8 +80,8 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(self.bias + np.bincount(owner, self.weight[buckets] * value, minlength=len(texts)))))
 
 
-def log_count_ratios(total: np.ndarray, squares: np.ndarray, rows: np.ndarray, *, min_ratio: float, min_z: float, most: int) -> np.ndarray:
-    """log of the mean value of a bucket in toxic texts over that in other texts; zero where it is small or may be chance, and for all but the ``most`` surest.
+def log_count_ratios(total: np.ndarray, squares: np.ndarray, rows: np.ndarray, *, min_ratio: float, min_z: float) -> np.ndarray:
+    """log of the mean value of a bucket in toxic texts over that in other texts; zero where it is small or may be chance.
 
     ``total[class, bucket]`` and ``squares`` sum values and their squares over ``rows[class]`` texts; class 1 is toxic.
     """
@@ -90,9 +90,7 @@ def log_count_ratios(total: np.ndarray, squares: np.ndarray, rows: np.ndarray, *
     spread = np.maximum(squares / n - mean**2, 0) / n + 1 / n**2
     ratio = np.log((total[1] + 1) / (n[1] + 2)) - np.log((total[0] + 1) / (n[0] + 2))
     sure = np.abs(mean[1] - mean[0]) / np.sqrt(spread.sum(axis=0))
-    sure = np.where((np.abs(ratio) >= min_ratio) & (sure >= min_z), sure, 0.0)
-    least = np.partition(sure, len(sure) - most)[len(sure) - most]
-    return np.where((sure > 0) & (sure >= least), ratio, 0.0)
+    return np.where((np.abs(ratio) >= min_ratio) & (sure >= min_z), ratio, 0.0)
 
 
 def logistic(owner: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, n_features: int, *, l2: float, rounds: int) -> tuple[np.ndarray, float]:
@@ -112,13 +110,12 @@ def logistic(owner: np.ndarray, feature: np.ndarray, value: np.ndarray, label: n
     return w, b
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_fit_rows: int = 10_000, max_features: int = 8192, min_ratio: float = 0.25, min_z: float = 4.0, l2: float = 1e-4, rounds: int = 400) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_fit_rows: int = 10_000, min_ratio: float = 0.25, min_z: float = 4.0, l2: float = 1e-4, rounds: int = 400) -> ToxicityModel:
     """Learns from the rows of ``docs`` that have a ``labels.toxic``; of several labels of a doc_id the largest counts.
 
     The log-count ratios use every labelled text: tasks count in arrays of BUCKETS numbers, and Spark adds them.
     The linear classifier is then fitted on the driver to about ``max_fit_rows`` labelled texts
-    at most (a hash of doc_id picks them), of which only the buckets with a ratio come; of these
-    the ``max_features`` surest. Labels are broadcast to the documents if their counted size is within
+    at most (a hash of doc_id picks them), of which only the buckets with a ratio come, BUCKETS at most. Labels are broadcast to the documents if their counted size is within
     BROADCAST_BYTES; above, both are shuffled by doc_id.
     Without labels of both kinds the model gives every text the share of toxic labels (one half if there are none).
     """
@@ -150,7 +147,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_fit_rows: int = 10_0
     counts = counts[counts["bucket"] >= 0]
     total, squares = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
     total[counts["bucket"]], squares[counts["bucket"]] = counts["total"] / STEPS, counts["squares"] / STEPS**2
-    ratio = log_count_ratios(total.reshape(2, -1), squares.reshape(2, -1), np.array([n_neg, n_pos]), min_ratio=min_ratio, min_z=min_z, most=max_features)
+    ratio = log_count_ratios(total.reshape(2, -1), squares.reshape(2, -1), np.array([n_neg, n_pos]), min_ratio=min_ratio, min_z=min_z)
     shared = docs.sparkSession.sparkContext.broadcast(ratio != 0)
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,6 +4,12 @@ import pytest
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
+#: What operators add or use on the way.
+CLASHING = (
+    "n_words kept _words size rate copy copy_no shuffle_key n_copies _draw _source _bounds _from _doc _row _copies _first fp root node removed spans anchor score line key "
+    "_id _removed _lines _found n_lines n_removed ids n_tokens decoded decodes _statistics quality base_failed component_id doc text_id _text_id label id pos first_id query_id rank"
+).split()
+
 
 @pytest.fixture(scope="session")
 def make(spark):
@@ -29,6 +35,6 @@ def clashing(make):
     from pyspark.sql import functions as F
 
     df = make((1, "alpha beta gamma " * 30), (2, "alpha beta gamma " * 30), (3, "other words entirely here"))
-    for name in ("n_words", "kept", "_words", "size", "rate", "copy_no", "fp", "root", "node", "removed", "spans", "anchor", "score", "line", "key"):
-        df = df.withColumn(name, F.lit(0))
+    for name in CLASHING:
+        df = df.withColumn(name, F.lit(7))
     return df

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import public_tokenizers
-from assaylane.llm import bpe, html, language, lines, mixing, quality, search, simhash, substring, toxicity
+from assaylane.llm import bpe, html, language, lines, mixing, near, quality, search, simhash, substring, toxicity
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -21,6 +21,7 @@ OPERATORS = {
     "toxicity": lambda spark, d: toxicity.score_toxicity(d, toxicity.fit_toxicity(d, labels(spark))),
     "search": lambda spark, d: search.search(d, d, k=3),
     "simhash": lambda spark, d: simhash.simhash_components(d),
+    "near_keep": lambda spark, d: near.keep_one_near(d),
     "simhash_keep": lambda spark, d: simhash.keep_one_per_component(d),
     "lines": lambda spark, d: lines.drop_duplicate_lines(d),
     "bpe": lambda spark, d: bpe.decode(bpe.encode(d, RANKS, PATTERN), RANKS, PATTERN),
@@ -44,7 +45,13 @@ def test_empty_table(spark, odd, name):
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_clashing_names(spark, clashing, name):
-    OPERATORS[name](spark, clashing).collect()
+    """The columns of the input come through with their values, but for those that an operator adds itself, and the result is that without them."""
+    found = OPERATORS[name](spark, clashing)
+    plain = OPERATORS[name](spark, clashing.select("doc_id", "text", "lang", "source", "n_chars"))
+    assert len(found.columns) == len(set(found.columns)) and set(plain.columns) <= set(found.columns)
+    own = lambda df: sorted(str([r[c] for c in plain.columns]) for r in df.collect())
+    assert own(found) == own(plain)
+    assert all(r[c] == 7 for r in found.collect() for c in found.columns if c not in plain.columns)
 
 
 def test_html_edges(spark):
