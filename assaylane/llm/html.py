@@ -21,7 +21,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("article aside body details dialog div dl fieldset figure footer form header main menu nav ol section table td th ul".split())
 #: Elements whose content is no text but, unlike raw text, ends with their parent.
-HIDDEN_TAGS = frozenset("svg math select button object audio video canvas".split())
+HIDDEN_TAGS = frozenset("svg select button audio video canvas".split())
 #: What an end tag of another element, or a made-up one, doesn't reach beyond.
 WALLS = SCOPES | HIDDEN_TAGS
 BOILER_TAGS = frozenset("aside dialog fieldset footer form menu nav".split())
@@ -34,12 +34,17 @@ BOILER_WORDS = frozenset(
 MAIN_WORDS = frozenset("article body content entry main post story text".split())
 UPPER_WORDS = frozenset("header head top meta".split())
 
-#: Comments, declarations, elements of raw text (which run to the page's end without an end tag), and tags.
+#: Names with such words say what an element goes without, or a state or topic of it: "no-sidebar", "ad-free", "comments-open", "tag-search".
+ASIDE_FIRST = frozenset("no non not without has with is hide category cat tag type format status".split())
+ASIDE_LAST = frozenset("free open opened closed enabled disabled on off allowed less".split())
+
+#: Comments, declarations, elements of raw text (which run to the page's end without an end tag), and tags. Outside quotes a
+#: tag holds no "<", and what has matched is not tried anew, so unclosed tags take time in proportion to the page.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|textarea|iframe|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
-    r"|</?[a-zA-Z][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>"
+    r"|<(script|style|noscript|template|textarea|iframe|title)(?=[\s/>])[^<>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^<>\"'])*+)>"
+    r"|</?[a-zA-Z][^<>]*>",
     re.S | re.I,
 )
 HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -47,13 +52,19 @@ HINT_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 def hints(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element looks like it holds boilerplate, and like it holds the main text."""
+    """Whether an element looks like it holds boilerplate, and like it holds the main text.
+
+    Each class, id or role is read as a whole: one that says what the element goes without, or a state of it, says nothing.
+    """
     found: set[str] = set()
-    if "=" in attributes:
+    if "=" in attributes and tag not in ("body", "html", "main"):
         for m in HINT.finditer(attributes):
-            found.update(w.lower() for w in HINT_WORD.findall(m[1] or m[2] or m[3] or ""))
-    boiler = tag in BOILER_TAGS or bool(found & BOILER_WORDS) and tag not in ("body", "html")
-    main = not boiler and (tag in MAIN_TAGS or bool(found & MAIN_WORDS) and tag not in ("body", "html"))
+            for name in (m[1] or m[2] or m[3] or "").split():
+                parts = [w.lower() for w in HINT_WORD.findall(name)]
+                if len(parts) < 2 or parts[0] not in ASIDE_FIRST and parts[-1] not in ASIDE_LAST:
+                    found.update(parts)
+    boiler = tag in BOILER_TAGS or bool(found & BOILER_WORDS)
+    main = not boiler and (tag in MAIN_TAGS or bool(found & MAIN_WORDS))
     if not main and not in_main and (tag == "header" or found & UPPER_WORDS):
         boiler = True
     return boiler, main
@@ -79,8 +90,12 @@ def _walk(html: str, unclosed: set[int]) -> tuple[list[dict], set[int]]:
     """The blocks, and where elements of HIDDEN_TAGS begin that turned out to have no end tag, beside those known."""
     out: list[dict] = []
     opened: list[int] = []
+    lifted: list[int] = []
     found: set[int] = set()
     stack: list[tuple[str, bool, bool]] = []
+    places: dict[str, list[int]] = {}
+    walls: list[int] = []
+    early: list[int] = []
     parts: list[tuple[str, bool]] = []
     state = {"boiler": 0, "main": 0, "a": 0, "heading": 0, "hidden": 0}
 
@@ -102,19 +117,26 @@ def _walk(html: str, unclosed: set[int]) -> tuple[list[dict], set[int]]:
 
     def close(to: int, ended: bool = False) -> None:
         while len(stack) > to:
-            if stack[-1][0] in HIDDEN_TAGS:
+            tag = stack[-1][0]
+            if tag in HIDDEN_TAGS:
                 begin = opened.pop()
                 if begin not in unclosed and not (ended and len(stack) == to + 1):
                     found.add(begin)
+            places[tag].pop()
+            for marks in (walls, early):
+                if marks and marks[-1] == len(stack) - 1:
+                    marks.pop()
+            if tag == "main":
+                state["boiler"] = lifted.pop()
             count(stack.pop(), -1)
 
-    def last(tag: str, within: frozenset[str]) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                return i
-            if stack[i][0] in within:
-                return -1
-        return -1
+    def last(tag: str, walled: bool, beyond: frozenset[str] = frozenset()) -> int:
+        """The place of the innermost open element of this tag, if no wall is above it but those ``beyond``; -1 for none."""
+        at = places.get(tag) or [-1]
+        wall = len(walls) - 1
+        while walled and wall >= 0 and stack[walls[wall]][0] in beyond:
+            wall -= 1
+        return -1 if walled and wall >= 0 and at[-1] < walls[wall] else at[-1]
 
     at = 0
     for m in MARKUP.finditer(html):
@@ -127,8 +149,8 @@ def _walk(html: str, unclosed: set[int]) -> tuple[list[dict], set[int]]:
             continue
         tag, closing = m[3].lower(), bool(m[2])
         block = tag in BLOCK_TAGS
-        if block and opened and (ends := [i for i, begin in zip((i for i, e in enumerate(stack) if e[0] in HIDDEN_TAGS), opened, strict=True) if begin in unclosed]):
-            close(ends[0])
+        if block and early:
+            close(early[0])
         if block and not state["hidden"]:
             flush()
         elif tag in HIDDEN_TAGS:
@@ -138,21 +160,29 @@ def _walk(html: str, unclosed: set[int]) -> tuple[list[dict], set[int]]:
         if tag in VOID_TAGS:
             continue
         if closing:
-            i = last(tag, frozenset() if tag in SCOPES or tag in HIDDEN_TAGS else WALLS)
+            i = last(tag, tag not in WALLS)
             if i >= 0:
                 close(i, True)
         else:
-            if block and (i := last("p", WALLS)) >= 0:
+            if block and (i := last("p", True)) >= 0:
                 close(i)
-            if tag in ("li", "dt", "dd", "tr", "td", "th", "a") and (i := last(tag, WALLS - {"td", "th"} if tag == "tr" else WALLS)) >= 0:
+            if tag in ("li", "dt", "dd", "tr", "td", "th", "a") and (i := last(tag, True, frozenset({"td", "th"}) if tag == "tr" else frozenset())) >= 0:
                 close(i)
             if m[4].endswith("/"):
                 continue
             boiler, main = hints(tag, m[4], state["main"] > 0)
             entry = (tag, boiler, main)
-            stack.append(entry)
+            places.setdefault(tag, []).append(len(stack))
+            if tag in WALLS:
+                walls.append(len(stack))
             if tag in HIDDEN_TAGS:
                 opened.append(m.start())
+                if m.start() in unclosed:
+                    early.append(len(stack))
+            if tag == "main":  # whatever the elements around it are named, this is the main part
+                lifted.append(state["boiler"])
+                state["boiler"] = 0
+            stack.append(entry)
             count(entry, 1)
     if at < len(html) and not state["hidden"]:
         parts.append((unescape(html[at:]), state["a"] > 0))
@@ -167,7 +197,8 @@ FEATURES = ["n_words", "links", "boiler", "main", "heading", "words_before", "li
 #: The labelled table, page by page. A block: words, linked words, boiler, main, heading, label (1: main text).
 #: The pages: with all containers named; without any; short news; a list of links; a forum; an essay with
 #: one-line paragraphs; a landing page; notes in an article; two with short
-#: paragraphs between long ones; a page of text only.
+#: paragraphs between long ones; a page of text only; three without any named container, whose short blocks are told apart by what is around them; two whose last
+#: block is a link; three of a single block.
 LABELLED_PAGES = [
     [(1, 1, 1, 0, 0, 0), (2, 2, 1, 0, 0, 0), (6, 0, 1, 0, 0, 0), (9, 0, 0, 1, 1, 1), (60, 2, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (45, 0, 0, 1, 0, 1), (8, 0, 0, 1, 0, 1), (12, 3, 1, 0, 0, 0)],
     [(1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (7, 0, 0, 0, 1, 1), (55, 0, 0, 0, 0, 1), (70, 3, 0, 0, 0, 1), (30, 0, 0, 0, 0, 1), (4, 4, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (6, 4, 0, 0, 0, 0)],
@@ -180,6 +211,14 @@ LABELLED_PAGES = [
     [(5, 0, 0, 1, 1, 1), (30, 0, 0, 1, 0, 1), (6, 0, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (25, 0, 0, 1, 0, 1), (18, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (40, 0, 0, 1, 0, 1), (9, 0, 0, 1, 0, 1), (2, 2, 1, 0, 0, 0)],
     [(2, 2, 1, 0, 0, 0), (14, 0, 0, 1, 1, 1), (33, 0, 0, 1, 0, 1), (20, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1)],
     [(40, 0, 0, 0, 0, 1), (35, 0, 0, 0, 0, 1), (12, 0, 0, 0, 0, 1), (80, 4, 0, 0, 0, 1)],
+    [(2, 2, 0, 0, 0, 0), (5, 0, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (9, 0, 0, 0, 1, 1), (4, 0, 0, 0, 0, 1), (48, 1, 0, 0, 0, 1), (6, 0, 0, 0, 0, 1), (52, 0, 0, 0, 0, 1), (2, 0, 0, 0, 0, 1), (33, 0, 0, 0, 0, 1), (5, 5, 0, 0, 0, 0), (7, 0, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0)],
+    [(4, 0, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (38, 0, 0, 0, 0, 1), (5, 0, 0, 0, 0, 1), (44, 2, 0, 0, 0, 1), (60, 0, 0, 0, 0, 1), (3, 0, 0, 0, 0, 1), (29, 0, 0, 0, 0, 1), (3, 3, 0, 0, 0, 0), (8, 0, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (6, 0, 0, 0, 0, 0)],
+    [(3, 3, 0, 0, 0, 0), (7, 0, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0), (11, 0, 0, 0, 1, 1), (57, 3, 0, 0, 0, 1), (8, 8, 0, 0, 0, 1), (61, 0, 0, 0, 0, 1), (4, 0, 0, 0, 1, 1), (36, 0, 0, 0, 0, 1), (2, 2, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0), (5, 5, 0, 0, 0, 0)],
+    [(1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (45, 0, 0, 0, 0, 1), (38, 0, 0, 0, 0, 1), (3, 3, 0, 0, 0, 0)],
+    [(2, 2, 0, 0, 0, 0), (50, 0, 0, 0, 0, 1), (62, 2, 0, 0, 0, 1), (4, 4, 0, 0, 0, 0)],
+    [(5, 0, 0, 0, 0, 1)],
+    [(1, 0, 0, 0, 0, 1)],
+    [(14, 1, 0, 0, 0, 1)],
 ]
 
 
@@ -193,7 +232,7 @@ def labelled_rows(pages: list = LABELLED_PAGES) -> list[tuple]:
 
 
 def fit_tree(spark: SparkSession, rows: list[tuple] | None = None, *, depth: int = 6) -> DecisionTreeClassificationModel:
-    """A decision tree over FEATURES, from a labelled table of some 90 blocks."""
+    """A decision tree over FEATURES, from a labelled table of some 130 blocks."""
     table = spark.createDataFrame(labelled_rows() if rows is None else rows, [*FEATURES, "label"])
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(table).coalesce(1)
     return DecisionTreeClassifier(maxDepth=depth, maxBins=64, minInstancesPerNode=1, seed=1).fit(assembled)
