@@ -14,7 +14,7 @@ WIDTH, ROWS, BANDS = 8, 4, 8
 #: Shingles, about, of a longer line that may hold a bin's least hash: a bin is left without one by chance ``exp(-SURVIVORS / 32)``.
 SURVIVORS = 96
 #: Leaders of a large bucket in the second round; buckets of no more members go to the last round, of all pairs, at once.
-LEADERS = 4
+LEADERS = 16
 #: Bytes up to which the removed lines are broadcast to the documents; above, both are shuffled.
 BROADCAST_BYTES = 32 << 20
 #: Fixed: the characters besides the line feed that make no word.
@@ -101,7 +101,8 @@ def line_components(docs: DataFrame, *, threshold: float = 0.8, min_chars: int =
     Lines that share a band key meet in a bucket. All members are compared with the bucket's leader, its least id: a
     group of copies of one line, however large, costs one comparison a member. Components are taken, and only buckets
     that hold several of them go on, since a comparison within a component can add nothing. In buckets of more than
-    LEADERS members, LEADERS of different components meet all members of other components, and components are taken again. At last all
+    LEADERS members, LEADERS drawn by a hash, most of them from the bucket's largest component, meet all members of other components, and components
+    are taken again: who has near ones there hardly stays outside, so that few are left to be compared one by one. At last all
     pairs of different components that still share a bucket are compared, so that all that is missed is what the bands miss. A line's
     number of different shingles rules pairs out beforehand. What is left grows with the square of a bucket whose lines are not near each other.
     """
@@ -116,7 +117,7 @@ def line_components(docs: DataFrame, *, threshold: float = 0.8, min_chars: int =
     met = _verify(pairs, texts, threshold)
     roots = connected_components(met.where("near").select("a", "b"))
     left = _named(members.select("key", "id"), roots)
-    slot = F.pmod(F.xxhash64("root", F.lit(11)), F.lit(LEADERS))
+    slot = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(LEADERS))
     large = left.where(F.col("size") > LEADERS)
     leaders = cut(large.groupBy("key", slot.alias("slot")).agg(F.min_by("id", "id").alias("_id"), F.min_by("root", "id").alias("_root")).select(F.col("key").alias("_key"), "_id", "_root"))
     apart = (F.col("key") == F.col("_key")) & (F.col("root") != F.col("_root"))
