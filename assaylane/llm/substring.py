@@ -18,8 +18,6 @@ GRAM = 8
 MANY_SEGMENTS = 256
 #: Segments, about, that one call of the matching gets.
 CALL_SEGMENTS = 4096
-#: Bytes up to which a table is broadcast to the documents; above, both are shuffled.
-BROADCAST_BYTES = 32 << 20
 
 
 def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -178,15 +176,11 @@ class SuffixAutomaton:
         return [tuple(x) for x in out]
 
 
-def _to_documents(rows: DataFrame, lists: DataFrame, name: str, bytes_each: int, how: str) -> DataFrame:
-    """``rows`` (doc_id, text, text_id) joined with a list for each doc_id and text_id, which is broadcast if its counted size allows.
-
-    An array of structs takes 8 bytes a field and 8 an element as Spark holds it, and 24 to point at it; a row's keys, and the map that holds them, some 128.
-    """
-    total = lists.agg(F.sum(F.size(name) * bytes_each + 128)).first()[0] or 0
+def _to_documents(rows: DataFrame, lists: DataFrame, name: str, how: str) -> DataFrame:
+    """``rows`` (doc_id, text, text_id) joined with a list for each doc_id and text_id; both grow with the input, so they are merged at every size."""
     side = lists.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"), name)
     same = (F.col("doc_id") == F.col("_id")) & (F.col("text_id") == F.col("_text_id"))
-    return rows.join(F.broadcast(side) if total <= BROADCAST_BYTES else side, same, how).drop("_id", "_text_id")
+    return rows.join(side.hint("merge"), same, how).drop("_id", "_text_id")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -202,7 +196,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 out += [(p["anchor"], p["n_contents"], doc_id, text_id, p["start"], b" ".join(words[p["start"] : p["start"] + p["size"]])) for p in parts]
             yield pd.DataFrame(out, columns=columns)
 
-    joined = _to_documents(_rows(docs).where("doc_id is not null"), lists, "parts", 64, "inner")
+    joined = _to_documents(_rows(docs).where("doc_id is not null"), lists, "parts", "inner")
     texts = joined.mapInPandas(run, "anchor long, n_contents long, doc_id long, text_id long, start int, words binary")
     return cut(texts.dropDuplicates(["anchor", "doc_id", "text_id", "start"]))
 
@@ -312,7 +306,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 50) -> DataFrame:
     Rows that share a doc_id aren't each other's smaller document, and each loses only what its own text has in common with smaller ones. Empty table: empty
     result. Columns other than doc_id and text aren't read.
     """
-    joined = _to_documents(_rows(docs), repeated_spans(docs, window=window), "spans", 32, "left")
+    joined = _to_documents(_rows(docs), repeated_spans(docs, window=window), "spans", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in chunks(batches):
