@@ -15,6 +15,10 @@ WIDTH, ROWS, BANDS = 8, 4, 8
 SURVIVORS = 96
 #: Leaders of a large bucket in the second round; buckets of no more members go to the last round, of all pairs, at once.
 LEADERS = 16
+#: 64-bit words of a line's mark, a bitmap of its shingles that rules pairs out.
+WORDS = 64
+#: Members of a part of a large bucket in the last round; a part meets its whole bucket in a task.
+TILE = 4096
 #: Bytes up to which the removed lines are broadcast to the documents; above, both are shuffled.
 BROADCAST_BYTES = 32 << 20
 #: Fixed: the characters besides the line feed that make no word.
@@ -26,9 +30,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     An id has 64 bits: among n different lines some ``n ** 2 / 2 ** 65`` pairs share one.
     """
-    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    small = lines.where(F.ltrim("line", F.lit(BLANKS)) != "").withColumn("line", F.lower("line"))
-    return small.select("doc_id", "pos", "line", F.xxhash64("line").alias("id"))
+    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+    return lines.where(F.ltrim("line", F.lit(BLANKS)) != "").select("doc_id", "pos", "line", F.xxhash64("line").alias("id"))
+
+
+def _different(lines: DataFrame) -> DataFrame:
+    """id and line, each id once, merged in the tasks that read them and then by a shuffle on id alone, which later aggregates by id need not repeat."""
+    return lines.groupBy("id").agg(F.first("line").alias("line"))
 
 
 def _places(wide: Column) -> Column:
@@ -47,11 +55,11 @@ def bands(lines: DataFrame) -> DataFrame:
     MinHash by one permutation: shingles' hashes are dealt into ROWS * BANDS bins, and a line's signature is the
     least hash of each bin; a band's key hashes ROWS bins. An empty bin, of a short line, counts as empty. Of a long
     line only hashes under a bound that leaves about SURVIVORS of them are looked at, since a greater one is hardly
-    ever the least of a bin. Equal lines are merged first, in the tasks that read them and then by a shuffle on id.
+    ever the least of a bin. Equal lines are merged first, by a shuffle on id.
     The shingles are then exploded and reduced on the same key, so nothing is shuffled again. The bytes and
     the bound are made below the explode, or each shingle would make them anew.
     """
-    wide = lines.select("id", "line").distinct().select("id", F.encode("line", "UTF-16BE").alias("wide"))
+    wide = _different(lines).select("id", F.encode("line", "UTF-16BE").alias("wide"))
     some = F.length("wide") / 2
     bound = F.when(some <= 2 * SURVIVORS, F.lit((1 << 63) - 1)).otherwise((F.lit(SURVIVORS * 2.0**64) / some - F.lit(2.0**63)).cast("bigint"))
     spread = wide.select("id", "wide", bound.alias("bound"), F.explode(_places(F.col("wide"))).alias("at"))
@@ -66,23 +74,55 @@ def shingle_hashes(wide: Column) -> Column:
     return F.get(F.transform(F.array(wide), lambda w: F.transform(_places(w), lambda at: _shingle_hash(w, at))), F.lit(0))
 
 
+def marks(texts: DataFrame) -> DataFrame:
+    """id, n and the mark m0, m1 ... of every line (id, wide): its number of shingles, repeats included, and a bitmap in which each shingle's hash sets a bit."""
+    # dealt by id first, so that a line's words are made and brought together in one task
+    spread = texts.repartition("id").select("id", "wide", F.explode(_places(F.col("wide"))).alias("at"))
+    hashed = spread.select("id", _shingle_hash(F.col("wide"), F.col("at")).alias("h"))
+    placed = hashed.select("id", F.pmod(F.shiftright("h", 6), F.lit(WORDS)).cast("int").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    several = placed.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"), F.bit_or("bit").alias("bits"))
+    words = [F.coalesce(F.max(F.when(F.col("word") == i, F.col("bits"))), F.lit(0)).alias(f"m{i}") for i in range(WORDS)]
+    return cut(several.groupBy("id").agg(F.sum("n").alias("n"), *words))
+
+
+def _may_be_near(threshold: float) -> Column:
+    """Whether lines (n, m0 ...) and (_n, _m0 ...) can have the similarity ``threshold``, by their marks.
+
+    A bit that one mark alone has is set by a shingle that one line alone has, so the bits in which marks differ are at most the
+    shingles d of one line alone. Of sets with i common and u different elements in all, d = u - i, and i >= t * u means
+    d <= (n + _n) * (1 - t) / (1 + t), with n + _n = u + i or, with repeats, more. So no pair of the threshold is ruled out.
+    """
+    differ = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"_m{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("m0").bitwiseXOR(F.col("_m0"))))
+    return differ * F.lit(1 + threshold) <= (F.col("n") + F.col("_n")) * F.lit(1 - threshold) + F.lit(1e-6)
+
+
+def _other(rows: DataFrame) -> DataFrame:
+    """``rows`` with an underscore before every name."""
+    return rows.select(*[F.col(c).alias(f"_{c}") for c in rows.columns])
+
+
+def _marked(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """``rows`` with the number of shingles and the mark of their id."""
+    known = marked.withColumnRenamed("id", "_of")
+    return rows.join(known, F.col("id") == F.col("_of")).drop("_of")
+
+
 def _meet(members: DataFrame) -> DataFrame:
-    """``members`` (key, id) of buckets of two or more, with the bucket's size and leader, its member of least id."""
+    """``members`` (key, id) of buckets of two or more, with the bucket's leader, its member of least id."""
     # written before the join, so that the join stands alone in its stage and Spark can split a bucket's rows
-    sizes = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("leader"), F.max("id").alias("_most")).where("leader < _most"))
-    few = sizes.select(F.col("key").alias("_key"), "size", "leader").hint("shuffle_hash")
+    several = cut(members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_most")).where("leader < _most"))
+    few = several.select(F.col("key").alias("_key"), "leader").hint("shuffle_hash")
     return members.join(few, F.col("key") == F.col("_key")).drop("_key")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """a, b and near of the given pairs: the Jaccard similarity of their sets of shingles, by 64-bit hashes, unless their sizes rule it out."""
-    left = texts.select(F.col("id").alias("_a"), F.col("wide").alias("_wide_a"), F.col("n").alias("_n_a"))
-    right = texts.select(F.col("id").alias("_b"), F.col("wide").alias("_wide_b"), F.col("n").alias("_n_b"))
-    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-    alike = F.least("_n_a", "_n_b") >= F.lit(threshold) * F.greatest("_n_a", "_n_b")
-    shared = F.size(F.array_intersect(shingle_hashes(F.col("_wide_a")), shingle_hashes(F.col("_wide_b"))))
-    counted = both.select("a", "b", (F.col("_n_a") + F.col("_n_b")).alias("n"), F.when(alike, shared).otherwise(0).alias("shared"))
-    return cut(counted.select("a", "b", (F.col("shared") / (F.col("n") - F.col("shared")) >= threshold).alias("near")))
+    """a, b and near of the given pairs: whether the Jaccard similarity of their sets of shingles, by 64-bit hashes, reaches the threshold."""
+    left = texts.select(F.col("id").alias("_a"), F.col("wide").alias("_wide_a"))
+    right = texts.select(F.col("id").alias("_b"), F.col("wide").alias("_wide_b"))
+    both = cut(pairs).join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
+    hashes = F.array(F.struct(shingle_hashes(F.col("_wide_a")).alias("a"), shingle_hashes(F.col("_wide_b")).alias("b")))
+    ratio = F.transform(hashes, lambda h: F.size(F.array_intersect(h["a"], h["b"])) / F.size(F.array_union(h["a"], h["b"])))
+    return cut(both.select("a", "b", (F.get(ratio, F.lit(0)) >= threshold).alias("near")))
 
 
 def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -103,36 +143,36 @@ def line_components(docs: DataFrame, *, threshold: float = 0.8, min_chars: int =
     that hold several of them go on, since a comparison within a component can add nothing. In buckets of more than
     LEADERS members, LEADERS drawn by a hash, most of them from the bucket's largest component, meet all members of other components, and components
     are taken again: who has near ones there hardly stays outside, so that few are left to be compared one by one. At last all
-    pairs of different components that still share a bucket are compared, so that all that is missed is what the bands miss. A line's
-    number of different shingles rules pairs out beforehand. What is left grows with the square of a bucket whose lines are not near each other.
+    pairs of different components that still share a bucket are compared, so that all that is missed is what the bands miss. Wherever lines meet, their
+    marks rule out pairs first, by some bit counts, and shingles are compared only where the marks allow the threshold. What is left grows
+    with the square of a bucket whose lines are not near each other; a large bucket is dealt into parts for it.
     """
     lines = occurrences(docs).where(F.length("line") >= min_chars)
     keyed = cut(bands(lines))
     members = cut(_meet(keyed))
     discard(keyed)
-    # the distinct rows are an aggregate: above it the bytes are a column, made once
-    met = _few(lines.select("id", "line"), members.select("id").distinct()).select("id", F.encode("line", "UTF-16BE").alias("wide")).distinct()
-    texts = cut(met.select("id", "wide", F.size(F.array_distinct(shingle_hashes(F.col("wide")))).alias("n")))
-    pairs = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    met = _few(lines.select("id", "line"), members.select("id").distinct())
+    texts = cut(_different(met).select("id", F.encode("line", "UTF-16BE").alias("wide")))
+    marked = marks(texts)
+    led = _marked(members.where("id <> leader").select("id", "leader").distinct(), marked)
+    pairs = led.join(_other(marked), F.col("leader") == F.col("_id")).where(_may_be_near(threshold)).select(F.col("id").alias("a"), F.col("leader").alias("b"))
     met = _verify(pairs, texts, threshold)
     roots = connected_components(met.where("near").select("a", "b"))
     left = _named(members.select("key", "id"), roots)
     slot = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(LEADERS))
     large = left.where(F.col("size") > LEADERS)
-    leaders = cut(large.groupBy("key", slot.alias("slot")).agg(F.min_by("id", "id").alias("_id"), F.min_by("root", "id").alias("_root")).select(F.col("key").alias("_key"), "_id", "_root"))
+    leaders = large.groupBy("key", slot.alias("slot")).agg(F.min("id").alias("id"), F.min_by("root", "id").alias("root")).select("key", "id", "root")
     apart = (F.col("key") == F.col("_key")) & (F.col("root") != F.col("_root"))
-    pairs = _unordered(large.join(leaders, apart))
+    pairs = _unordered(_marked(large, marked).join(cut(_other(_marked(leaders, marked))), apart & _may_be_near(threshold)))
     more = _verify(pairs, texts, threshold)
     roots = _joined(more.where("near"), roots)
     done = met.select("a", "b").unionByName(more.select("a", "b"))
 
-    left = _named(left.select("key", "id"), roots)
-    sizes = texts.select(F.col("id").alias("_of"), "n")
-    sized = cut(left.join(sizes, F.col("id") == F.col("_of")).select("key", "id", "root", "n"))
-    others = sized.select(F.col("key").alias("_key"), F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("n").alias("_n"))
-    alike = F.least("n", "_n") >= F.lit(threshold) * F.greatest("n", "_n")
-    pairs = _unordered(sized.join(others, apart & (F.col("id") > F.col("_id")) & alike))
-    pairs = pairs.join(done.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+    sized = cut(_marked(_named(left.select("key", "id"), roots), marked)).withColumn("parts", F.ceil(F.col("size") / TILE).cast("int"))
+    mine = sized.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
+    others = _other(sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    pairs = _unordered(mine.join(others, apart & (F.col("part") == F.col("_part")) & (F.col("id") > F.col("_id")) & _may_be_near(threshold)))
+    pairs = pairs.join(_other(done), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
     return _joined(_verify(pairs, texts, threshold).where("near"), roots)
 
 
