@@ -40,13 +40,13 @@ def _different(lines: DataFrame) -> DataFrame:
 
 
 def _places(wide: Column) -> Column:
-    """Where the shingles of a line in UTF-16 begin; a line of fewer than WIDTH characters is one shingle."""
-    return F.sequence(F.lit(0), F.greatest((F.length(wide) / 2).cast("int") - WIDTH, F.lit(0)))
+    """The bytes, from 1, at which the shingles of a line in UTF-16 begin; a line of fewer than WIDTH characters is one shingle."""
+    return F.sequence(F.lit(1), F.greatest(F.length(wide) - 2 * WIDTH + 1, F.lit(1)), F.lit(2))
 
 
-def _shingle_hash(wide: Column, at: Column) -> Column:
+def _shingle(wide: Column, at: Column) -> Column:
     """UTF-16 makes a shingle a slice of bytes."""
-    return F.xxhash64(F.substring(wide, 2 * at + 1, F.lit(2 * WIDTH)))
+    return F.substring(wide, at, F.lit(2 * WIDTH))
 
 
 def bands(lines: DataFrame) -> DataFrame:
@@ -61,24 +61,25 @@ def bands(lines: DataFrame) -> DataFrame:
     """
     wide = _different(lines).select("id", F.encode("line", "UTF-16BE").alias("wide"))
     some = F.length("wide") / 2
-    bound = F.when(some <= 2 * SURVIVORS, F.lit((1 << 63) - 1)).otherwise((F.lit(SURVIVORS * 2.0**64) / some - F.lit(2.0**63)).cast("bigint"))
+    bound = F.when(some <= 2 * SURVIVORS, F.lit((1 << 31) - 1)).otherwise((F.lit(SURVIVORS * 2.0**32) / some - F.lit(2.0**31)).cast("int"))
     spread = wide.select("id", "wide", bound.alias("bound"), F.explode(_places(F.col("wide"))).alias("at"))
-    hashed = spread.select("id", "bound", _shingle_hash(F.col("wide"), F.col("at")).alias("h")).where("h <= bound")
-    dealt = hashed.select("id", "h", F.pmod("h", F.lit(BANDS)).cast("int").alias("band"), F.pmod(F.shiftright("h", 16), F.lit(ROWS)).cast("int").alias("row"))
+    hashed = spread.select("id", "bound", F.hash(_shingle(F.col("wide"), F.col("at"))).alias("h")).where("h <= bound")
+    dealt = hashed.select("id", "h", F.pmod("h", F.lit(BANDS)).alias("band"), F.pmod(F.shiftright("h", 16), F.lit(ROWS)).alias("row"))
     least = dealt.groupBy("id", "band").agg(*[F.min(F.when(F.col("row") == i, F.col("h"))).alias(f"least_{i}") for i in range(ROWS)])
     return least.select(F.xxhash64("band", *[F.coalesce(f"least_{i}", F.lit(0)) for i in range(ROWS)]).alias("key"), "id")
 
 
-def shingle_hashes(wide: Column) -> Column:
-    """The hashes of all shingles of a line in UTF-16. The outer lambda holds the line's bytes, which each shingle would else copy anew."""
-    return F.get(F.transform(F.array(wide), lambda w: F.transform(_places(w), lambda at: _shingle_hash(w, at))), F.lit(0))
+def shingle_set(wide: Column) -> Column:
+    """The different hashes of the shingles of a line in UTF-16. The outer lambda holds the line's bytes, which each shingle would else copy anew."""
+    hashes = F.transform(F.array(wide), lambda w: F.transform(_places(w), lambda at: F.xxhash64(_shingle(w, at))))
+    return F.array_distinct(F.get(hashes, F.lit(0)))
 
 
 def marks(texts: DataFrame) -> DataFrame:
     """id, n and the mark m0, m1 ... of every line (id, wide): its number of shingles, repeats included, and a bitmap in which each shingle's hash sets a bit."""
     # dealt by id first, so that a line's words are made and brought together in one task
     spread = texts.repartition("id").select("id", "wide", F.explode(_places(F.col("wide"))).alias("at"))
-    hashed = spread.select("id", _shingle_hash(F.col("wide"), F.col("at")).alias("h"))
+    hashed = spread.select("id", F.xxhash64(_shingle(F.col("wide"), F.col("at"))).alias("h"))
     placed = hashed.select("id", F.pmod(F.shiftright("h", 6), F.lit(WORDS)).cast("int").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
     several = placed.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"), F.bit_or("bit").alias("bits"))
     words = [F.coalesce(F.max(F.when(F.col("word") == i, F.col("bits"))), F.lit(0)).alias(f"m{i}") for i in range(WORDS)]
@@ -116,13 +117,20 @@ def _meet(members: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """a, b and near of the given pairs: whether the Jaccard similarity of their sets of shingles, by 64-bit hashes, reaches the threshold."""
-    left = texts.select(F.col("id").alias("_a"), F.col("wide").alias("_wide_a"))
-    right = texts.select(F.col("id").alias("_b"), F.col("wide").alias("_wide_b"))
-    both = cut(pairs).join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-    hashes = F.array(F.struct(shingle_hashes(F.col("_wide_a")).alias("a"), shingle_hashes(F.col("_wide_b")).alias("b")))
-    ratio = F.transform(hashes, lambda h: F.size(F.array_intersect(h["a"], h["b"])) / F.size(F.array_union(h["a"], h["b"])))
-    return cut(both.select("a", "b", (F.get(ratio, F.lit(0)) >= threshold).alias("near")))
+    """a, b and near of the given pairs: whether the Jaccard similarity of their sets of shingles, by 64-bit hashes, reaches the threshold.
+
+    Many pairs share b, so its set is made once; the text of a travels to it, which is shorter than a's set.
+    """
+    pairs = cut(pairs)
+    wanted = pairs.select(F.col("b").alias("_b")).distinct()
+    right = cut(texts.join(wanted, F.col("id") == F.col("_b"), "left_semi").select(F.col("id").alias("_b"), shingle_set(F.col("wide")).alias("_of_b")))
+    left = texts.select(F.col("id").alias("_a"), F.col("wide").alias("_wide"))
+    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
+    sets = both.select("a", "b", shingle_set(F.col("_wide")).alias("_of_a"), "_of_b")
+    counted = sets.select("a", "b", (F.size("_of_a") + F.size("_of_b")).alias("_n"), F.size(F.array_intersect("_of_a", "_of_b")).alias("_common"))
+    found = cut(counted.select("a", "b", (F.col("_common") / (F.col("_n") - F.col("_common")) >= threshold).alias("near")))
+    discard(pairs, right)
+    return found
 
 
 def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -143,7 +151,7 @@ def line_components(docs: DataFrame, *, threshold: float = 0.8, min_chars: int =
     that hold several of them go on, since a comparison within a component can add nothing. In buckets of more than
     LEADERS members, LEADERS drawn by a hash, most of them from the bucket's largest component, meet all members of other components, and components
     are taken again: who has near ones there hardly stays outside, so that few are left to be compared one by one. At last all
-    pairs of different components that still share a bucket are compared, so that all that is missed is what the bands miss. Wherever lines meet, their
+    pairs of different components that still share a bucket are compared, so that all that is missed is what the bands miss. After the first round
     marks rule out pairs first, by some bit counts, and shingles are compared only where the marks allow the threshold. What is left grows
     with the square of a bucket whose lines are not near each other; a large bucket is dealt into parts for it.
     """
@@ -153,12 +161,10 @@ def line_components(docs: DataFrame, *, threshold: float = 0.8, min_chars: int =
     discard(keyed)
     met = _few(lines.select("id", "line"), members.select("id").distinct())
     texts = cut(_different(met).select("id", F.encode("line", "UTF-16BE").alias("wide")))
-    marked = marks(texts)
-    led = _marked(members.where("id <> leader").select("id", "leader").distinct(), marked)
-    pairs = led.join(_other(marked), F.col("leader") == F.col("_id")).where(_may_be_near(threshold)).select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    met = _verify(pairs, texts, threshold)
+    met = _verify(members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), texts, threshold)
     roots = connected_components(met.where("near").select("a", "b"))
     left = _named(members.select("key", "id"), roots)
+    marked = marks(texts.join(left.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_semi"))
     slot = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(LEADERS))
     large = left.where(F.col("size") > LEADERS)
     leaders = large.groupBy("key", slot.alias("slot")).agg(F.min("id").alias("id"), F.min_by("root", "id").alias("root")).select("key", "id", "root")
