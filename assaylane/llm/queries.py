@@ -17,6 +17,8 @@ from .html import main_text
 from .language import fit_languages, identify, remainder
 from .lines import drop_duplicate_lines
 from .mixing import mix_sources
+from .phrases import collocations
+from .pii import sanitise
 from .quality import quality_verdicts
 from .ranked import rank_documents
 from .search import search
@@ -107,6 +109,17 @@ def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and terms that give away whose it is, estimated from all documents."""
+    found = sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of every language, by the score of their weakest cut."""
+    return collocations(table(spark, sf_dir, "documents"), min_count=100, max_words=5, top=2000)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_substring": op2_substring,
@@ -119,9 +132,26 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_html": op10_html,
     "op11_ranked": op11_ranked,
+    "op12_pii": op12_pii,
+    "op13_phrases": op13_phrases,
 }
 
 SQL = {
+    "op13_phrases": """
+WITH pieces AS (SELECT doc_id, lang, row_number() OVER () AS piece, regexp_extract_all(p, '[^\\x20\\x09]+') AS w
+  FROM (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+grams AS (SELECT lang, k, list_slice(w, i, i + k - 1) AS g FROM pieces, range(1, 6) AS ks(k), unnest(range(1, len(w) - k + 2)) AS starts(i)),
+f AS (SELECT lang, k, array_to_string(g, ' ') AS phrase, g, count(*) AS f FROM grams GROUP BY lang, k, g HAVING count(*) >= 100),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+cuts AS (SELECT p.lang, p.k, p.phrase, p.g, p.f AS a, t.n, c.cut, x.f AS l, y.f AS r, CAST((1000::HUGEINT * p.f * t.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM f p JOIN total t USING (lang), range(1, 5) AS c(cut), f x, f y
+  WHERE p.k >= 2 AND c.cut < p.k AND x.lang = p.lang AND x.phrase = array_to_string(list_slice(p.g, 1, c.cut), ' ') AND y.lang = p.lang AND y.phrase = array_to_string(list_slice(p.g, c.cut + 1, p.k), ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+held AS (SELECT DISTINCT s.lang, s.phrase FROM f s JOIN f b ON b.lang = s.lang AND b.k > s.k AND b.f >= s.f AND s.k >= 2 AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ')),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+  FROM weakest ANTI JOIN held USING (lang, phrase))
+SELECT * FROM ranked WHERE rank <= 2000
+""",
     "op11_ranked": """
 WITH words AS (SELECT doc_id, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
   FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM documents)),
