@@ -24,9 +24,12 @@ def union_override(first: DataFrame, second: DataFrame, keys: Sequence[str], ord
 
 
 def keep_least(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """All rows that share the least value of their key; rows without a value stay."""
-    least = df.groupBy(*keys).agg(F.min(value).alias("_least"))
-    return df.join(least, list(keys)).where(F.col(value).isNull() | (F.col(value) == F.col("_least"))).drop("_least")
+    """All rows that share the least value of their key; rows without a value stay, and a NULL key is a key."""
+    least = df.groupBy(*keys).agg(F.min(value).alias("_least")).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(least, same).where(F.col(value).isNull() | (F.col(value) == F.col("_least"))).select(*df.columns)
 
 
 def duplicate_census(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -34,6 +37,26 @@ def duplicate_census(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
+def duplicate_members(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of all keys with more than one row, with their number; NULL keys are keys."""
+    repeated = duplicate_census(df, keys).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(repeated, same).select(*df.columns, "n_rows")
+
+
+def drop_suffixed(df: DataFrame, name: str, sequence: str, *, letters: str = "NSCAQ", fields: int = 2, length: int = 181, out: str = "allele_name") -> DataFrame:
+    """``df`` without names that have one of ``letters`` after their star, names cut to their first ``fields`` fields, and of those that
+    are then equal the rows whose sequence is nearest in length to ``length`` (all of equally near ones). Names without a star have no such part and go.
+    """
+    after = F.get(F.split(name, r"\*"), F.lit(1))
+    rows = df.where(after.isNotNull() & ~after.rlike(f"[{letters}]"))
+    cut_name = F.array_join(F.slice(F.split(name, ":"), 1, fields), ":")
+    placed = rows.withColumns({out: cut_name, "_away": F.abs(F.length(sequence) - length)})
+    return keep_least(placed, [out], "_away").drop("_away")
+
+
 def resolve_duplicates(df: DataFrame, keys: Sequence[str], value: str, has_source: str, order: Sequence[Column], *, tolerance: float = 10.0) -> DataFrame:
     """``df`` with ``verdict`` (keep, drop, flag) for each measurement of a key.
 

@@ -39,9 +39,33 @@ def expect_monotone(funnel: DataFrame, name: str) -> DataFrame:
 
 
 def expect_close(df: DataFrame, name: str, right: DataFrame, keys: Sequence[str], value: str, tolerance: float = 1e-3) -> DataFrame:
-    """A stored value equals its source's, key by key."""
-    other = right.select(*keys, F.col(value).alias("_source"))
-    return _report(df.join(other, list(keys)).where(~F.coalesce(F.abs(F.col(value) - F.col("_source")) <= tolerance, F.lit(False))), name)
+    """A stored value equals its source's, key by key. A key without a source breaks it, as does a missing value; NULL keys are keys."""
+    other = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_source"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return _report(df.join(other, same, "left").where(~F.coalesce(F.abs(F.col(value) - F.col("_source")) <= tolerance, F.lit(False))), name)
+
+
+def expect_total(df: DataFrame, name: str, total: Column, right: DataFrame, right_total: Column, tolerance: float = 0.0) -> DataFrame:
+    """A total over ``df`` ties to one over its source: one violation if they differ by more than ``tolerance``, or one is missing."""
+    totals = df.agg(total.cast("double").alias("_t")).withColumn("_j", F.lit(1)).join(right.agg(right_total.cast("double").alias("_s")).withColumn("_j", F.lit(1)), "_j")
+    return _report(totals.where(~F.coalesce(F.abs(F.col("_t") - F.col("_s")) <= tolerance, F.lit(False))), name)
+
+
+def expect_columns_once(df: DataFrame, name: str) -> DataFrame:
+    """No two columns have one name, capitals aside: a violation for each that repeats an earlier one."""
+    seen, repeated = set(), 0
+    for c in df.columns:
+        repeated += c.lower() in seen
+        seen.add(c.lower())
+    return df.sparkSession.range(repeated).transform(lambda x: _report(x, name))
+
+
+def write_if(report_: DataFrame, df: DataFrame, path: str) -> None:
+    """Writes ``df`` as Parquet, unless an expectation of the report does not hold: then nothing is written."""
+    require(report_)
+    df.write.parquet(path)
 
 
 def report(*expectations: DataFrame) -> DataFrame:

@@ -1,17 +1,23 @@
-"""Bootstrap confidence intervals: replicates are dealt over tasks, each vectorised in NumPy."""
+"""Bootstrap confidence intervals whose replicates are sums, so that none is ever gathered.
+
+A row's weights in all replicates are one draw of Poisson numbers from a generator that is keyed by seed and row, so they don't
+depend on partitions, batches or order. What a replicate needs is then summed where the rows are: an array over replicates for each
+task or range of scores.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
 
-
+#: Weights (rows times replicates) that a task holds at once.
+HELD = 1 << 21
 
 
 def _percentiles(found: DataFrame, alpha: float, n_boot: int) -> DataFrame:
@@ -22,54 +28,79 @@ def _percentiles(found: DataFrame, alpha: float, n_boot: int) -> DataFrame:
     return rows.select("n_replicates", F.when(enough, F.get("_b", F.lit(0))).alias("low"), F.when(enough, F.get("_b", F.lit(1))).alias("high"), F.when(enough, F.col("mean")).alias("mean"))
 
 
-def bootstrap_auroc(df: DataFrame, score: str, label: str, *, n_boot: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Percentile interval of the AUROC over resampled rows: one row; NULL if under half of the replicates have both classes.
+def poisson_weights(keys: np.ndarray, counts: np.ndarray, n_boot: int) -> np.ndarray:
+    """Weights of rows (down) in replicates (across): for a row that stands for ``counts`` equal ones the sum of their Poisson(1) draws."""
+    out = np.empty((len(keys), n_boot), np.int64)
+    for i, (key, n) in enumerate(zip(keys.astype(np.uint64).tolist(), counts.tolist(), strict=True)):
+        out[i] = np.random.Generator(np.random.Philox(key=key)).poisson(n, n_boot)
+    return out
 
-    Rows are resampled by independent Poisson(1) weights from a hash of seed, replicate and row, the form of the bootstrap that
-    needs no draw from the whole table: each replicate is an aggregation of distinct scores, made where the rows are.
-    """
-    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score, label).agg(F.count(F.lit(1)).alias("n"))
-    kept = cut(rows.select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"), "n"))
 
-    def draw(batches):
-        for batch in batches:
-            for r in range(n_boot):
-                rng = np.random.default_rng([seed, r, int(pd.util.hash_pandas_object(batch, index=False).sum() % (1 << 32))])
-                weight = rng.poisson(batch["n"].to_numpy())
-                at = np.flatnonzero(weight)
-                yield pd.DataFrame({"replicate": r, "s": batch["s"].to_numpy()[at], "y": batch["y"].to_numpy()[at], "w": weight[at]})
+def _pieces(batches: Iterable[pd.DataFrame], n_boot: int) -> Iterator[pd.DataFrame]:
+    step = max(1, HELD // n_boot)
+    for batch in batches:
+        for start in range(0, len(batch), step):
+            yield batch.iloc[start : start + step]
 
-    def metric(rows: pd.DataFrame) -> pd.DataFrame:
-        table = rows.assign(pos=rows["w"] * rows["y"], neg=rows["w"] * (1 - rows["y"])).groupby("s", sort=True)[["pos", "neg"]].sum()
-        below = table["neg"].cumsum() - table["neg"]
-        total = float(table["pos"].sum()) * float(table["neg"].sum())
-        value = float((table["pos"] * (below + table["neg"] / 2)).sum()) / total if total else float("nan")
-        return pd.DataFrame({"replicate": [rows["replicate"].iloc[0]], "value": [value]})
 
-    drawn = kept.mapInPandas(draw, "replicate int, s double, y int, w long")
-    return _percentiles(drawn.groupBy("replicate").applyInPandas(metric, "replicate int, value double"), alpha, n_boot)
+def _key(seed: int, *columns: Column | str) -> Column:
+    return F.xxhash64(F.lit(seed), *columns).alias("key")
+
+
+def bootstrap_auroc(df: DataFrame, score: str, label: str, *, n_boot: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """Percentile interval of the AUROC over resampled rows: one row; NULL if under half of the replicates have both classes.
+
+    Rows are resampled by independent Poisson(1) weights, the form of the bootstrap that needs no draw from the whole table. Scores are sorted in
+    ranges; a range gives each replicate's positives, negatives, and pairs in order within it, and a running sum over ranges
+    adds the negatives below. All of these are whole numbers, so the interval is the same whatever the partitions.
+    """
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"))
+    counted = rows.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    keyed = counted.select("s", "pos", "neg", F.xxhash64(F.lit(seed), "s", F.lit(1)).alias("pos_key"), F.xxhash64(F.lit(seed), "s", F.lit(0)).alias("neg_key"))
+    ranged = cut(keyed.repartitionByRange("s").withColumn("part", F.spark_partition_id()).sortWithinPartitions("s"))
+
+    def add(group: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for piece in _pieces(group, n_boot):
+            for part, mine in piece.groupby("part", sort=False):
+                pos, neg, twice = sums.setdefault(part, [np.zeros(n_boot, np.int64) for _ in range(3)])
+                p, n = (poisson_weights(mine[f"{k}_key"].to_numpy(), mine[k].to_numpy(), n_boot) for k in ("pos", "neg"))
+                below = n.cumsum(axis=0) - n + neg
+                twice += (p * (2 * below + n)).sum(axis=0)
+                pos += p.sum(axis=0)
+                neg += n.sum(axis=0)
+        for part, (pos, neg, twice) in sums.items():
+            yield pd.DataFrame({"part": part, "replicate": np.arange(n_boot), "pos": pos, "neg": neg, "twice": twice})
+
+    in_order = ranged.repartitionByRange("part").sortWithinPartitions("part", "s")
+    totals = in_order.mapInPandas(add, "part int, replicate int, pos long, neg long, twice long")
+    earlier = Window.partitionBy("replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = totals.withColumn("before", F.coalesce(F.sum("neg").over(earlier), F.lit(0)))
+    whole = lambda c: F.sum(c.cast("decimal(38,0)")).cast("double")
+    sums = placed.groupBy("replicate").agg(whole(F.col("twice") + 2 * F.col("pos") * F.col("before")).alias("twice"), whole(F.col("pos")).alias("pos"), whole(F.col("neg")).alias("neg"))
+    return _percentiles(sums.select(F.try_divide(F.col("twice"), 2 * F.col("pos") * F.col("neg")).alias("value")), alpha, n_boot)
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, sums: Sequence[str], metric: Callable[[pd.DataFrame], pd.Series], *, n_boot: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Percentile interval of a metric of column sums, whole clusters being resampled: one row.
 
-    Clusters are first summed, then drawn by Poisson(1) weights; ``metric`` gets a row of sums for each replicate.
+    Clusters are first summed, then weighed by Poisson(1) draws keyed by seed and cluster; a task hands on one row of sums for each
+    replicate. ``metric`` gets a row of sums for each replicate. Rows without a cluster are a cluster.
     """
-    totals = cut(df.groupBy(cluster).agg(*[F.sum(s).cast("double").alias(s) for s in sums]))
+    totals = df.groupBy(cluster).agg(*[F.sum(s).cast("double").alias(f"sum_{i}") for i, s in enumerate(sums)]).select(_key(seed, F.col(cluster)), *[F.coalesce(f"sum_{i}", F.lit(0.0)).alias(f"sum_{i}") for i in range(len(sums))])
 
-    def draw(batches):
-        for batch in batches:
-            for r in range(n_boot):
-                key = int(pd.util.hash_pandas_object(batch[[cluster]], index=False).sum() % (1 << 32))
-                weight = np.random.default_rng([seed, r, key]).poisson(1.0, len(batch))
-                yield pd.DataFrame({"replicate": [r], **{s: [float((batch[s] * weight).sum())] for s in sums}})
+    def draw(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        added = np.zeros((n_boot, len(sums)))
+        for piece in _pieces(batches, n_boot):
+            added += poisson_weights(piece["key"].to_numpy(), np.ones(len(piece)), n_boot).T @ piece.iloc[:, 1:].to_numpy(float)
+        yield pd.DataFrame({"replicate": np.arange(n_boot), **{f"sum_{i}": added[:, i] for i in range(len(sums))}})
 
-    schema = "replicate int, " + ", ".join(f"{s} double" for s in sums)
-    added = totals.mapInPandas(draw, schema).groupBy("replicate").agg(*[F.sum(s).alias(s) for s in sums])
+    schema = "replicate int, " + ", ".join(f"sum_{i} double" for i in range(len(sums)))
+    added = cut(totals).mapInPandas(draw, schema).groupBy("replicate").agg(*[F.sum(f"sum_{i}").alias(f"sum_{i}") for i in range(len(sums))])
 
-    def value(batches):
+    def value(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"value": metric(batch).astype(float)})
+            yield pd.DataFrame({"value": metric(batch.rename(columns={f"sum_{i}": s for i, s in enumerate(sums)})).astype(float)})
 
     return _percentiles(added.mapInPandas(value, "value double"), alpha, n_boot)
 

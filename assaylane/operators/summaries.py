@@ -87,9 +87,16 @@ def composition(df: DataFrame, group: str, item: str, kind: str, kinds: Sequence
 
 
 def top_and_other(counts: DataFrame, name: str, n: str, k: int, *, other: str = "Other") -> DataFrame:
-    """The k largest rows of a table of counts, and the rest as one."""
-    ranked = counts.withColumn("_rn", F.row_number().over(Window.orderBy(F.col(n).desc(), F.col(name).asc())))
-    return ranked.groupBy(F.when(F.col("_rn") <= k, F.col(name)).otherwise(other).alias(name)).agg(F.sum(n).alias(n))
+    """The k largest rows of a table of counts, a row for each name, and the rest as one, if there is a rest."""
+    top = counts.orderBy(F.col(n).desc(), F.col(name).asc()).limit(k).select(name, n)
+    rest = counts.join(top.select(F.col(name).alias("_top")), F.col(name).eqNullSafe(F.col("_top")), "left_anti")
+    return top.unionByName(rest.agg(F.sum(n).alias(n)).where(F.col(n).isNotNull()).select(F.lit(other).alias(name), n)).groupBy(name).agg(F.sum(n).alias(n))
+
+
+def ordered_columns(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The columns of ``order`` that are there, in that order, and all others after them as they stood."""
+    first = [c for c in order if c in df.columns]
+    return df.select(*[F.col(f"`{c}`") for c in [*first, *(c for c in df.columns if c not in first)]])
 
 
 def spikes(df: DataFrame, value: str, k: int, share: float) -> DataFrame:

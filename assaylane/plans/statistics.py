@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import in_open_interval, is_censored
 from ..operators import stats, summaries
 from ..operators.ordered import average_rank
+from ..operators.quantiles import exact_quantiles
 from .registry import CEILINGS, CENSORED_SQL, FLOOR, query, rounded, table
 
 RANK = "rank() OVER (PARTITION BY {g} ORDER BY {x}) + (count(*) OVER (PARTITION BY {g}, {x}) - 1) / 2.0"
@@ -52,8 +53,7 @@ SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.98), 6) AS p98, roun
   round(log10(max(l_extendedprice)) - log10(quantile_cont(l_extendedprice, 0.98)), 6) AS span
 FROM lineitem GROUP BY l_returnflag""")
 def upper_tail_span(spark, d):
-    p = F.percentile("l_extendedprice", 0.98)
-    rows = table(spark, d, "lineitem").groupBy("l_returnflag").agg(p.alias("p98"), F.max("l_extendedprice").alias("most"))
+    rows = exact_quantiles(table(spark, d, "lineitem"), "l_extendedprice", [0.98, 1.0], ["l_returnflag"]).select("l_returnflag", F.col("q")[0].alias("p98"), F.col("q")[1].alias("most"))
     return rounded(rows.withColumn("span", F.log10("most") - F.log10("p98")), "p98", "most", "span")
 
 
@@ -276,7 +276,7 @@ WITH q AS (SELECT quantile_cont(l_extendedprice, 0.05) AS lo, quantile_cont(l_ex
 SELECT round(lo, 6) AS lo, round(hi, 6) AS hi, round(avg(CASE WHEN l_extendedprice BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END), 6) AS inside FROM lineitem, q GROUP BY lo, hi""")
 def quantile_clip(spark, d):
     rows = table(spark, d, "lineitem")
-    q = rows.agg(F.percentile("l_extendedprice", F.array(F.lit(0.05), F.lit(0.95))).alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), F.lit(1).alias("j"))
+    q = exact_quantiles(rows, "l_extendedprice", [0.05, 0.95]).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), F.lit(1).alias("j"))
     inside = F.avg(F.col("l_extendedprice").between(F.col("lo"), F.col("hi")).cast("double")).alias("inside")
     return rounded(rows.withColumn("j", F.lit(1)).join(F.broadcast(q), "j").groupBy("lo", "hi").agg(inside), "lo", "hi", "inside")
 
@@ -286,7 +286,10 @@ SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, roun
   round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(median(l_extendedprice), 4) AS middle, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3, max(l_extendedprice) AS high FROM lineitem GROUP BY 1""")
 def describe_exact(spark, d):
     x = "l_extendedprice"
-    rows = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.stddev(x).alias("sd"), F.min(x).alias("low"), F.percentile(x, 0.25).alias("q1"), F.median(x).alias("middle"), F.percentile(x, 0.75).alias("q3"), F.max(x).alias("high"))
+    lines = table(spark, d, "lineitem")
+    moments = lines.groupBy("l_returnflag").agg(F.avg(x).alias("mean"), F.stddev(x).alias("sd"))
+    quantiles = exact_quantiles(lines, x, [0.0, 0.25, 0.5, 0.75, 1.0], ["l_returnflag"])
+    rows = moments.join(quantiles, "l_returnflag").select("l_returnflag", "n", "mean", "sd", *[F.col("q")[i].alias(c) for i, c in enumerate(("low", "q1", "middle", "q3", "high"))])
     return rounded(rows, "mean", "sd", "q1", "middle", "q3", places=4)
 
 

@@ -6,7 +6,7 @@ file come from its whole text, which a file of this kind has in one row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,24 +29,32 @@ def normal_header(names: Sequence[str]) -> list[str]:
     return [n.strip().replace(" ", "_").replace("/", "-").lower() for n in names]
 
 
-def read_csv(spark: SparkSession, path: str, *, header_rows: Sequence[int] = (0,), comment: str | None = None, sep: str = " | ") -> DataFrame:
-    """A CSV file whose header is one row, two rows that are joined, or a row further down; all columns are strings.
+def read_csv(spark: SparkSession, path: str, *, header_rows: Sequence[int] = (0,), comment: str | None = None, sep: str = " | ", types: Mapping[str, str] | None = None) -> DataFrame:
+    """CSV files whose header is one row, two rows that are joined, or a row further down.
 
-    Only the first lines are read for the names. The rows down to the header are then skipped by their content.
+    Names come from the first lines of the first file. Every file loses its own first rows down to the header, by their place, so a data
+    row that is equal to a header stays. Columns are strings, but for those with a type in ``types``; what can't be cast is NULL.
     """
     reader = spark.read.option("multiLine", False)
     reader = reader.option("comment", comment) if comment else reader
-    top = reader.csv(path).limit(max(header_rows) + 1).collect()
+    above = max(header_rows) + 1
+    top = reader.csv(path).limit(above).collect()
     cells = [[c or "" for c in top[i]] for i in header_rows]
     names = cells[0] if len(cells) == 1 else flatten_header(cells[0], cells[1], sep)
     raw = [f"_c{i}" for i in range(len(names))]
-    rows = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in raw])).csv(path)
-    for line in top:
-        same = F.lit(True)
-        for c, v in zip(raw, line, strict=False):
-            same = same & F.col(c).eqNullSafe(F.lit(v))
-        rows = rows.where(~same)
-    return rows.toDF(*names)
+    reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in raw]))
+    if above == 1:
+        rows = reader.option("header", True).option("enforceSchema", True).csv(path)
+    else:
+        rows = _below_top(reader.csv(path), above).select(*raw)
+    return rows.select(*[F.col(c).try_cast((types or {}).get(n, "string")).alias(n) for c, n in zip(raw, names, strict=True)])
+
+
+def _below_top(rows: DataFrame, above: int) -> DataFrame:
+    """``rows`` of files without the first ``above`` of each: rows of a file's first block are numbered in order by the task that reads it."""
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    first = placed.groupBy("_path").agg(F.min(F.when(F.col("_block") == 0, F.col("_at"))).alias("_first")).withColumnRenamed("_path", "_of")
+    return placed.join(first, F.col("_path") == F.col("_of")).where((F.col("_block") > 0) | (F.col("_at") - F.col("_first") >= above))
 
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
