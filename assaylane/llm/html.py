@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html import unescape
 
 import pandas as pd
@@ -12,6 +12,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .labelled_pages import MARK, PAGES, SIZES
+
+#: Words from which a block is running text.
+RUNNING = 12
+
 # Elements and words of HTML.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -64,14 +69,18 @@ def hints(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
                 if len(parts) < 2 or parts[0] not in ASIDE_FIRST and parts[-1] not in ASIDE_LAST:
                     found.update(parts)
     boiler = tag in BOILER_TAGS or bool(found & BOILER_WORDS)
-    main = not boiler and (tag in MAIN_TAGS or bool(found & MAIN_WORDS))
+    main = tag in MAIN_TAGS or not boiler and bool(found & MAIN_WORDS)
     if not main and not in_main and (tag == "header" or found & UPPER_WORDS):
         boiler = True
     return boiler, main
 
 
 def blocks(html: str) -> list[dict]:
-    """The text blocks of a page in order: text, n_words, n_linked, boiler and main (elements around it that look so), heading.
+    """The text blocks of a page in order: text, n_words, n_linked, apart, main, heading and scope_links.
+
+    ``apart``: how much of the page's running text stands outside an element around the block that is named like boilerplate, from 0 (none, so
+    the element holds the page's text, whatever its name) to 1; the highest of several elements, 0 without one. ``main``: whether an element around it looks
+    like the main part. ``scope_links``: the share of linked words of the element that the block stands in.
 
     A block ends at every block-level tag; ``<br>`` is white space. Character references are decoded,
     white space becomes one space, and blocks without text are left out. Missing end tags are
@@ -86,22 +95,66 @@ def blocks(html: str) -> list[dict]:
         unclosed |= found
 
 
+class Named:
+    """The elements of a page that are named like boilerplate: a tree under the page itself, number 0."""
+
+    def __init__(self) -> None:
+        self.above, self.main, self.now = [0], [False], 0
+
+    def enter(self, main: bool) -> None:
+        self.above.append(self.now)
+        self.main.append(main)
+        self.now = len(self.above) - 1
+
+    def shares(self, blocks: list[dict]) -> list[float]:
+        """How much of the running text stands outside each element and outside others that are boilerplate by name, 1 if it has what looks like the main part.
+
+        Running text are blocks of RUNNING words or more, or in what looks like the main part, of which at most a third are linked; on a page without any,
+        all words that aren't linked.
+        """
+        running = [b["n_words"] - b["n_linked"] if (b["main"] or b["n_words"] >= RUNNING) and 3 * b["n_linked"] <= b["n_words"] else 0 for b in blocks]
+        if not any(running):
+            running = [b["n_words"] - b["n_linked"] for b in blocks]
+        n = len(self.above)
+        free, inside, main_free, main_inside = ([0] * n for _ in range(4))
+        for b, words in zip(blocks, running, strict=True):
+            for total, part in ((free, words), (inside, words), (main_free, words * b["main"]), (main_inside, words * b["main"])):
+                total[b["apart"]] += part
+        for i in range(n - 1, 0, -1):
+            up = self.above[i]
+            inside[up] += inside[i]
+            main_inside[up] += main_inside[i]
+            if self.main[i]:  # an article counts as what it stands in, whatever its name
+                free[up] += free[i]
+                main_free[up] += main_free[i]
+        out, main_out, share = [0] * n, [0] * n, [0.0] * n
+        for i in range(1, n):
+            up = self.above[i]
+            out[i] = out[up] + free[up] - (free[i] if self.main[i] else 0)
+            main_out[i] = main_out[up] + main_free[up] - (main_free[i] if self.main[i] else 0)
+            alone = main_out[i] > 0 and not main_inside[i]
+            mine = 1.0 if alone else out[i] / (out[i] + inside[i]) if out[i] else 0.0
+            share[i] = max(mine, share[up])
+        return share
+
+
 def _walk(html: str, unclosed: set[int]) -> tuple[list[dict], set[int]]:
     """The blocks, and where elements of HIDDEN_TAGS begin that turned out to have no end tag, beside those known."""
     out: list[dict] = []
     opened: list[int] = []
-    lifted: list[int] = []
     found: set[int] = set()
-    stack: list[tuple[str, bool, bool]] = []
+    named = Named()
+    scopes = [[0, 0]]  # words and linked words that stand in each scope
+    scope = [0]
+    stack: list[tuple[str, int, bool]] = []
     places: dict[str, list[int]] = {}
     walls: list[int] = []
     early: list[int] = []
     parts: list[tuple[str, bool]] = []
-    state = {"boiler": 0, "main": 0, "a": 0, "heading": 0, "hidden": 0}
+    state = {"main": 0, "a": 0, "heading": 0, "hidden": 0}
 
-    def count(entry: tuple[str, bool, bool], by: int) -> None:
-        tag, boiler, main = entry
-        state["boiler"] += by * boiler
+    def count(entry: tuple[str, int, bool], by: int) -> None:
+        tag, _, main = entry
         state["main"] += by * main
         state["a"] += by * (tag == "a")
         state["heading"] += by * (tag in HEADINGS)
@@ -112,7 +165,10 @@ def _walk(html: str, unclosed: set[int]) -> tuple[list[dict], set[int]]:
         if text:
             linked = sum(len(t.split()) for t, link in parts if link)
             n = len(text.split())
-            out.append({"text": text, "n_words": n, "n_linked": min(linked, n), "boiler": int(state["boiler"] > 0), "main": int(state["main"] > 0), "heading": int(state["heading"] > 0)})
+            linked = min(linked, n)
+            scopes[scope[-1]][0] += n
+            scopes[scope[-1]][1] += linked
+            out.append({"text": text, "n_words": n, "n_linked": linked, "apart": named.now, "main": int(state["main"] > 0), "heading": int(state["heading"] > 0), "scope_links": scope[-1]})
         parts.clear()
 
     def close(to: int, ended: bool = False) -> None:
@@ -126,8 +182,9 @@ def _walk(html: str, unclosed: set[int]) -> tuple[list[dict], set[int]]:
             for marks in (walls, early):
                 if marks and marks[-1] == len(stack) - 1:
                     marks.pop()
-            if tag == "main":
-                state["boiler"] = lifted.pop()
+            if tag in SCOPES:
+                scope.pop()
+            named.now = stack[-1][1]
             count(stack.pop(), -1)
 
     def last(tag: str, walled: bool, beyond: frozenset[str] = frozenset()) -> int:
@@ -171,7 +228,7 @@ def _walk(html: str, unclosed: set[int]) -> tuple[list[dict], set[int]]:
             if m[4].endswith("/"):
                 continue
             boiler, main = hints(tag, m[4], state["main"] > 0)
-            entry = (tag, boiler, main)
+            entry = (tag, named.now, main)
             places.setdefault(tag, []).append(len(stack))
             if tag in WALLS:
                 walls.append(len(stack))
@@ -179,63 +236,64 @@ def _walk(html: str, unclosed: set[int]) -> tuple[list[dict], set[int]]:
                 opened.append(m.start())
                 if m.start() in unclosed:
                     early.append(len(stack))
+            if tag in SCOPES:
+                scope.append(len(scopes))
+                scopes.append([0, 0])
             if tag == "main":  # whatever the elements around it are named, this is the main part
-                lifted.append(state["boiler"])
-                state["boiler"] = 0
+                named.now = 0
+            elif boiler:
+                named.enter(main)
             stack.append(entry)
             count(entry, 1)
     if at < len(html) and not state["hidden"]:
         parts.append((unescape(html[at:]), state["a"] > 0))
     flush()
     close(0)
+    shares = named.shares(out)
+    for b in out:
+        n, linked = scopes[b["scope_links"]]
+        b["apart"], b["scope_links"] = shares[b["apart"]], linked / n
     return out, found
 
 
-BLOCK_SCHEMA = "array<struct<text:string,n_words:int,n_linked:int,boiler:int,main:int,heading:int>>"
-FEATURES = ["n_words", "links", "boiler", "main", "heading", "words_before", "links_before", "words_after", "links_after"]
-
-#: The labelled table, page by page. A block: words, linked words, boiler, main, heading, label (1: main text).
-#: The pages: with all containers named; without any; short news; a list of links; a forum; an essay with
-#: one-line paragraphs; a landing page; notes in an article; two with short
-#: paragraphs between long ones; a page of text only; three without any named container, whose short blocks are told apart by what is around them; two whose last
-#: block is a link; three of a single block.
-LABELLED_PAGES = [
-    [(1, 1, 1, 0, 0, 0), (2, 2, 1, 0, 0, 0), (6, 0, 1, 0, 0, 0), (9, 0, 0, 1, 1, 1), (60, 2, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (45, 0, 0, 1, 0, 1), (8, 0, 0, 1, 0, 1), (12, 3, 1, 0, 0, 0)],
-    [(1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (7, 0, 0, 0, 1, 1), (55, 0, 0, 0, 0, 1), (70, 3, 0, 0, 0, 1), (30, 0, 0, 0, 0, 1), (4, 4, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (6, 4, 0, 0, 0, 0)],
-    [(3, 3, 1, 0, 0, 0), (5, 0, 0, 1, 1, 1), (3, 0, 0, 1, 0, 1), (25, 0, 0, 1, 0, 1), (4, 4, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (40, 0, 1, 1, 0, 0), (10, 0, 1, 0, 0, 0)],
-    [(2, 2, 1, 0, 0, 0), (2, 2, 1, 0, 0, 0), (4, 4, 0, 0, 0, 0), (5, 5, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (8, 2, 1, 0, 0, 0)],
-    [(2, 2, 1, 0, 0, 0), (10, 0, 0, 1, 1, 1), (80, 0, 0, 1, 0, 1), (35, 0, 1, 1, 0, 0), (50, 1, 1, 1, 0, 0), (22, 0, 1, 0, 0, 0), (4, 0, 1, 1, 1, 0), (3, 2, 1, 0, 0, 0)],
-    [(6, 0, 0, 1, 1, 1), (3, 0, 0, 1, 0, 1), (5, 0, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (90, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (6, 6, 0, 1, 0, 1), (2, 2, 1, 1, 0, 0)],
-    [(3, 3, 0, 0, 0, 0), (15, 0, 1, 0, 0, 0), (30, 5, 1, 0, 0, 0), (3, 1, 1, 0, 1, 0), (5, 0, 0, 0, 1, 1), (40, 0, 0, 0, 0, 1), (26, 1, 0, 0, 0, 1), (5, 0, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0)],
-    [(8, 0, 0, 1, 1, 1), (50, 10, 0, 1, 0, 1), (14, 0, 1, 1, 0, 0), (65, 0, 0, 1, 0, 1), (4, 0, 0, 1, 1, 1), (20, 2, 0, 1, 0, 1), (5, 5, 1, 1, 0, 0), (28, 0, 1, 0, 0, 0)],
-    [(5, 0, 0, 1, 1, 1), (30, 0, 0, 1, 0, 1), (6, 0, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (25, 0, 0, 1, 0, 1), (18, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (40, 0, 0, 1, 0, 1), (9, 0, 0, 1, 0, 1), (2, 2, 1, 0, 0, 0)],
-    [(2, 2, 1, 0, 0, 0), (14, 0, 0, 1, 1, 1), (33, 0, 0, 1, 0, 1), (20, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1)],
-    [(40, 0, 0, 0, 0, 1), (35, 0, 0, 0, 0, 1), (12, 0, 0, 0, 0, 1), (80, 4, 0, 0, 0, 1)],
-    [(2, 2, 0, 0, 0, 0), (5, 0, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (9, 0, 0, 0, 1, 1), (4, 0, 0, 0, 0, 1), (48, 1, 0, 0, 0, 1), (6, 0, 0, 0, 0, 1), (52, 0, 0, 0, 0, 1), (2, 0, 0, 0, 0, 1), (33, 0, 0, 0, 0, 1), (5, 5, 0, 0, 0, 0), (7, 0, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0)],
-    [(4, 0, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (38, 0, 0, 0, 0, 1), (5, 0, 0, 0, 0, 1), (44, 2, 0, 0, 0, 1), (60, 0, 0, 0, 0, 1), (3, 0, 0, 0, 0, 1), (29, 0, 0, 0, 0, 1), (3, 3, 0, 0, 0, 0), (8, 0, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (6, 0, 0, 0, 0, 0)],
-    [(3, 3, 0, 0, 0, 0), (7, 0, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0), (11, 0, 0, 0, 1, 1), (57, 3, 0, 0, 0, 1), (8, 8, 0, 0, 0, 1), (61, 0, 0, 0, 0, 1), (4, 0, 0, 0, 1, 1), (36, 0, 0, 0, 0, 1), (2, 2, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0), (5, 5, 0, 0, 0, 0)],
-    [(1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (45, 0, 0, 0, 0, 1), (38, 0, 0, 0, 0, 1), (3, 3, 0, 0, 0, 0)],
-    [(2, 2, 0, 0, 0, 0), (50, 0, 0, 0, 0, 1), (62, 2, 0, 0, 0, 1), (4, 4, 0, 0, 0, 0)],
-    [(5, 0, 0, 0, 0, 1)],
-    [(1, 0, 0, 0, 0, 1)],
-    [(14, 1, 0, 0, 0, 1)],
-]
-
-
-def labelled_rows(pages: list = LABELLED_PAGES) -> list[tuple]:
-    """FEATURES and label of every labelled block; beyond a page's ends are no words and no links."""
+BLOCK_SCHEMA = "array<struct<text:string,n_words:int,n_linked:int,apart:double,main:int,heading:int,scope_links:double>>"
+OWN = ("n_words", "apart", "main", "heading", "scope_links")
+FEATURES = [*OWN, "links", "words_before", "links_before", "words_after", "links_after"]
+
+
+def written(page: str, size: float) -> str:
+    """A labelled page with its words written out."""
+    return re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * max(1, round(int(m[1]) * size))), page)
+
+
+def labelled_rows(pages: Sequence[str] = PAGES) -> list[tuple]:
+    """FEATURES and label of every block of the labelled pages at each of SIZES; beyond a page's ends are no words and no links."""
     rows = []
     for page in pages:
-        around = [(0, 0.0), *[(b[0], b[1] / b[0]) for b in page], (0, 0.0)]
-        rows += [(float(b[0]), b[1] / b[0], float(b[2]), float(b[3]), float(b[4]), float(x[0]), x[1], float(y[0]), y[1], float(b[5])) for b, x, y in zip(page, around, around[2:], strict=False)]
+        for size in SIZES:
+            found = blocks(written(page, size))
+            around = [(0, 0.0), *[(b["n_words"], b["n_linked"] / b["n_words"]) for b in found], (0, 0.0)]
+            rows += [tuple(map(float, (*[b[n] for n in OWN], me[1], *before, *after, b["text"].startswith(MARK)))) for b, before, me, after in zip(found, around, around[1:], around[2:], strict=False)]
     return rows
 
 
 def fit_tree(spark: SparkSession, rows: list[tuple] | None = None, *, depth: int = 6) -> DecisionTreeClassificationModel:
-    """A decision tree over FEATURES, from a labelled table of some 130 blocks."""
+    """A decision tree over FEATURES, from the blocks of the labelled pages."""
     table = spark.createDataFrame(labelled_rows() if rows is None else rows, [*FEATURES, "label"])
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(table).coalesce(1)
-    return DecisionTreeClassifier(maxDepth=depth, maxBins=64, minInstancesPerNode=1, seed=1).fit(assembled)
+    return DecisionTreeClassifier(maxDepth=depth, maxBins=64, minInstancesPerNode=2, seed=1).fit(assembled)
+
+
+def held_out_accuracy(spark: SparkSession, *, every: int = 3) -> float:
+    """Share of blocks that a tree from the other pages judges right, on every ``every``-th page in turn."""
+    right = total = 0
+    for turn in range(every):
+        model = fit_tree(spark, labelled_rows([p for i, p in enumerate(PAGES) if i % every != turn]))
+        rows = spark.createDataFrame(labelled_rows([p for i, p in enumerate(PAGES) if i % every == turn]), [*FEATURES, "label"])
+        good = F.count_if(tree_column(model, {f: F.col(f) for f in FEATURES}) == (F.col("label") > 0.5))
+        n, ok = rows.agg(F.count(F.lit(1)), good).first()
+        right, total = right + ok, total + n
+    return right / total
 
 
 def tree_column(model: DecisionTreeClassificationModel, feature: dict[str, Column]) -> Column:
@@ -267,14 +325,14 @@ def extract_blocks(pages: DataFrame, model: DecisionTreeClassificationModel | No
         share = lambda b: b["n_linked"] / b["n_words"]
         zero = F.lit(0.0)
         before, after = F.when(i > 0, F.get("_blocks", i - 1)), F.get("_blocks", i + 1)
-        feature = {n: block[n].cast("double") for n in ("n_words", "boiler", "main", "heading")} | {
+        feature = {n: block[n].cast("double") for n in OWN} | {
             "links": share(block),
             "words_before": F.coalesce(before["n_words"].cast("double"), zero),
             "links_before": F.coalesce(share(before), zero),
             "words_after": F.coalesce(after["n_words"].cast("double"), zero),
             "links_after": F.coalesce(share(after), zero),
         }
-        return F.struct(*[block[n].alias(n) for n in ("text", "n_words", "n_linked", "boiler", "main", "heading")], tree_column(model, feature).alias("kept"))
+        return F.struct(*[block[n].alias(n) for n in ("text", "n_linked", *OWN)], tree_column(model, feature).alias("kept"))
 
     found = pages.withColumn("_blocks", find(F.col(html)))
     return found.withColumn("blocks", F.transform("_blocks", judged)).drop("_blocks")
