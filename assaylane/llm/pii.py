@@ -95,8 +95,8 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("key"), text.alias("text"))
 
 
-def mention_terms(found: DataFrame, *, reach: int = 100) -> DataFrame:
-    """entity, key, context and term: the terms within ``reach`` code points of each mention in ``found`` (key, text, base).
+def mentions(found: DataFrame, *, reach: int = 100) -> DataFrame:
+    """entity, key, context and terms of each mention in ``found`` (key, text, base): the terms within ``reach`` code points of it.
 
     Words that the reach cuts, and other entities, are no terms; a context is the hash of what stands around the mention.
     """
@@ -108,9 +108,8 @@ def mention_terms(found: DataFrame, *, reach: int = 100) -> DataFrame:
     for pattern in PATTERNS.values():
         whole = F.regexp_replace(whole, pattern, " ")
     value = F.lower(F.when(F.col("span.kind").isin("card", "phone"), _digits(F.col("span.value"))).otherwise(F.col("span.value")))
-    around = mention.select(F.concat_ws(":", "span.kind", value).alias("entity"), "key", F.xxhash64(left, right).alias("context"), whole.alias("whole"))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("whole"), F.lit(TERM_CLASS + "{3,}"), F.lit(0)))
-    return around.select("entity", "key", "context", F.explode(terms).alias("term"))
+    terms = F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(TERM_CLASS + "{3,}"), F.lit(0)))
+    return mention.select(F.concat_ws(":", "span.kind", value).alias("entity"), "key", F.xxhash64(left, right).alias("context"), terms.alias("terms"))
 
 
 def _of_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
@@ -126,20 +125,21 @@ def disclosing_terms(rows: DataFrame, found: DataFrame, *, generalise: float = 0
     and co have it near a mention. A pair needs ``min_contexts`` different contexts, so copies of one text are no evidence.
     """
     spark = rows.sparkSession
-    near = mention_terms(found)
+    n = float(rows.count())
+    mentioned = cut(mentions(found))
+    near = mentioned.select("entity", "key", "context", F.explode("terms").alias("term"))
     in_docs = near.groupBy("entity", "term", "key").agg(F.min("context").alias("context"))
     by_context = in_docs.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("co"))
-    pairs = cut(by_context.groupBy("entity", "term").agg(F.sum("co").alias("co"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= min_contexts))
-    if pairs.isEmpty():
-        return spark.createDataFrame([], "term string, strength double, action string")
-    entities = found.where(F.size("base") > 0).select("key", F.explode("base").alias("span"))
-    value = F.lower(F.when(F.col("span.kind").isin("card", "phone"), _digits(F.col("span.value"))).otherwise(F.col("span.value")))
-    mentioned = entities.select(F.concat_ws(":", "span.kind", value).alias("entity"), "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("c"))
-    tokens = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), rf"[^\p{{L}}\p{{N}}]+"))).alias("term"))
-    holding = _of_terms(tokens, cut(pairs.select("term").distinct())).groupBy("term").agg(F.count(F.lit(1)).alias("t"))
-    n = float(rows.count())
+    pairs = by_context.groupBy("entity", "term").agg(F.sum("co").alias("co"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= min_contexts)
+    known = mentioned.select("entity", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") < n)
+    # documents that hold a term are no fewer than those that have it near any mention: terms that are too common by this count alone go
+    least = near.select("term", "key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("t"))
     strength = F.log(F.col("co") * F.lit(n) / (F.col("c").cast("double") * F.col("t"))) / F.log(F.lit(n) / F.col("c"))
-    rated = pairs.join(mentioned, "entity").join(holding, "term").where(F.col("c") < n).withColumn("strength", strength)
+    likely = cut(pairs.join(known, "entity").join(least, "term").where(strength >= generalise).select("entity", "term", "co", "c"))
+    if likely.isEmpty():
+        return spark.createDataFrame([], "term string, strength double, action string")
+    held = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("t"))
+    rated = likely.join(held, "term").withColumn("strength", strength)
     best = rated.groupBy("term").agg(F.max("strength").alias("strength")).where(F.col("strength") >= generalise)
     return cut(best.withColumn("action", F.when(F.col("strength") >= remove, "remove").otherwise("generalise")))
 
@@ -149,7 +149,7 @@ def _term_spans(found: DataFrame, rows: DataFrame, terms: DataFrame) -> DataFram
     none = F.array().cast("array<struct<start:int,place:int,kind:string,end:int,value:string>>")
     if terms.isEmpty():
         return found.withColumn("extra", none)
-    tokens = rows.select("key", F.explode(F.array_distinct(F.split("text", rf"[^\p{{L}}\p{{N}}]+"))).alias("surface")).withColumn("term", F.lower("surface"))
+    tokens = rows.select("key", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("surface")).withColumn("term", F.lower("surface"))
     hits = cut(_of_terms(tokens, terms).groupBy("key").agg(F.collect_set(F.when(F.col("action") == "remove", F.col("surface"))).alias("removed"), F.collect_set("surface").alias("surfaces")))
     size = hits.agg(F.coalesce(F.sum(F.octet_length(F.array_join("surfaces", ",")) + 200), F.lit(0))).first()[0]
     joined = found.join((F.broadcast(hits) if size <= BROADCAST_BYTES else hits).withColumnRenamed("key", "hit"), F.col("key") == F.col("hit"), "left")
