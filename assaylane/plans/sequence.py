@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.sequences import anchor9, hamming, one_hot, percent_identity
-from ..operators import graph, joins, structure
+from ..operators import graph, joins, templates
 from .registry import query, rounded, table
 
 _TOKENS = "SELECT DISTINCT s FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS s FROM benchmark) WHERE length(s) BETWEEN 7 AND 15"
@@ -68,8 +68,30 @@ def cluster_diagnostics(spark, d):
 def topk_similar(spark, d):
     """The three best templates of every sequence by BLOSUM62 alignment, itself left out."""
     rows = peptides(spark, d)
-    named = rows.select("s", F.col("s").alias("name"))
-    return structure.similar_templates(rows, named, "s", "name", "name", k=3, omit_self=True).select("s", "template", "score", "rank")
+    found = templates.top_templates(rows, rows.select("s", F.col("s").alias("name")), "s", "name", "name", k=3, omit_self=True)
+    return found.select(F.col("query").alias("s"), "template", "score", "rank")
+
+
+def document_words(spark, d):
+    """The different words of seven to fifteen letters of all whole documents, with the least doc_id that has each."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    return table(spark, d, "documents").select("doc_id", F.explode(words).alias("s")).where(F.length("s").between(7, 15)).groupBy("s").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("template_search")
+def template_search(spark, d):
+    """The three best templates, among the words of all documents, of every word that first comes in a document whose doc_id is divisible by 50."""
+    words = document_words(spark, d)
+    found = templates.top_templates(words.where(F.col("doc_id") % 50 == 0), words.select("s", F.col("s").alias("name")), "s", "name", "name", k=3, omit_self=True)
+    return found.select("query", "template", "score", "rank")
+
+
+@query("ranked_alleles")
+def ranked_alleles(spark, d):
+    """Parts as alleles and brands as genes: for each part the five first parts of its brand, by alignment of their names without spaces."""
+    parts = table(spark, d, "part").select("p_brand", "p_partkey", F.regexp_replace(F.upper("p_name"), "[^A-Z]", "").alias("s"))
+    few = joins.top_k_per(parts, ["p_brand"], [F.asc("p_partkey")], 5)
+    return templates.ranked_alleles(parts, few, "p_brand", "p_partkey", "s").selectExpr("gene as p_brand", "name as p_partkey", "reference", "score", "rank")
 
 
 @query("anchor9_onehot", f"""
