@@ -19,8 +19,10 @@ from ..storage import cut
 from .structure import BLOSUM_ORDER, align_many, substitution
 
 GAP_OPEN, GAP_EXTEND = -10.0, -0.5
-#: Templates in a block, at most some three times as many where they share a key.
+#: Templates in a block.
 BLOCK = 256
+#: Queries that meet a block together.
+TOGETHER = 512
 
 
 def _matrix() -> np.ndarray:
@@ -35,21 +37,35 @@ def _codes(texts: list[str]) -> np.ndarray:
     return np.minimum(np.array([[ord(c) for c in t.upper()] for t in texts], np.int64).reshape(len(texts), -1), 127)
 
 
-def bounds(query: np.ndarray, letters: np.ndarray) -> float:
-    """The most that a query can score with any sequence whose letters at each place are among ``letters`` (a place by 128 flags)."""
-    table = _matrix()[query]  # places of the query by letters
-    straight = np.where(letters, table, -np.inf).max(axis=1).sum()
-    best = np.where(letters.any(axis=0), table, -np.inf).max(axis=1)
-    return float(max(straight, np.maximum(best, 0).sum() - max(best.min(), 0) + 2 * GAP_OPEN))
+def bounds(queries: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The most that each query (codes, a row each) can score with any sequence whose letters at each place are among ``letters`` (a place by 128 flags)."""
+    table = _matrix()
+    at_place = np.stack([table[:, there].max(axis=1) for there in letters])  # by place and letter of the query
+    straight = at_place[np.arange(len(letters)), queries].sum(axis=1)
+    best = table[:, letters.any(axis=0)].max(axis=1)[queries]
+    return np.maximum(straight, np.maximum(best, 0).sum(axis=1) - np.maximum(best.min(axis=1), 0) + 2 * GAP_OPEN)
 
 
-def pair_scores(query: str, others: list[str], least: float) -> tuple[np.ndarray, int]:
+def flags(letters: Iterable[Iterable[int]]) -> np.ndarray:
+    """Lists of codes as a row of 128 flags each."""
+    rows = list(letters)
+    out = np.zeros((len(rows), 128), bool)
+    for i, there in enumerate(rows):
+        out[i, there] = True
+    return out
+
+
+def pair_scores(query: str, others: list[str], least: float, codes: np.ndarray | None = None) -> tuple[np.ndarray, int]:
     """Alignment scores of a query with sequences of its length, -inf for some that are under ``least``; and how many had to be aligned."""
-    table, q, t = _matrix(), _codes([query])[0], _codes(others)
-    straight = table[q[None, :], t].sum(axis=1)
-    best = table[q][:, t].max(axis=2)  # of the query's places by templates
-    gapped = np.maximum(best, 0).sum(axis=0) - np.maximum(best.min(axis=0), 0) + 2 * GAP_OPEN
+    table, q, t = _matrix(), _codes([query])[0], _codes(others) if codes is None else codes
+    mine = table[q]
+    straight = mine[np.arange(len(q)), t].sum(axis=1)
     scores = np.where(straight >= least, straight, -np.inf)
+    most = np.maximum(mine.max(axis=1), 0)  # with any letter: where that is too little, no gap can help
+    if most.sum() - most.min() + 2 * GAP_OPEN < least:
+        return scores, 0
+    best = mine[:, t].max(axis=2)  # of the query's places by templates
+    gapped = np.maximum(best, 0).sum(axis=0) - np.maximum(best.min(axis=0), 0) + 2 * GAP_OPEN
     aligned = np.flatnonzero((gapped >= least) & (gapped > straight))
     if len(aligned):
         scores[aligned] = align_many([query] * len(aligned), [others[i] for i in aligned], gap_open=GAP_OPEN, gap_extend=GAP_EXTEND)
@@ -83,39 +99,42 @@ def top_templates(queries: DataFrame, templates: DataFrame, sequence: str, name:
     kept = [F.col(sequence).alias("query"), F.col(alleles).alias("list") if alleles else F.array(F.lit("")).alias("list"), F.col(omit).alias("omit") if omit else F.array().cast("array<string>").alias("omit")]
     asked = cut(queries.where(F.length(sequence) > 0).select(*kept).distinct().withColumn("id", F.xxhash64("query", "list", "omit")))
     blocks = cut(template_blocks(templates, sequence, name, order, allele))
-    listed = asked.select("id", "query", "omit", F.length("query").alias("n"), F.posexplode("list").alias("place", "group"))
-    outlines = blocks.select("group", "n", "block", F.size("members").alias("size"), "letters")
+    chunks = -(-asked.count() // TOGETHER) or 1
+    chunk = F.pmod("id", F.lit(chunks)).alias("chunk")
+    listed = asked.select("id", "query", F.length("query").alias("n"), chunk, F.posexplode("list").alias("place", "group"))
+    gathered = listed.groupBy("group", "n", "chunk").agg(F.collect_list("id").alias("ids"), F.collect_list("place").alias("places"), F.collect_list("query").alias("queries"))
 
     def bound(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for query, letters in zip(batch["query"], batch["letters"], strict=True):
-                flags = np.zeros((len(letters), 128), bool)
-                for i, there in enumerate(letters):
-                    flags[i, there] = True
-                out.append(bounds(_codes([query])[0], flags))
-            yield batch.drop(columns="letters").assign(bound=np.array(out, float))
+            for r in batch.itertuples():
+                yield pd.DataFrame({"id": r.ids, "place": r.places, "n": r.n, "block": r.block, "bound": bounds(_codes(list(r.queries)), flags(r.letters))}).assign(group=r.group)[["id", "group", "n", "place", "block", "bound"]]
 
-    met = listed.join(outlines, ["group", "n"]).select("id", "query", "omit", "group", "n", "place", "block", "size", "letters")
-    bounded = cut(met.mapInPandas(bound, "id long, query string, omit array<string>, `group` string, n int, place int, block long, size int, bound double").drop("size"))
+    met = gathered.join(blocks.select("group", "n", "block", "letters"), ["group", "n"])
+    bounded = cut(met.mapInPandas(bound, "id long, `group` string, n int, place int, block long, bound double"))
 
     def open_blocks(chosen: DataFrame) -> DataFrame:
         def score(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for r in batch.itertuples():
-                    gone = set(r.omit)
-                    rows = [m for m in zip(r.orders, r.names, r.sequences, strict=True) if m[1] not in gone and not (omit_self and m[2] == r.query)]
-                    if rows:
-                        scores, aligned = pair_scores(r.query, [m[2] for m in rows], r.least)
-                        good = np.flatnonzero(scores >= r.least)
+                    members, codes = list(zip(r.orders, r.names, r.sequences, strict=True)), _codes(list(r.sequences))
+                    for a in r.asked:
+                        gone = set(a["omit"])
+                        allowed = [i for i, m in enumerate(members) if not (m[1] in gone or omit_self and m[2] == a["query"])] if gone or omit_self else range(len(members))
+                        if len(allowed) == 0:
+                            continue
+                        mine = members if len(allowed) == len(members) else [members[i] for i in allowed]
+                        scores, _ = pair_scores(a["query"], [m[2] for m in mine], a["least"], codes if mine is members else codes[allowed])
+                        good = np.flatnonzero(scores >= a["least"])
                         good = good[np.argsort(-scores[good], kind="stable")][:k]
                         if len(good):
-                            taken = pd.DataFrame([rows[i] for i in good], columns=["template_order", "template_name", "template"], dtype=object)
-                            yield taken.assign(id=r.id, place=r.place, score=scores[good])[["id", "place", "template", "template_name", "template_order", "score"]]
+                            taken = pd.DataFrame([mine[i] for i in good], columns=["template_order", "template_name", "template"], dtype=object)
+                            yield taken.assign(id=a["id"], place=a["place"], score=scores[good])[["id", "place", "template", "template_name", "template_order", "score"]]
 
         kind = templates.schema[order].dataType.simpleString()
-        opened = chosen.join(blocks.select("group", "n", "block", "members"), ["group", "n", "block"])
-        return opened.select("id", "query", "omit", "place", "least", *[F.col(f"members.{c}").alias(f"{c}s") for c in ("order", "name", "sequence")]).mapInPandas(score, f"id long, place int, template string, template_name string, template_order {kind}, score double")
+        known = chosen.join(asked.select("id", "query", "omit"), "id")
+        together = known.groupBy("group", "n", "block", chunk).agg(F.collect_list(F.struct("id", "query", "omit", "place", "least")).alias("asked"))
+        opened = together.join(blocks.select("group", "n", "block", "members"), ["group", "n", "block"])
+        return opened.select("asked", *[F.col(f"members.{c}").alias(f"{c}s") for c in ("order", "name", "sequence")]).mapInPandas(score, f"id long, place int, template string, template_name string, template_order {kind}, score double")
 
     best_first = Window.partitionBy("id").orderBy(F.desc("score"), "place", "template_order", "template_name")
     likeliest = Window.partitionBy("id").orderBy(F.desc("bound"), "place", "block")
@@ -134,13 +153,7 @@ def opened_share(queries: DataFrame, templates: DataFrame, sequence: str, name:
 
     @F.pandas_udf("double")
     def most(query: pd.Series, letters: pd.Series) -> pd.Series:
-        out = []
-        for q, there in zip(query, letters, strict=True):
-            flags = np.zeros((len(there), 128), bool)
-            for i, codes in enumerate(there):
-                flags[i, codes] = True
-            out.append(bounds(_codes([q])[0], flags))
-        return pd.Series(out, dtype=float)
+        return pd.Series([float(bounds(_codes([q]), flags(there))[0]) for q, there in zip(query, letters, strict=True)], dtype=float)
 
     met = asked.join(blocks, F.length("query") == F.col("n")).join(last, "query", "left").withColumn("bound", most("query", "letters"))
     return met.agg(F.sum("size").alias("n_pairs"), F.sum(F.when(F.col("least").isNull() | (F.col("bound") >= F.col("least")), F.col("size")).otherwise(0)).alias("n_open"))

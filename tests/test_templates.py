@@ -66,7 +66,7 @@ def test_bounds_hold():
         for t in block:
             letters[np.arange(9), [ord(c) for c in t]] = True
         scores = [structure.align(query, t, score=table, gap_open=-10.0, gap_extend=-0.5)[0] for t in block]
-        assert templates.bounds(np.array([ord(c) for c in query]), letters) >= max(scores)
+        assert templates.bounds(np.array([[ord(c) for c in query]]), letters)[0] >= max(scores)
         found, _ = templates.pair_scores(query, block, min(scores))
         assert found.tolist() == scores
         high, aligned = templates.pair_scores(query, block, max(scores))
