@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import anchor9, one_hot
-from .stats import correlation
+from . import resample
+from .quantiles import exact_quantiles
+from .stats import auroc, average_precision, correlation, pearson, spearman
 
 
 def prepare(df: DataFrame, keys: Sequence[str], value: str, censored: str, order: Sequence) -> DataFrame:
@@ -80,3 +83,93 @@ def fold_metrics(predicted: DataFrame, target: str, by: Sequence[str]) -> DataFr
     """n, RMSE of model and baseline, and correlation of prediction and target."""
     square = lambda p: F.sqrt(F.avg(F.pow(F.col(p) - F.col(target), F.lit(2.0))))
     return predicted.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), square("predicted").alias("rmse"), square("baseline").alias("rmse_baseline"), correlation("predicted", target).alias("r"))
+
+
+#: The compared models: a constant, the raw score, sequence and group, and these with the structure's numbers.
+BLOCKS = ("B0", "B1", "B2", "B3")
+
+
+def feature_blocks(df: DataFrame, sequence: str, structure: Sequence[str], category: str | None = None) -> DataFrame:
+    """``df`` with the vectors B2 (nine one-hot places, length, the category's code) and B3 (B2 and the ``structure`` columns). B0 and B1 need none."""
+    sized = df.withColumn("_length", F.length(sequence).cast("double"))
+    return features(features(sized, sequence, ["_length"], category, out="B2"), sequence, ["_length", *structure], category, out="B3").drop("_length")
+
+
+def compare_out_of_fold(df: DataFrame, fold: str, folds: Sequence[int], target: str, score: str, *, classify: bool = False, rounds: int = 50, depth: int = 5, seed: int = 0) -> DataFrame:
+    """Rows with pred_B0 to pred_B3, each from the rows of other folds.
+
+    B0 is the mean of the target (of a class: its share), B1 the raw score, negated where ``classify`` as a stronger binder has a lower one; B2 and B3
+    are boosted trees over the vectors of these names, and for a class the probability of the positive one. Where the rows to
+    learn from have one class, its share stands for B2 and B3. A fold without rows on either side gives none.
+    """
+    out = None
+    label = F.col(target).cast("double")
+    rows = df.withColumn("_y", label).where("_y is not null")
+    for f in folds:
+        train, test = rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)
+        mean, classes = train.agg(F.avg("_y"), F.count_distinct("_y")).first()
+        if mean is None:
+            continue
+        part = test.withColumns({"pred_B0": F.lit(float(mean)), "pred_B1": (-F.col(score) if classify else F.col(score)).cast("double")})
+        for block in BLOCKS[2:]:
+            options = {"labelCol": "_y", "featuresCol": block, "maxIter": rounds, "stepSize": 0.05, "maxDepth": depth, "seed": seed}
+            if classify and classes < 2:
+                part = part.withColumn(f"pred_{block}", F.lit(float(mean)))
+            elif classify:
+                model = GBTClassifier(**options, predictionCol="_class").setProbabilityCol("_p").setRawPredictionCol("_raw").fit(train)
+                part = model.transform(part).withColumn(f"pred_{block}", vector_to_array("_p")[1]).drop("_p", "_raw", "_class")
+            else:
+                part = GBTRegressor(**options, predictionCol=f"pred_{block}").fit(train).transform(part)
+        out = part if out is None else out.unionByName(part)
+    return (rows.where("false").withColumns({f"pred_{b}": F.lit(None).cast("double") for b in BLOCKS}) if out is None else out).drop("_y")
+
+
+def model_metrics(predicted: DataFrame, target: str, by: Sequence[str] = (), *, classify: bool = False, models: Sequence[str] = BLOCKS, min_n: int = 10) -> DataFrame:
+    """by, model, n and metrics of the groups with at least ``min_n`` rows: rmse, r and rho, or auroc and average precision.
+
+    Constant predictions have no rank correlation and an AUROC of one half; B1 is a raw score, so its rmse says nothing and is NULL.
+    """
+    stacked = predicted.select(*by, F.col(target).alias("_t"), F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"pred_{m}").alias("_p")) for m in models])).alias("m")).select(*by, "_t", "m.*")
+    keys = [*by, "model"]
+    if classify:
+        labelled = stacked.withColumn("_y", F.col("_t").cast("double") > 0.5)
+        areas = auroc(labelled, "_p", "_y", keys).select(*keys, "auroc")
+        precisions = average_precision(labelled, "_p", "_y", keys).select(*keys, "average_precision")
+        sizes = labelled.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("_y").alias("n_positive"))
+        return sizes.where(F.col("n") >= min_n).join(areas, keys, "left").join(precisions, keys, "left")
+    error = stacked.groupBy(*keys).agg(F.sqrt(F.avg(F.pow(F.col("_p") - F.col("_t"), F.lit(2.0)))).alias("_e")).select(*keys, F.when(F.col("model") != "B1", F.col("_e")).alias("rmse"))
+    ranks = spearman(stacked, "_p", "_t", keys, min_n=min_n)
+    return ranks.join(pearson(stacked, "_p", "_t", keys, min_n=min_n).drop("n"), keys).join(error, keys)
+
+
+def group_summary(metrics: DataFrame, metric: str = "rho") -> DataFrame:
+    """model, n_groups, median, low and high quartile, groups over 0.3 and under 0 of a metric by group. Groups without the metric don't count."""
+    spread = exact_quantiles(metrics, metric, [0.5, 0.25, 0.75], ["model"]).select(F.col("model").alias("_m"), F.col("q")[0].alias("median"), F.col("q")[1].alias("q1"), F.col("q")[2].alias("q3"))
+    counts = metrics.where(F.col(metric).isNotNull()).groupBy("model").agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col(metric) > 0.3).alias("n_over_03"), F.count_if(F.col(metric) < 0).alias("n_under_0"))
+    return counts.join(spread, F.col("model") == F.col("_m")).select("model", "n_groups", "median", "q1", "q3", "n_over_03", "n_under_0")
+
+
+def model_deltas(predicted: DataFrame, target: str, cluster: str, *, classify: bool = False, pairs: Sequence[tuple[str, str]] = (("B3", "B2"), ("B3", "B1")), n_boot: int = 1000, seed: int = 11) -> DataFrame:
+    """first, second, n_replicates, low, high, mean: intervals of differences of two models on the same resamples of clusters.
+
+    Of a class the AUROCs are compared, else the squared errors. A pair with B1, a raw score, is compared by AUROC only and else left out.
+    """
+    out = None
+    for i, (a, b) in enumerate(p for p in pairs if classify or "B1" not in p):
+        options = {"n_boot": n_boot, "seed": seed + i}
+        found = resample.paired_auroc_delta(predicted, target, f"pred_{a}", f"pred_{b}", cluster, **options) if classify else resample.paired_delta(predicted, cluster, target, f"pred_{a}", f"pred_{b}", **options)
+        found = found.select(F.lit(a).alias("first"), F.lit(b).alias("second"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def label_strata(predicted: DataFrame, labels: DataFrame, keys: Sequence[str], label: str, target: str, *, models: Sequence[str] = ("B3",), min_n: int = 10) -> DataFrame:
+    """Metrics of predictions that are there already, by a recovered ``label``: rows as of :func:`model_metrics`, with n_matched and n_total.
+
+    ``labels`` has one label for each of ``keys`` at most; of several the least counts. Rows without a label are in n_total only. Nothing is trained.
+    """
+    one = labels.where(F.col(label).isNotNull()).groupBy(*keys).agg(F.min(label).alias("stratum"))
+    joined = predicted.join(one, list(keys), "left")
+    found = model_metrics(joined.where("stratum is not null"), target, ["stratum"], models=models, min_n=min_n)
+    totals = joined.agg(F.count("stratum").alias("n_matched"), F.count(F.lit(1)).alias("n_total")).withColumn("_j", F.lit(1))
+    return found.withColumn("_j", F.lit(1)).join(F.broadcast(totals), "_j").drop("_j")

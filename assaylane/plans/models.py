@@ -51,6 +51,53 @@ def gbt_oof_metrics(spark, d):
     return rounded(ml.fold_metrics(predicted, "target", ["fold"]), "rmse", "rmse_baseline", "r", places=3)
 
 
+def _strata_sql(policy: str) -> str:
+    rank = "rank() OVER (PARTITION BY s ORDER BY {x}) + (count(*) OVER (PARTITION BY s, {x}) - 1) / 2.0"
+    return f"""
+WITH p AS (SELECT o_orderpriority AS s, l_extendedprice AS t, l_quantity AS p FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey),
+k AS (SELECT *, {rank.format(x="t")} AS rt, {rank.format(x="p")} AS rp FROM p WHERE s IS NOT NULL)
+SELECT s AS stratum, '{policy}' AS model, count(*) AS n, round(corr(rp, rt), 6) AS rho, round(corr(p, t), 6) AS r, round(sqrt(avg((p - t) * (p - t))), 4) AS rmse,
+  (SELECT count(s) FROM p) AS n_matched, (SELECT count(*) FROM p) AS n_total FROM k GROUP BY s HAVING count(*) >= 10"""
+
+
+@query("label_strata", _strata_sql("B3"))
+def label_strata(spark, d):
+    """Quantities as predictions of prices, by the priority of the order: nothing is trained."""
+    lines = table(spark, d, "lineitem").withColumn("pred_B3", F.col("l_quantity").cast("double"))
+    labels = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    return rounded(rounded(ml.label_strata(lines, labels, ["l_orderkey"], "o_orderpriority", "l_extendedprice"), "rho", "r"), "rmse", places=4)
+
+
+def _compared(spark, d, classify):
+    """Documents of known quality as measurements: the language is the group, the source the cluster, the first letters the sequence."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").where("quality is not null")
+    words = F.size(F.split(F.col("text"), " ")).cast("double")
+    rows = docs.select("doc_id", "lang", "source", F.substring(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), 1, 12).alias("letters"), words.alias("words"), F.col("n_chars").cast("double").alias("chars"), (F.col("n_chars") / words).alias("score"), F.col("quality").alias("good"), F.log10("n_chars").alias("size"))
+    folds = ml.group_folds(rows, "source", 3).select("source", "fold")
+    blocks = ml.feature_blocks(rows.where("chars > 0").join(folds, "source"), "letters", ["words"], "lang")
+    return ml.compare_out_of_fold(blocks, "fold", range(3), "good" if classify else "size", "score", classify=classify, rounds=3, depth=3)
+
+
+@query("compare_classifiers")
+def compare_classifiers(spark, d):
+    """Share, raw score and boosted trees as predictions of a document's quality, sources kept whole, by language."""
+    found = ml.model_metrics(_compared(spark, d, True), "good", ["lang"], classify=True)
+    return rounded(found, "auroc", "average_precision", places=3)
+
+
+@query("compare_regressors")
+def compare_regressors(spark, d):
+    """Mean, raw score and boosted trees as predictions of a document's size: the spread of rank correlations over languages."""
+    return rounded(ml.group_summary(ml.model_metrics(_compared(spark, d, False), "size", ["lang"])), "median", "q1", "q3", places=3)
+
+
+@query("paired_auroc_delta_ci")
+def paired_auroc_delta_ci(spark, d):
+    """Interval of the difference of two sizes as scores of quality, sources resampled whole."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").withColumn("good", F.col("quality") == 1).withColumn("lines", F.size(F.split("text", "\n")))
+    return rounded(resample.paired_auroc_delta(rows, "good", "n_chars", "lines", "source", n_boot=200, seed=7), "low", "high", "mean", places=4)
+
+
 @query("bootstrap_auroc_ci")
 def bootstrap_auroc_ci(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").withColumn("good", F.col("quality") == 1)
