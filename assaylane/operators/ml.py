@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import anchor9, one_hot
+from ..storage import cut
 from . import resample
 from .quantiles import exact_quantiles
 from .stats import auroc, average_precision, correlation, pearson, spearman
@@ -144,6 +145,7 @@ def model_metrics(predicted: DataFrame, target: str, by: Sequence[str] = (), *,
 
 def group_summary(metrics: DataFrame, metric: str = "rho") -> DataFrame:
     """model, n_groups, median, low and high quartile, groups over 0.3 and under 0 of a metric by group. Groups without the metric don't count."""
+    metrics = cut(metrics)
     spread = exact_quantiles(metrics, metric, [0.5, 0.25, 0.75], ["model"]).select(F.col("model").alias("_m"), F.col("q")[0].alias("median"), F.col("q")[1].alias("q1"), F.col("q")[2].alias("q3"))
     counts = metrics.where(F.col(metric).isNotNull()).groupBy("model").agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col(metric) > 0.3).alias("n_over_03"), F.count_if(F.col(metric) < 0).alias("n_under_0"))
     return counts.join(spread, F.col("model") == F.col("_m")).select("model", "n_groups", "median", "q1", "q3", "n_over_03", "n_under_0")

@@ -46,7 +46,8 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], by: S
 
     A sketch brackets each wanted rank within some n / ``accuracy`` rows; values inside the bracket are counted exactly and summed in
     ranges of values, so a group with all rows stays split. Should a bracket miss, its group is counted whole. Rows without a
-    value count nowhere; a NULL key is a group; a group without values has no row, and no group gives no rows.
+    value count nowhere; a NULL key is a group; a group without values has no row, and no group gives no rows. ``df`` is read some times, so
+    values that may differ between readings (sums in no fixed order) are to be written before.
     """
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     reach = 2.0 / accuracy
@@ -62,8 +63,8 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], by: S
     if not missed.isEmpty():
         groups = cut(missed.select(*[F.col(b).alias(f"_b_{b}") for b in by], F.lit(1).alias("_one")).distinct())
         whole = brackets.join(groups, _same(by), "left_semi")
-        all_of = lambda c: F.array_repeat(F.col(c), len(quantiles))
-        again = cut(_near(rows, whole.select(*by, "_rank", all_of("_min").alias("_low"), all_of("_max").alias("_high")), by, len(quantiles)))
+        all_of = lambda x: F.array_repeat(F.lit(float(x)), len(quantiles))  # noqa: E731  NaN is over all other numbers
+        again = cut(_near(rows, whole.select(*by, "_rank", all_of("-inf").alias("_low"), all_of("nan").alias("_high")), by, len(quantiles)))
         found = found.join(groups, _same(by), "left_anti").unionByName(again)
     value_at = F.when(F.col("part") > 0, F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("part")).otherwise(F.col("lower"))
     listed = found.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", value_at.alias("q")))), lambda x: x["q"]).alias("q"))
