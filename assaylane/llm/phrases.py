@@ -4,8 +4,8 @@ Texts become arrays of numbers of frequent words. Phrases then grow by a word at
 the phrases of its first and of its last k - 1 words are, so only places where both are count (Apriori). Its key is
 (number of the first k - 1 words, number of the last word), 64 bits that stand for one phrase. For each length
 
-1. every task counts hashed keys in an array of buckets, and the arrays are summed in a tree. A key in a bucket below the
-   threshold can't be frequent;
+1. every task counts hashed keys in two arrays of buckets, and the arrays are summed in a tree. A key with a bucket below the
+   threshold in either can't be frequent;
 2. the other keys that occur are the candidates, and get a minimal perfect hash that stores them;
 3. every task looks its keys up, compares the stored key, and counts slots in an array; arrays are summed in a tree;
 4. what reaches the threshold gets a hash of its own, whose slots number the phrases in the arrays of the next length.
@@ -16,11 +16,12 @@ A hash has a bounded number of keys. More candidates make more hashes, one pass
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,12 @@ from .perfect import PerfectHash
 PART_KEYS = 1 << 21
 #: Bytes of one dictionary of words as Python holds it.
 PART_BYTES = 32 << 20
-#: Words or keys that a task holds before it hands their counts on.
-HELD = 500_000
+#: Words that a task holds before it hands their counts on.
+HELD = 100_000
+#: Candidate keys, eight bytes each, that a task holds before it hands them on.
+KEYS_HELD = 1 << 20
+#: Places of the arrays that a task handles together, but for a longer single text.
+TOGETHER = 1 << 19
 #: Counts in one row of an array that is summed.
 SLICE = 1 << 16
 
@@ -70,11 +75,16 @@ def count_words(docs: DataFrame, min_count: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(words), "word": pa.array(words, pa.binary()).cast(pa.string()), "f": [*found.values(), found.total()]}, schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("f", pa.int64())]))
             held.clear()
 
+        size = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held[lang].update(tokens_of(text.as_py()))
-            if sum(map(len, held.values())) > HELD:
-                yield from rows()
+                found = held[lang]
+                size -= len(found)
+                found.update(tokens_of(text.as_py()))
+                size += len(found)
+                if size > HELD:
+                    yield from rows()
+                    size = 0
         yield from rows()
 
     counted = _tasks(_texts(docs)).mapInArrow(count, "lang string, word string, f bigint").groupBy("lang", "word").agg(F.sum("f").alias("f"))
@@ -106,7 +116,7 @@ def _offset(placed: DataFrame, n: int) -> DataFrame:
 
 
 def encode_words(docs: DataFrame, numbered: DataFrame, parts: int) -> DataFrame:
-    """``s`` and ``last``: for every text the numbers of its words as 32-bit integers, runs of other words and ends of pieces as one -1."""
+    """``s``: for every text the numbers of its words as 32-bit integers, runs of other words and ends of pieces as one -1; ``last`` is NULL."""
     state = _texts(docs).withColumn("s", F.lit(None).cast("binary"))
     for part in range(parts):
         known: dict[str, dict[bytes, int]] = defaultdict(dict)
@@ -125,7 +135,7 @@ def encode_words(docs: DataFrame, numbered: DataFrame, parts: int) -> DataFrame:
                         got = np.where(before >= 0, before, got)
                     out.append((_short(got) if done else got).tobytes())
                 kept = pa.array(out, pa.binary())
-                yield pa.RecordBatch.from_arrays([kept, kept] if done else [batch.column(0), batch.column(1), kept], names=["s", "last"] if done else ["lang", "text", "s"])
+                yield pa.RecordBatch.from_arrays([kept, pa.nulls(len(kept), pa.binary())] if done else [batch.column(0), batch.column(1), kept], names=["s", "last"] if done else ["lang", "text", "s"])
 
         state = cut(state.mapInArrow(encode, "s binary, last binary" if done else "lang string, text binary, s binary"))
     return state
@@ -140,12 +150,22 @@ def _kept(s: np.ndarray) -> np.ndarray:
     return (s >= 0) | (np.concatenate([[0], s[:-1]]) >= 0)
 
 
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of about ``TOGETHER`` places."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64) // 4 + 1
+        starts = np.flatnonzero(np.diff(sizes.cumsum() // TOGETHER, prepend=-1))
+        for start, end in zip(starts, np.append(starts[1:], len(sizes)), strict=True):
+            yield batch.slice(start, end - start)
+
+
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' s and last, one after another with -1 between them, and where each text begins and ends."""
+    """All texts' s and last, one after another with -1 between them, and where each text begins and ends. Of single words s is the last, too."""
     gap = np.array([-1], np.int32).tobytes()
-    s, last = (gap.join(batch.column(i).to_pylist()) + gap for i in (0, 1))
-    sizes = np.array([len(x) // 4 + 1 for x in batch.column(0).to_pylist()], np.int64)
-    return np.frombuffer(s, np.int32), np.frombuffer(last, np.int32), np.concatenate([[0], sizes.cumsum()])
+    rows = batch.column(0).to_pylist()
+    s = np.frombuffer(gap.join(rows) + gap, np.int32)
+    last = s if batch.column(1).null_count else np.frombuffer(gap.join(batch.column(1).to_pylist()) + gap, np.int32)
+    return s, last, np.concatenate([[0], np.cumsum([len(x) // 4 + 1 for x in rows])]).astype(np.int64)
 
 
 def _keys(s: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,63 +174,77 @@ def _keys(s: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, s[at].astype(np.uint64) << np.uint64(32) | last[at + 1].astype(np.uint64)
 
 
-def _sum_in_tree(rows: DataFrame) -> DataFrame:
-    """``slice`` and ``counts`` (64-bit integers) summed over tasks: first in branches, then over these."""
+def _sum_in_tree(rows: DataFrame, finish: Callable[[int, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """``slice`` and ``counts`` (64-bit integers) summed over tasks, first in branches, then over these; and what ``finish`` makes of each sum."""
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SLICE, np.int64)
+    def total(group: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(SLICE, np.int64)
         for counts in group["counts"]:
-            total += np.frombuffer(counts, np.int64)
-        return pd.DataFrame({"slice": group["slice"].iloc[:1], "branch": [0], "counts": [total.tobytes()]})
+            out += np.frombuffer(counts, np.int64)
+        return out
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slice": group["slice"].iloc[:1], "counts": [total(group).tobytes()]})
+
+    def end(group: pd.DataFrame) -> pd.DataFrame:
+        return finish(int(group["slice"].iloc[0]), total(group))
 
-    schema = "slice int, branch int, counts binary"
-    return rows.groupBy("slice", "branch").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
+    return rows.groupBy("slice", "branch").applyInPandas(add, "slice int, counts binary").groupBy("slice").applyInPandas(end, schema)
 
 
-def count_places(state: DataFrame, size: int, place) -> DataFrame:
-    """Occurrences of ``place(keys)`` (from 0 to ``size`` - 1, negative ones not counted) over all keys: slice, branch, counts."""
+def count_places(state: DataFrame, size: int, place: Callable[[np.ndarray], np.ndarray], finish: Callable[[int, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """``finish`` of each slice of the occurrences of ``place(keys)`` (from 0 to ``size`` - 1, negative ones not counted) over all keys."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(-(-size // SLICE) * SLICE, np.int64)
-        for batch in batches:
+        for batch in _pieces(batches):
             s, last, _ = _arrays(batch)
             at = place(_keys(s, last)[1])
-            total += np.bincount(at[at >= 0], minlength=len(total))
+            at, times = np.unique(at[at >= 0], return_counts=True)  # a bincount of what occurs, without a second long array
+            total[at] += times
         used = [i for i in range(len(total) // SLICE) if total[i * SLICE : (i + 1) * SLICE].any()]
         branch = TaskContext.get().partitionId() % 16
         for i in used:
             yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "branch": pa.array([branch], pa.int32()), "counts": [total[i * SLICE : (i + 1) * SLICE].tobytes()]})
 
-    return _sum_in_tree(_tasks(state).mapInArrow(count, "slice int, branch int, counts binary"))
+    return _sum_in_tree(_tasks(state).mapInArrow(count, "slice int, branch int, counts binary"), finish, schema)
+
+
+def _buckets(keys: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key's place in either half of the buckets, by hashes that have nothing to do with each other."""
+    mask = np.uint64(half - 1)
+    return (mix64(keys) & mask).astype(np.int64), half + (mix64(keys ^ np.uint64(0x9E3779B97F4A7C15)) & mask).astype(np.int64)
 
 
 def heavy_buckets(state: DataFrame, buckets: int, min_count: int) -> np.ndarray:
     """For each bucket of hashed keys whether it has ``min_count`` occurrences: one bit each on the driver."""
+    found = np.zeros(buckets // 8, np.uint8)
 
-    def bits(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"slice": frame["slice"], "bits": [np.packbits(np.frombuffer(c, np.int64) >= min_count).tobytes() for c in frame["counts"]]})
+    def bits(at: int, counts: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"slice": [at], "bits": [np.packbits(counts >= min_count).tobytes()]})
 
-    found = np.zeros(buckets // 8, np.uint8)
-    counts = count_places(state, buckets, lambda keys: (mix64(keys) & np.uint64(buckets - 1)).astype(np.int64))
-    for row in counts.mapInPandas(bits, "slice int, bits binary").collect():
+    def place(keys: np.ndarray) -> np.ndarray:
+        return np.concatenate(_buckets(keys, buckets // 2))
+
+    for row in count_places(state, buckets, place, bits, "slice int, bits binary").collect():
         found[row["slice"] * SLICE // 8 : (row["slice"] + 1) * SLICE // 8] = np.frombuffer(row["bits"], np.uint8)
     return np.unpackbits(found).view(bool)
 
 
 def candidates(state: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """``key`` of all keys that occur in a heavy bucket."""
+    """``key`` of all keys that occur and have a heavy bucket in both halves: an infrequent key seldom shares both with frequent ones."""
     shared = state.sparkSession.sparkContext.broadcast(np.packbits(heavy))
 
     def distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = np.unpackbits(shared.value).view(bool)
         held = np.zeros(0, np.uint64)
         row = lambda keys: pa.RecordBatch.from_pydict({"key": keys.view(np.int64)})
-        for batch in batches:
+        for batch in _pieces(batches):
             s, last, _ = _arrays(batch)
             keys = _keys(s, last)[1]
-            held = np.union1d(held, keys[good[(mix64(keys) & np.uint64(len(good) - 1)).astype(np.int64)]])
-            if len(held) > HELD:
+            first, second = _buckets(keys, len(good) // 2)
+            held = np.union1d(held, keys[good[first] & good[second]])
+            if len(held) > KEYS_HELD:
                 yield row(held)
                 held = held[:0]
         if len(held):
@@ -250,15 +284,11 @@ def count_keys(state: DataFrame, keys: DataFrame, min_count: int) -> DataFrame:
                 cache["hash"] = PerfectHash.from_bytes(shared.value)
             return cache["hash"].slots(found)
 
-        def read(frames: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            stored = PerfectHash.from_bytes(shared.value).keys.view(np.int64)
-            for frame in frames:
-                for at, counts in zip(frame["slice"], frame["counts"], strict=True):
-                    f = np.frombuffer(counts, np.int64)
-                    often = np.flatnonzero(f >= min_count)
-                    yield pd.DataFrame({"key": stored[at * SLICE + often], "f": f[often]})
+        def read(at: int, f: np.ndarray, shared=shared) -> pd.DataFrame:
+            often = np.flatnonzero(f >= min_count)
+            return pd.DataFrame({"key": PerfectHash.from_bytes(shared.value).keys.view(np.int64)[at * SLICE + often], "f": f[often]})
 
-        mine = cut(count_places(state, size, slots).mapInPandas(read, "key bigint, f bigint"))
+        mine = cut(count_places(state, size, slots, read, "key bigint, f bigint"))
         counted = mine if counted is None else counted.unionByName(mine)
     return counted
 
@@ -288,9 +318,7 @@ def advance(state: DataFrame, tables: DataFrame, parts: int) -> DataFrame:
 
         def fill(batches: Iterable[pa.RecordBatch], shared=shared, start=start, done=done) -> Iterator[pa.RecordBatch]:
             table = PerfectHash.from_bytes(shared.value)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in _pieces(batches):
                 s, last, bounds = _arrays(batch)
                 longer = np.full(len(s), -1, np.int32)
                 at, keys = _keys(s, last)
@@ -326,7 +354,7 @@ def collocations(docs: DataFrame, *, min_count: int = 100, max_words: int = 5, t
     totals = words.where("word is null").select("lang", F.col("f").alias("n"))
     numbered, parts = number_words(words.where("word is not null"))
     n_words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = 1 << min(24, max(16, (n_words // 64).bit_length()))
+    buckets = 1 << min(24, max(17, (n_words // 64).bit_length()))
     state = encode_words(docs, numbered, parts)
     none = F.array().cast("array<bigint>")
     first = cut(numbered.select("id", "lang", F.col("word").alias("phrase"), "f", F.lit(None).cast("bigint").alias("prefix"), F.lit(None).cast("bigint").alias("suffix"), none.alias("lefts"), none.alias("rights")))

@@ -191,7 +191,7 @@ def plain_collocations(docs, min_count, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("part_keys,part_bytes,held", [(1 << 21, 32 << 20, 500_000), (7, 900, 5)])
+@pytest.mark.parametrize("part_keys,part_bytes,held", [(1 << 21, 32 << 20, 500_000), (60, 1500, 5)])
 def test_phrases_equal_brute_force(spark, monkeypatch, part_keys, part_bytes, held):
     monkeypatch.setattr(phrases, "PART_KEYS", part_keys)
     monkeypatch.setattr(phrases, "PART_BYTES", part_bytes)
