@@ -49,21 +49,27 @@ def pairs_within(df: DataFrame, group: str, index: str, columns: Sequence[str])
 
 
 def _segments(sequence: Column, distance: int) -> Column:
-    """The sequence cut into distance + 1 pieces, each with its number and the length: of two near sequences one piece is equal."""
-    n, k = F.length(sequence), distance + 1
+    """Pairs of pieces, of distance + 2 into which the sequence is cut, with their numbers and the length: of two near sequences one pair is equal."""
+    n, k = F.length(sequence), distance + 2
     cut = lambda i: F.floor(n * i / k).cast("int")
-    return F.array(*[F.struct(F.lit(i).alias("no"), n.alias("n"), F.substring(sequence, cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")) for i in range(k)])
+    piece = lambda i: F.substring(sequence, cut(i) + 1, cut(i + 1) - cut(i))
+    return F.array(*[F.struct(F.lit(i).alias("first"), F.lit(j).alias("second"), n.alias("n"), piece(i).alias("a"), piece(j).alias("b")) for i in range(k) for j in range(i + 1, k)])
+
+
+def hamming_candidates(df: DataFrame, sequence: str, *, distance: int = 2) -> DataFrame:
+    """a < b of different sequences of one length that share two of distance + 2 pieces: no pair within the distance is missing."""
+    keyed = df.where(F.col(sequence).isNotNull()).select(F.col(sequence).alias("s")).distinct().select("s", F.explode(_segments(F.col("s"), distance)).alias("k"))
+    left, right = keyed.withColumnRenamed("s", "a"), keyed.withColumnsRenamed({"s": "b", "k": "k2"})
+    return left.join(right, (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
 
 
 def hamming_pairs(df: DataFrame, sequence: str, *, distance: int = 2) -> DataFrame:
     """a < b and distance of all pairs of different sequences of one length at most ``distance`` apart.
 
-    By the pigeonhole principle such pairs share one of distance + 1 pieces: an equi-join on (length, number, piece), each hit
-    verified. Exact, without comparing all pairs.
+    By the pigeonhole principle such pairs share two of distance + 2 pieces: an equi-join on the length and two numbered pieces, each hit
+    verified. Exact, without comparing all pairs; two pieces are longer together than one of distance + 1, so fewer pairs share them by chance.
     """
-    keyed = df.where(F.col(sequence).isNotNull()).select(F.col(sequence).alias("s")).distinct().select("s", F.explode(_segments(F.col("s"), distance)).alias("k"))
-    left, right = keyed.withColumnRenamed("s", "a"), keyed.withColumnsRenamed({"s": "b", "k": "k2"})
-    met = left.join(right, (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    met = hamming_candidates(df, sequence, distance=distance)
     return met.withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= distance)
 
 

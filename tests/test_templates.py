@@ -84,3 +84,22 @@ def test_ranked_alleles(spark):
     assert set(got) == {(a, b) for a in ("A1", "A2", "A3") for b in ("A1", "A2")} | {("B1", "B1")}
     assert all(s == score(sequences[a], sequences[b]) for (a, b), (s, _) in got.items())
     assert got["A1", "A1"][1] == 1 and got["A2", "A2"][1] == 1
+
+
+def test_hamming_pairs_of_document_words(spark, sf_dir):
+    from assaylane.operators import joins
+    from assaylane.plans.sequence import document_words
+
+    sample = document_words(spark, sf_dir).where("xxhash64(s) % 8 = 0")
+    found = {tuple(r) for r in joins.hamming_pairs(sample, "s", distance=2).collect()}
+    known = sorted(r.s for r in sample.collect())
+    by_length = {}
+    for w in known:
+        by_length.setdefault(len(w), []).append(w)
+    expected = set()
+    for group in by_length.values():
+        codes = np.array([[ord(c) for c in w] for w in group])
+        for i, w in enumerate(group):
+            apart = (codes[i + 1 :] != codes[i]).sum(axis=1)
+            expected |= {(w, group[i + 1 + j], int(apart[j])) for j in np.flatnonzero(apart <= 2)}
+    assert found == expected and expected
