@@ -103,23 +103,33 @@ def write_fasta(df: DataFrame, name: str, sequence: str, path: str, partition_by
     df.where(~F.col(sequence).contains("+")).select(text, *partition_by).write.partitionBy(*partition_by).text(path)
 
 
-def scan_logs(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """allele_dir, peptide (from the path) and the first capture of the pattern in each log; a repeated key is an error."""
-    logs = spark.read.text(path, wholetext=True)
+def scan_logs(spark: SparkSession, path: str, pattern: str, *, suffix: str | None = None) -> DataFrame:
+    """allele_dir, peptide (from the path) and the first capture of the pattern in each log; a repeated key is an error.
+
+    Logs stand in folders allele/peptide/run, or, with a ``suffix``, flat as files of a peptide's name and the suffix in folders of alleles; other
+    files are then left out. Logs without the pattern have no row.
+    """
+    logs = spark.read.option("recursiveFileLookup", suffix is not None).text(path, wholetext=True)
     where = F.col("_metadata.file_path")
-    found = logs.select(path_part(where, 2).alias("allele_dir"), path_part(where, 1).alias("peptide"), F.regexp_extract("value", pattern, 1).alias("template")).where("template <> ''")
+    name = path_part(where, 0)
+    if suffix is None:
+        places = (path_part(where, 2), path_part(where, 1))
+    else:
+        logs = logs.where(name.endswith(suffix))
+        places = (path_part(where, 1), F.substr(name, F.lit(1), F.length(name) - len(suffix)))
+    found = logs.select(places[0].alias("allele_dir"), places[1].alias("peptide"), F.regexp_extract("value", pattern, 1).alias("template")).where("template <> ''")
     if not found.groupBy("allele_dir", "peptide").count().where("count > 1").isEmpty():
         raise ValueError("several logs for one pair")
     return found
 
 
-def read_atoms(spark: SparkSession, path: str) -> DataFrame:
-    """The ATOM records of PDB files, by their fixed columns."""
+def read_atoms(spark: SparkSession, path: str, *, records: Sequence[str] = ("ATOM",)) -> DataFrame:
+    """The atoms of PDB files, by their fixed columns: ATOM, and HETATM if it is among ``records``. altloc is empty for atoms with one place."""
     line = F.col("line")
     cell = lambda a, n: F.trim(F.substring(line, a, n))
-    return file_lines(spark, path).where(line.startswith("ATOM")).select(
+    return file_lines(spark, path).where(cell(1, 6).isin(*records)).select(
         "path", F.substring(line, 22, 1).alias("chain"), cell(23, 4).cast("int").alias("resseq"), cell(27, 1).alias("icode"), cell(18, 3).alias("resname"), cell(13, 4).alias("atom"),
-        to_number(cell(31, 8)).alias("x"), to_number(cell(39, 8)).alias("y"), to_number(cell(47, 8)).alias("z"), "line_no",
+        to_number(cell(31, 8)).alias("x"), to_number(cell(39, 8)).alias("y"), to_number(cell(47, 8)).alias("z"), "line_no", cell(17, 1).alias("altloc"), cell(1, 6).alias("record"),
     )
 
 
