@@ -14,17 +14,20 @@ from pyspark.sql import functions as F
 from ..storage import cut
 
 #: Fixed by the contract, in the order in which spans of one start are listed. A match may begin where the one before ended or where no
-#: character of its first run comes before; parts that can't give characters back are possessive, so time is linear in the text.
+#: character of its first run comes before; parts that can't give characters back are possessive, so time is linear in the text. Runs of
+#: digits match whole or not at all, so those of other lengths than a card's are left out here.
 LOCAL = r"[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A part of an address of at most 255, leading zeros allowed.
 PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?|)"
 TERM_CLASS = r"[\p{L}\p{N}]"
+#: Matches that are placed together.
+TOGETHER = 128
 #: Terms up to this many bytes are broadcast; more are joined by shuffling.
 BROADCAST_BYTES = 32 << 20
 
@@ -61,8 +64,14 @@ def _spans(gaps: Column, matches: Column, kind: str, order: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(order).alias("place"), F.lit(kind).alias("kind"), end.alias("end"), pair["match"].alias("value"))
         return F.struct(end.alias("pos"), F.when(pair["match"].isNull(), at["spans"]).otherwise(F.concat(at["spans"], F.array(span))).alias("spans"))
 
+    # runs of TOGETHER matches first, so that long lists are not copied for each match
     pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(F.size(matches) == 0, empty).otherwise(F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("spans")), step, lambda at: at["spans"]))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(gaps) - 1) / TOGETHER).cast("int")), lambda b: F.slice(pairs, b * TOGETHER + 1, F.lit(TOGETHER)))
+    length = lambda block: F.aggregate(block, F.lit(0), lambda a, p: a + F.length(p["gap"]) + F.coalesce(F.length(p["match"]), F.lit(0)))
+    ahead = lambda at, n: F.struct((at["pos"] + n).alias("pos"), F.concat(at["starts"], F.array(at["pos"])).alias("starts"))
+    starts = F.aggregate(F.transform(blocks, length), F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts")), ahead, lambda at: at["starts"])
+    inside = F.zip_with(blocks, starts, lambda block, start: F.aggregate(block, F.struct(start.alias("pos"), empty.alias("spans")), step, lambda at: at["spans"]))
+    return F.when(F.size(matches) == 0, empty).otherwise(F.flatten(inside))
 
 
 def _located(text: Column, pattern: Column, gaps: Column, kind: str, order: int) -> Column:
