@@ -103,3 +103,26 @@ def test_hamming_pairs_of_document_words(spark, sf_dir):
             apart = (codes[i + 1 :] != codes[i]).sum(axis=1)
             expected |= {(w, group[i + 1 + j], int(apart[j])) for j in np.flatnonzero(apart <= 2)}
     assert found == expected and expected
+
+
+@pytest.mark.parametrize("tile", [1000, 7])
+def test_search_in_tiles(spark, monkeypatch, tile):
+    """Queries and templates that are dealt into many tiles, most alignments with gaps, against brute force."""
+    for name in ("TILE", "CHUNK", "GAP_TILE", "GAP_CHUNK", "COLUMNS", "ROWS"):
+        monkeypatch.setattr(templates, name, tile)
+    monkeypatch.setattr(templates, "ALIGNED", 5)
+    known = [*words(30, 8, (9,)), *[w[i:] + w[:i] for i in (1, 2) for w in words(15, 8, (9,))], "A\u00c4CDEFGHI"]
+    rows = [(t, f"t{i}", i % 5) for i, t in enumerate(known)]
+    df = spark.createDataFrame(rows, "s string, name string, no int").repartition(3)
+    found = templates.top_templates(df.where("no < 3"), df, "s", "name", "no", k=6)
+    expected = [r for q in dict.fromkeys(t for t, _, no in rows if no < 3) for r in plain(q, [(*r, 0) for r in rows], 6)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+def test_tile_bounds_hold():
+    table, q, t = structure.substitution(), words(40, 11, (9,)), words(40, 12, (9,))
+    most = templates.gapped_bounds(templates._class_scores(), templates._classes(q), templates._classes(t))
+    for a, b, bound in zip(q, t, most, strict=True):
+        straight = sum(table[x, y] for x, y in zip(a, b, strict=True))
+        score = structure.align(a, b, score=table, gap_open=-10.0, gap_extend=-0.5)[0]
+        assert score == straight or score <= bound
