@@ -51,7 +51,7 @@ def choose_chains(chains: DataFrame, keys: Sequence[str], peptides: DataFrame, p
     of 100 or more. Of equal lengths the first in the file wins. verdict: ``ok``, ``no peptide chain``, ``no heavy chain`` or ``no chains``.
     """
     listed = chains.groupBy(*keys).agg(F.collect_list(F.struct("line_no", "chain", "sequence", "length")).alias("_chains"))
-    rows = peptides.join(listed, list(keys), "left").withColumn("_chains", F.sort_array("_chains"))
+    rows = peptides.join(listed.hint("merge"), list(keys), "left")  # chains look small to the planner, which can't tell their sequences' lengths, and would be broadcast.withColumn("_chains", F.sort_array("_chains"))
     exact = F.filter("_chains", lambda c: c["sequence"] == F.col(peptide))
     other = F.filter("_chains", lambda c: c["chain"] == "B") if modelled else F.array_sort(F.filter("_chains", lambda c: c["length"].between(7, 15)), lambda x, y: F.when(x["chain"] < y["chain"], -1).when(x["chain"] > y["chain"], 1).otherwise(0))
     rows = rows.withColumn("_peptides", F.when(F.size(exact) > 0, exact).otherwise(other)).withColumn("peptide_chain", F.get("_peptides", F.lit(0))["chain"])

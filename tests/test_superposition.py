@@ -171,3 +171,11 @@ def test_trimmed(spark):
     df = spark.createDataFrame([*pairs, (None, "A")], "s string, r string")
     for s, r, t in df.select("s", "r", alignment.trimmed(F.col("s"), F.col("r"))).collect():
         assert t == (plain(s, r) if s else None)
+
+
+@pytest.mark.parametrize("name", ["choose_chains"])
+def test_chains_are_not_broadcast(spark, sf_dir, name):
+    from assaylane.plans import catalogue
+
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
