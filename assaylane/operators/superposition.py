@@ -71,14 +71,14 @@ def template_verdicts(declared: DataFrame, chains: DataFrame, keys: Sequence[str
     same = F.col(f"d.{chain}") == F.col("f._chain")
     for k in keys:
         same = same & (F.col(f"d.{k}") == F.col(f"f.{k}"))
-    rows = declared.alias("d").join(found.alias("f"), same, "left").select("d.*", "f.found")
+    rows = declared.alias("d").join(found.alias("f").hint("merge"), same, "left").select("d.*", "f.found")
     return rows.withColumn("verdict", F.when(F.col("found").isNull(), "chain missing").when(F.col("found") == F.col(sequence), "ok").otherwise("sequence differs"))
 
 
 def sound_templates(declared: DataFrame, chains: DataFrame, keys: Sequence[str], chain: str, sequence: str) -> DataFrame:
     """The declared templates without those of which any chain is bad."""
     bad = template_verdicts(declared, chains, keys, chain, sequence).where("verdict <> 'ok'").select(*keys).distinct()
-    return declared.join(bad, list(keys), "left_anti")
+    return declared.join(bad.hint("merge"), list(keys), "left_anti")
 
 
 def whole_residues(atoms: DataFrame, keys: Sequence[str], *, min_atoms: int = 3) -> DataFrame:

@@ -173,7 +173,7 @@ def test_trimmed(spark):
         assert t == (plain(s, r) if s else None)
 
 
-@pytest.mark.parametrize("name", ["choose_chains"])
+@pytest.mark.parametrize("name", ["choose_chains", "template_verdicts", "sound_templates"])
 def test_chains_are_not_broadcast(spark, sf_dir, name):
     from assaylane.plans import catalogue
 
