@@ -8,6 +8,7 @@ from ..functions import scalars
 from ..functions.predicates import is_censored
 from ..operators import dedup, quality, structure, summaries
 from ..operators.joins import pairs_within
+from ..operators.pairs import pair_distances
 from ..sources.text import parse_scores
 from .registry import CEILINGS, CENSORED_SQL, FLOOR, LINE_ORDER, LINE_ORDER_SQL, query, rounded, table
 
@@ -128,7 +129,7 @@ def ref_rmsd_ratio(spark, d):
     rows = table(spark, d, "embeddings")
     ref = rows.groupBy(F.col("label").alias("l")).agg(F.min_by("embedding", "vec_id").alias("e"), F.min("vec_id").alias("id"))
     to_ref = rows.join(ref, F.col("label") == F.col("l")).where("vec_id <> id").select("label", _distance(F.col("embedding"), F.col("e")).alias("r"))
-    pairs = pairs_within(rows, "label", "vec_id", ["embedding"]).select("label", _distance(F.col("embedding_i"), F.col("embedding_j")).alias("m")).groupBy("label").agg(F.median("m").alias("m"))
+    pairs = pair_distances(rows, "label", "vec_id", "embedding").select("label", F.col("median_r").alias("m"))
     g = to_ref.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.median("r").alias("median_ref")).join(pairs, "label")
     return rounded(g.select("label", "n", "median_ref", (F.col("median_ref") / F.col("m")).alias("ratio")), "median_ref", "ratio", places=4)
 
