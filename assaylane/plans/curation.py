@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions.predicates import is_censored
 from ..operators import dedup, quality, structure, summaries
-from ..operators.joins import pairs_within
 from ..operators.pairs import pair_distances
 from ..sources.text import parse_scores
 from .registry import CEILINGS, CENSORED_SQL, FLOOR, LINE_ORDER, LINE_ORDER_SQL, query, rounded, table
@@ -114,9 +113,7 @@ def _distance(a, b):
 WITH p AS (SELECT a.label, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(len(a.embedding)) AS r FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
 SELECT label, count(*) AS n_pairs, round(median(r), 4) AS median_r, round(avg(r), 4) AS mean_r, round(min(r), 4) AS least, round(max(r), 4) AS most FROM p GROUP BY 1""")
 def pair_rmsd_within_group(spark, d):
-    pairs = pairs_within(table(spark, d, "embeddings"), "label", "vec_id", ["embedding"])
-    r = pairs.select("label", _distance(F.col("embedding_i"), F.col("embedding_j")).alias("r"))
-    rows = r.groupBy("label").agg(F.count(F.lit(1)).alias("n_pairs"), F.median("r").alias("median_r"), F.avg("r").alias("mean_r"), F.min("r").alias("least"), F.max("r").alias("most"))
+    rows = pair_distances(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
     return rounded(rows, "median_r", "mean_r", "least", "most", places=4)
 
 

@@ -29,6 +29,6 @@ def test_pairs_are_not_rows(spark, sf_dir):
     """Pairs of members never stand as rows of a join on the group alone."""
     from assaylane.plans import catalogue
 
-    for name in ("ref_rmsd_ratio",):
+    for name in ("pair_rmsd_within_group", "ref_rmsd_ratio"):
         plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "embedding_i" not in plan and "vec_id_i" not in plan
