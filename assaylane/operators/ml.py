@@ -138,9 +138,10 @@ def model_metrics(predicted: DataFrame, target: str, by: Sequence[str] = (), *,
         precisions = average_precision(labelled, "_p", "_y", keys).select(*keys, "average_precision")
         sizes = labelled.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("_y").alias("n_positive"))
         return sizes.where(F.col("n") >= min_n).join(areas, keys, "left").join(precisions, keys, "left")
-    error = stacked.groupBy(*keys).agg(F.sqrt(F.avg(F.pow(F.col("_p") - F.col("_t"), F.lit(2.0)))).alias("_e")).select(*keys, F.when(F.col("model") != "B1", F.col("_e")).alias("rmse"))
-    ranks = spearman(stacked, "_p", "_t", keys, min_n=min_n)
-    return ranks.join(pearson(stacked, "_p", "_t", keys, min_n=min_n).drop("n"), keys).join(error, keys)
+    counted = cut(stacked.groupBy(*keys, "_p", "_t").agg(F.count(F.lit(1)).alias("_n")))  # all three metrics are of counts of pairs
+    error = counted.where("_p is not null and _t is not null").groupBy(*keys).agg(F.sqrt(F.sum(F.col("_n") * F.pow(F.col("_p") - F.col("_t"), F.lit(2.0))) / F.sum("_n")).alias("_e")).select(*keys, F.when(F.col("model") != "B1", F.col("_e")).alias("rmse"))
+    ranks = spearman(counted, "_p", "_t", keys, min_n=min_n, count="_n")
+    return ranks.join(pearson(counted, "_p", "_t", keys, min_n=min_n, count="_n").drop("n"), keys).join(error, keys)
 
 
 def group_summary(metrics: DataFrame, metric: str = "rho") -> DataFrame:

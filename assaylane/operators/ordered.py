@@ -33,9 +33,9 @@ def cumulate(counted: DataFrame, by: Sequence[str], value: str, sums: Sequence[s
     return run.join(starts, same).select(*counted.columns, *[(F.col(f"{s}_before") - F.col(f"_{s}_start")).alias(f"{s}_before") for s in sums])
 
 
-def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), *, out: str = "rank") -> DataFrame:
-    """``df`` with the rank of ``value`` in its group, equal values sharing the mean of their ranks. Rows without a value go."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), *, out: str = "rank", count: str | None = None) -> DataFrame:
+    """``df`` with the rank of ``value`` in its group, equal values sharing the mean of their ranks. Rows without a value go; a row counts ``count`` times."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(count) if count else F.count(F.lit(1))).alias("_n"))
     ranked = cumulate(counted, by, value, ["_n"]).select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col(value).alias("_v"), (F.col("_n_before") + (F.col("_n") + 1) / F.lit(2.0)).cast("double").alias(out))
     same = F.col(value) == F.col("_v")
     for b in by:

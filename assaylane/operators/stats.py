@@ -16,16 +16,36 @@ from pyspark.sql import types as T
 from .ordered import average_rank, cumulate
 
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), *, min_n: int = 3) -> DataFrame:
-    """rho and n of each group with at least ``min_n`` complete pairs; rho is NULL where one side is constant."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    ranked = average_rank(average_rank(pairs, "_x", by, out="_rx"), "_y", by, out="_ry")
-    return _correlated(ranked, "_rx", "_ry", by, "rho", min_n)
-
-
-def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = (), *, min_n: int = 3) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), *, min_n: int = 3, count: str | None = None) -> DataFrame:
+    """rho and n of each group with at least ``min_n`` complete pairs; rho is NULL where one side is constant. ``count`` names a column of how often a row counts."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if count is None:
+        pairs = pairs.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+        ranked = average_rank(average_rank(pairs, "_x", by, out="_rx"), "_y", by, out="_ry")
+        return _correlated(ranked, "_rx", "_ry", by, "rho", min_n)
+    pairs = pairs.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(count).alias("_n"))
+    ranked = average_rank(average_rank(pairs, "_x", by, out="_rx", count="_n"), "_y", by, out="_ry", count="_n")
+    return _correlated_counts(ranked, "_rx", "_ry", by, "rho", min_n, "_n")
+
+
+def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = (), *, min_n: int = 3, count: str | None = None) -> DataFrame:
     """r and n of each group; NULL where one side is constant."""
-    return _correlated(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, y, by, "r", min_n)
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return _correlated(pairs, x, y, by, "r", min_n) if count is None else _correlated_counts(pairs, x, y, by, "r", min_n, count)
+
+
+def _correlated_counts(df: DataFrame, x: str, y: str, by: Sequence[str], name: str, min_n: int, count: str) -> DataFrame:
+    """Correlation of rows that count ``count`` times: moments about the middle of each group's range, which keeps them small."""
+    ends = df.groupBy(*by).agg(*[f(c).cast("double").alias(f"_{k}{a}") for k, c in (("x", x), ("y", y)) for f, a in ((F.min, "0"), (F.max, "1"))]).select(*[F.col(b).alias(f"_b_{b}") for b in by], "_x0", "_x1", "_y0", "_y1")
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
+    n, u, v = F.col(count), F.col(x) - (F.col("_x0") + F.col("_x1")) / 2, F.col(y) - (F.col("_y0") + F.col("_y1")) / 2
+    sums = {"n": n, "_u": n * u, "_v": n * v, "_uu": n * u * u, "_vv": n * v * v, "_uv": n * u * v}
+    found = df.join(ends, same).groupBy(*by).agg(*[F.sum(c).alias(k) for k, c in sums.items()], F.max((F.col("_x0") < F.col("_x1")) & (F.col("_y0") < F.col("_y1"))).alias("_varied"))
+    about = lambda a, b, both: F.col(both) - F.col(a) * F.col(b) / F.col("n")
+    r = F.try_divide(about("_u", "_v", "_uv"), F.sqrt(about("_u", "_u", "_uu")) * F.sqrt(about("_v", "_v", "_vv")))
+    return found.where(F.col("n") >= min_n).select(*by, "n", F.when(F.col("_varied"), r).alias(name))
 
 
 def correlation(x: str, y: str) -> Column:
