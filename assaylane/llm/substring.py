@@ -201,8 +201,48 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut(texts.dropDuplicates(["anchor", "doc_id", "text_id", "start"]))
 
 
+def _halves(texts: DataFrame, window: int) -> DataFrame:
+    """half, anchor, doc_id, text_id, start and words of every segment, parted into the windows that reach far left of the gram and the others.
+
+    ``half`` hashes the words that all windows of a part hold, counted from the gram: the gram with more than half of a window's other words on its left, or with
+    the rest on its right. Equal windows have their gram at equal distances, so they lie in parts of one ``half``.
+    """
+    middle = (window - GRAM) // 2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), 2048):
+                part = batch.iloc[i : i + 2048]
+                hashes, owner, _ = split_words([w.decode("utf-8") for w in part["words"]])
+                starts, place, _ = anchors(hashes, owner, window)
+                if not len(starts):
+                    continue
+                left = place - starts > middle
+                first = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (owner[starts[1:]] != owner[starts[:-1]])))
+                begin, end = starts[first], starts[np.append(first[1:], len(starts)) - 1] + window
+                gram, left, of = place[first], left[first], owner[starts[first]]
+                low, high = np.where(left, gram - middle - 1, gram), np.where(left, gram + GRAM, gram + window - middle)
+                from_text = np.searchsorted(owner, np.arange(len(part)))[of]
+                mine = part.iloc[of]
+                words = [w.split()[b:e] for w, b, e in zip(mine["words"], begin - from_text, end - from_text, strict=True)]
+                yield pd.DataFrame({"half": ranges_hash(hashes, low, high).view(np.int64), **{c: mine[c].to_numpy() for c in ("anchor", "doc_id", "text_id", "start")}, "words": [b" ".join(w) for w in words]})
+
+    return texts.mapInPandas(run, "half long, anchor long, doc_id long, text_id long, start int, words binary")
+
+
+def _may_share(texts: DataFrame, window: int) -> DataFrame:
+    """The parts of segments (:func:`_halves`) whose common words stand in parts of other documents too; no other window can be shared."""
+    # both sides written before the join, so that the join stands alone and Spark can split a half's rows
+    halves = cut(_halves(texts, window))
+    shared = cut(halves.groupBy("half").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(F.col("half").alias("_half")))
+    return halves.join(shared.hint("merge"), F.col("half") == F.col("_half"), "left_semi").drop("half")
+
+
 def _owners(texts: DataFrame, window: int) -> DataFrame:
-    """anchor, doc_id, text_id and start of those segments that are the first to hold a window that another one holds."""
+    """anchor, doc_id, text_id and start of those segments that are the first to hold a window that another one holds.
+
+    A segment has ``window - GRAM + 1`` windows at most. Only those of halves that several documents hold are handed on.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -215,7 +255,7 @@ def _owners(texts: DataFrame, window: int) -> DataFrame:
                 found = ranges_hash(hashes, starts, starts + window)
                 yield pd.DataFrame({"found": found.view(np.int64), **{c: mine[c].to_numpy() for c in ("anchor", "doc_id", "text_id", "start")}})
 
-    windows = texts.mapInPandas(run, "found long, anchor long, doc_id long, text_id long, start int")
+    windows = _may_share(texts, window).mapInPandas(run, "found long, anchor long, doc_id long, text_id long, start int")
     first = windows.groupBy("found").agg(F.min(F.struct("doc_id", "text_id", "start", "anchor")).alias("own"), F.max("doc_id").alias("last")).where("own.doc_id < last")
     return first.select("own.anchor", "own.doc_id", "own.text_id", "own.start").distinct()
 
@@ -258,7 +298,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 50) -> DataFrame:
        anchor's segments make a suffix automaton, through which they are streamed in order of doc_id
        for their matching statistics. Maximal spans of at least ``window`` matching words are repeated.
     3. An anchor with more than MANY_SEGMENTS contents, as of a passage that very many documents quote, is
-       not left to one task: hashes of windows, combined before the shuffle, name the segments that first
+       not left to one task: hashes of windows, of those alone half of whose words other documents hold too, name the segments that first
        hold a shared window. These alone are its references. References and segments are both dealt into parts, and a unit is
        one part of either, so that a unit stays small however many there are.
     """
