@@ -69,12 +69,19 @@ def features(df: DataFrame, sequence: str | None, numbers: Sequence[str], catego
 
 
 def out_of_fold(df: DataFrame, fold: str, target: str, folds: Sequence[int], *, rounds: int = 20, depth: int = 5, seed: int = 0) -> DataFrame:
-    """Rows with the prediction of a boosted model that was fitted without their fold, and of the mean without it."""
+    """Rows with the prediction of a boosted model that was fitted without their fold, and of the mean without it.
+
+    Rows of a fold with equal features are learned from as one, with their mean target and their number as weight: a split's gain and a leaf's mean are
+    the same, and so many different vectors, not rows, are held by the fits. Spark draws the candidates of splits by a sample of what it is given, where that has more than
+    10,000 rows, so a number with more than 32 values can be split elsewhere under another partitioning, or by another such grouping.
+    """
+    known = F.coalesce(F.col(target).cast("double"), F.lit(float("nan")))  # a missing target stays an error of the fit
+    counted = cut(df.groupBy("features", fold).agg(F.avg(known).alias("_mean"), F.count(F.lit(1)).cast("double").alias("_n")))
     out = None
     for f in folds:
-        train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
-        model = GBTRegressor(labelCol=target, maxIter=rounds, stepSize=0.1, maxDepth=depth, seed=seed, predictionCol="predicted").fit(train)
-        mean = train.agg(F.avg(target)).first()[0]
+        train, test = counted.where(F.col(fold) != f), df.where(F.col(fold) == f)
+        model = GBTRegressor(labelCol="_mean", weightCol="_n", maxIter=rounds, stepSize=0.1, maxDepth=depth, seed=seed, predictionCol="predicted").fit(train)
+        mean = train.agg(F.sum(F.col("_mean") * F.col("_n")) / F.sum("_n")).first()[0]
         part = model.transform(test).withColumn("baseline", F.lit(float(mean)))
         out = part if out is None else out.unionByName(part)
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ml, resample
+from ..storage import cut
 from .registry import CENSORED_SQL, LINE_ORDER, LINE_ORDER_SQL, query, rounded, table
 from .statistics import censored
 
@@ -44,7 +45,7 @@ def block_cv(spark, d):
 def gbt_oof_metrics(spark, d):
     """Boosted trees against the mean, three folds of suppliers kept whole: metrics for each fold."""
     lines = table(spark, d, "lineitem")
-    folds = ml.group_folds(lines, "l_suppkey", 3).select("l_suppkey", "fold")
+    folds = cut(ml.group_folds(lines, "l_suppkey", 3).select("l_suppkey", "fold"))  # read by each pass over the lines, and of known size
     rows = lines.join(folds, "l_suppkey").withColumn("target", F.log10("l_extendedprice"))
     ready = ml.features(rows, None, ["l_quantity", "l_discount", "l_tax"], "l_returnflag").select("features", "target", "fold")
     predicted = ml.out_of_fold(ready, "fold", "target", range(3), rounds=5, depth=3)
