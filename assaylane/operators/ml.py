@@ -109,10 +109,11 @@ def compare_out_of_fold(df: DataFrame, fold: str, folds: Sequence[int], target:
     B0 is the mean of the target (of a class: its share), B1 the raw score, negated where ``classify`` as a stronger binder has a lower one; B2 and B3
     are boosted trees over the vectors of these names, and for a class the probability of the positive one. Where the rows to
     learn from have one class, its share stands for B2 and B3. A fold without rows on either side gives none.
+    The rows are written once before the fits, each of which reads them several times, and with their predictions once after them.
     """
     out = None
     label = F.col(target).cast("double")
-    rows = df.withColumn("_y", label).where("_y is not null")
+    rows = cut(df.withColumn("_y", label).where("_y is not null"))
     for f in folds:
         train, test = rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)
         mean, classes = train.agg(F.avg("_y"), F.count_distinct("_y")).first()
@@ -129,7 +130,9 @@ def compare_out_of_fold(df: DataFrame, fold: str, folds: Sequence[int], target:
             else:
                 part = GBTRegressor(**options, predictionCol=f"pred_{block}").fit(train).transform(part)
         out = part if out is None else out.unionByName(part)
-    return (rows.where("false").withColumns({f"pred_{b}": F.lit(None).cast("double") for b in BLOCKS}) if out is None else out).drop("_y")
+    if out is None:
+        return rows.where("false").withColumns({f"pred_{b}": F.lit(None).cast("double") for b in BLOCKS}).drop("_y")
+    return cut(out.drop("_y"))
 
 
 def model_metrics(predicted: DataFrame, target: str, by: Sequence[str] = (), *, classify: bool = False, models: Sequence[str] = BLOCKS, min_n: int = 10) -> DataFrame:

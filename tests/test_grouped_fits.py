@@ -6,6 +6,7 @@ import random
 
 import pytest
 from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import functions as F
 
 from assaylane.operators import ml
 
@@ -23,3 +24,22 @@ def test_equal_vectors_are_learned_as_one_row(spark, monkeypatch):
     assert all(r.predicted == pytest.approx(wanted[r.a, r.b, r.fold], abs=1e-9) for r in found)
     means = {f: [y for *_, y, g in rows if g != f] for f in (0, 1)}
     assert all(r.baseline == pytest.approx(sum(means[r.fold]) / len(means[r.fold])) for r in found)
+
+
+@pytest.mark.parametrize("classify", [False, True])
+def test_rows_are_made_once_for_all_fits(spark, classify):
+    """A counter in the rows' plan: the fits and the metrics read what was written."""
+    rng = random.Random(5)
+    rows = [(rng.choice("ACDE") * 9, rng.random(), rng.random(), i % 2, i % 3) for i in range(90)]
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return x
+
+    df = spark.createDataFrame(rows, "sequence string, score double, y double, strong int, fold int")
+    blocks = ml.feature_blocks(df.withColumn("structure", counted("score")), "sequence", ["structure"])
+    found = ml.compare_out_of_fold(blocks, "fold", range(3), "strong" if classify else "y", "score", classify=classify, rounds=2, depth=2)
+    ml.model_metrics(found, "strong" if classify else "y", classify=classify).collect()
+    assert found.count() == 90 and 90 <= made.value <= 180  # the filter and the column may each make it
