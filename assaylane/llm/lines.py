@@ -76,25 +76,32 @@ def shingle_set(wide: Column) -> Column:
 
 
 def marks(texts: DataFrame) -> DataFrame:
-    """id, n and the mark m0, m1 ... of every line (id, wide): its number of shingles, repeats included, and a bitmap in which each shingle's hash sets a bit."""
+    """id, n, ones and mark of every line (id, wide): its number of different shingles, and WORDS words of a bitmap in which each of them flips a bit, with the bits left set counted."""
+    # the first WORDS elements stand for the words themselves, so that a word without a shingle is there too
     # dealt by id first, so that a line's words are made and brought together in one task
-    spread = texts.repartition("id").select("id", "wide", F.explode(_places(F.col("wide"))).alias("at"))
-    hashed = spread.select("id", F.xxhash64(_shingle(F.col("wide"), F.col("at"))).alias("h"))
-    placed = hashed.select("id", F.pmod(F.shiftright("h", 6), F.lit(WORDS)).cast("int").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-    several = placed.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"), F.bit_or("bit").alias("bits"))
-    words = [F.coalesce(F.max(F.when(F.col("word") == i, F.col("bits"))), F.lit(0)).alias(f"m{i}") for i in range(WORDS)]
-    return cut(several.groupBy("id").agg(F.sum("n").alias("n"), *words))
+    sets = texts.repartition("id").select("id", shingle_set(F.col("wide")).alias("of"))
+    spread = sets.select("id", F.posexplode(F.concat(F.sequence(F.lit(0), F.lit(WORDS - 1)).cast("array<bigint>"), "of")).alias("at", "h"))
+    shingle = F.col("at") >= WORDS
+    word = F.when(shingle, F.pmod(F.shiftright("h", 6), F.lit(WORDS))).otherwise(F.col("h")).cast("int")
+    placed = spread.select("id", word.alias("word"), F.when(shingle, F.expr("shiftleft(1L, cast(h & 63 as int))")).otherwise(F.lit(0)).alias("bit"), shingle.cast("int").alias("one"))
+    several = placed.groupBy("id", "word").agg(F.sum("one").alias("n"), F.bit_xor("bit").alias("bits"))
+    whole = several.groupBy("id").agg(F.sum("n").alias("n"), F.sum(F.bit_count("bits")).alias("ones"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    return cut(whole.select("id", "n", "ones", F.col("words.bits").alias("mark")))
 
 
 def _may_be_near(threshold: float) -> Column:
-    """Whether lines (n, m0 ...) and (_n, _m0 ...) can have the similarity ``threshold``, by their marks.
+    """Whether lines (n, ones, mark) and (_n, _ones, _mark) can have the similarity ``threshold``, by their marks.
 
-    A bit that one mark alone has is set by a shingle that one line alone has, so the bits in which marks differ are at most the
-    shingles d of one line alone. Of sets with i common and u different elements in all, d = u - i, and i >= t * u means
-    d <= (n + _n) * (1 - t) / (1 + t), with n + _n = u + i or, with repeats, more. So no pair of the threshold is ruled out.
+    Shingles that both lines have flip the same bits of both, so marks differ only in bits flipped by the d shingles of one line alone,
+    and in at most d of them. Of sets with i common and u different elements in all, d = u - i and n + _n = u + i, and
+    i >= t * u means d <= (n + _n) * (1 - t) / (1 + t). So no pair of the threshold is ruled out. Only shingles of one line alone
+    can hide each other, so few pairs below it pass. Numbers of bits, which differ by no more than the bits do, are looked at first.
+    A mark is one array: with a column for each word the comparison made a method too long for the JVM to compile.
     """
-    differ = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"_m{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("m0").bitwiseXOR(F.col("_m0"))))
-    return differ * F.lit(1 + threshold) <= (F.col("n") + F.col("_n")) * F.lit(1 - threshold) + F.lit(1e-6)
+    room = (F.col("n") + F.col("_n")) * F.lit(1 - threshold) + F.lit(1e-6)
+    each = F.zip_with("mark", "_mark", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(each, F.lit(0), lambda total, x: total + x)
+    return (F.abs(F.col("ones") - F.col("_ones")) * F.lit(1 + threshold) <= room) & (differ * F.lit(1 + threshold) <= room)
 
 
 def _other(rows: DataFrame) -> DataFrame:
@@ -109,11 +116,18 @@ def _marked(rows: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def _meet(members: DataFrame) -> DataFrame:
-    """``members`` (key, id) of buckets of two or more, with the bucket's leader, its member of least id."""
+    """``members`` (key, id) of buckets of two or more, with the bucket's leader.
+
+    It is the member that meets the most others in all its buckets. In a family of edited copies that is a line of few edits, which
+    more members are near to than to one drawn at random, and it leads most of its buckets, so that fewer pairs are compared.
+    """
+    several = cut(members.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    met = cut(members.join(_small_enough(several, 64), F.col("key") == F.col("_key")).drop("_key"))
+    weights = cut(met.groupBy(F.col("id").alias("_id")).agg(F.sum("size").alias("weight")))
+    weighed = met.join(weights, F.col("id") == F.col("_id")).select("key", "id", "weight")
     # written before the join, so that the join stands alone in its stage and Spark can split a bucket's rows
-    several = cut(members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_most")).where("leader < _most"))
-    few = several.select(F.col("key").alias("_key"), "leader").hint("shuffle_hash")
-    return members.join(few, F.col("key") == F.col("_key")).drop("_key")
+    best = cut(weighed.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("weight", "id")).alias("best")))
+    return met.join(best.select("_key", F.col("best.id").alias("leader")), F.col("key") == F.col("_key")).select("key", "id", "leader")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -146,7 +160,7 @@ def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
 def line_components(docs: DataFrame, *, threshold: float = 0.8, min_chars: int = 40) -> DataFrame:
     """node and root for the ids of lines of at least ``min_chars`` characters that are linked, over any number of links, by a similarity of at least ``threshold``.
 
-    Lines that share a band key meet in a bucket. All members are compared with the bucket's leader, its least id: a
+    Lines that share a band key meet in a bucket. All members are compared with the bucket's leader: a
     group of copies of one line, however large, costs one comparison a member. Components are taken, and only buckets
     that hold several of them go on, since a comparison within a component can add nothing. In buckets of more than
     LEADERS members, LEADERS drawn by a hash, most of them from the bucket's largest component, meet all members of other components, and components
@@ -172,7 +186,7 @@ def line_components(docs: DataFrame, *, threshold: float = 0.8, min_chars: int =
     pairs = _unordered(_marked(large, marked).join(cut(_other(_marked(leaders, marked))), apart & _may_be_near(threshold)))
     more = _verify(pairs, texts, threshold)
     roots = _joined(more.where("near"), roots)
-    done = met.select("a", "b").unionByName(more.select("a", "b"))
+    done = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(more.select("a", "b"))
 
     sized = cut(_marked(_named(left.select("key", "id"), roots), marked)).withColumn("parts", F.ceil(F.col("size") / TILE).cast("int"))
     mine = sized.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))

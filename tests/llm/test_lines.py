@@ -25,3 +25,30 @@ def test_template_family_is_compared_whole(spark, make, monkeypatch):
             assert a == b or (a // 2 == b // 2) == (len(x & y) >= 0.8 * len(x | y))
     found = {r.doc_id: r.n_removed for r in lines.drop_duplicate_lines(make(*rows)).collect()}
     assert found == {i: i % 2 for i, _ in rows}
+
+
+def test_most_met_member_leads(spark):
+    """The member that meets most others leads its buckets, whatever its id; buckets of one go."""
+    rows = [(1, 5), (1, 1), (1, 2), (2, 5), (2, 3), (3, 5), (3, 1), (4, 9)]
+    found = lines._meet(spark.createDataFrame(rows, "key bigint, id bigint")).collect()
+    assert sorted((r.key, r.id, r.leader) for r in found) == [(k, i, 5) for k, i in sorted(rows[:-1])]
+
+
+def test_marks_tell_near_from_nearly_near(spark):
+    """Marks let every pair of the threshold pass, repeats in the lines included, and hardly one of similarity under 0.77, though the lines have 500 shingles and more."""
+    rng = random.Random(7)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(560)]
+    texts = []
+    for i in range(60):
+        line = base.copy()
+        for at in rng.sample(range(len(line)), rng.randint(0, 8)):
+            line[at] = "#"
+        texts.append((i, "".join(line) + "again and again " * (i % 3)))
+    sets = {i: {t[j : j + 8] for j in range(len(t) - 7)} for i, t in texts}
+    marked = lines.marks(spark.createDataFrame(texts, "id bigint, line string").select("id", F.encode("line", "UTF-16BE").alias("wide")))
+    pairs = marked.join(lines._other(marked), (F.col("id") < F.col("_id")) & lines._may_be_near(0.8)).select("id", "_id")
+    passed = {(r.id, r._id) for r in pairs.collect()}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert {p for p, s in alike.items() if s >= 0.8} <= passed
+    below = [p for p, s in alike.items() if s < 0.77]
+    assert len(below) > 300 and sum(p in passed for p in below) <= 0.01 * len(below)
