@@ -17,6 +17,8 @@ SURVIVORS = 96
 LEADERS = 16
 #: 64-bit words of a line's mark, a bitmap of its shingles that rules pairs out.
 WORDS = 64
+#: Words of a mark that are made in one group; a group costs as much as many words.
+LANES = 8
 #: Members of a part of a large bucket in the last round; a part meets its whole bucket in a task.
 TILE = 4096
 #: Bytes up to which the removed lines are broadcast to the documents; above, both are shuffled.
@@ -55,18 +57,27 @@ def bands(lines: DataFrame) -> DataFrame:
     MinHash by one permutation: shingles' hashes are dealt into ROWS * BANDS bins, and a line's signature is the
     least hash of each bin; a band's key hashes ROWS bins. An empty bin, of a short line, counts as empty. Of a long
     line only hashes under a bound that leaves about SURVIVORS of them are looked at, since a greater one is hardly
-    ever the least of a bin. Equal lines are merged first, by a shuffle on id.
-    The shingles are then exploded and reduced on the same key, so nothing is shuffled again. The bytes and
-    the bound are made below the explode, or each shingle would make them anew.
+    ever the least of a bin. Shingles are exploded and reduced in the tasks that read the lines, so that least hashes are shuffled and no
+    text is; equal lines have equal ones and are merged with that. A line has two groups of bins, since a group costs as much as many
+    bins. The bytes and the bound are made below the explode, or each shingle would make them anew.
     """
-    wide = _different(lines).select("id", F.encode("line", "UTF-16BE").alias("wide"))
+    wide = lines.select("id", F.encode("line", "UTF-16BE").alias("wide"))
     some = F.length("wide") / 2
     bound = F.when(some <= 2 * SURVIVORS, F.lit((1 << 31) - 1)).otherwise((F.lit(SURVIVORS * 2.0**32) / some - F.lit(2.0**31)).cast("int"))
     spread = wide.select("id", "wide", bound.alias("bound"), F.explode(_places(F.col("wide"))).alias("at"))
     hashed = spread.select("id", "bound", F.hash(_shingle(F.col("wide"), F.col("at"))).alias("h")).where("h <= bound")
-    dealt = hashed.select("id", "h", F.pmod("h", F.lit(BANDS)).alias("band"), F.pmod(F.shiftright("h", 16), F.lit(ROWS)).alias("row"))
-    least = dealt.groupBy("id", "band").agg(*[F.min(F.when(F.col("row") == i, F.col("h"))).alias(f"least_{i}") for i in range(ROWS)])
-    return least.select(F.xxhash64("band", *[F.coalesce(f"least_{i}", F.lit(0)) for i in range(ROWS)]).alias("key"), "id")
+    band, half, none = F.pmod("h", F.lit(BANDS)), BANDS // 2, F.lit((1 << 31) - 1)
+    place = F.pmod(band, F.lit(half)) * ROWS + F.pmod(F.shiftright("h", 16), F.lit(ROWS))
+    dealt = hashed.select("id", "h", (band >= half).alias("upper"), place.alias("place"))
+    least = dealt.groupBy("id", "upper").agg(*[F.min(F.when(F.col("place") == i, F.col("h")).otherwise(none)).alias(f"least_{i}") for i in range(half * ROWS)])
+    bins = [F.when(F.col(f"least_{i}") == none, F.lit(0)).otherwise(F.col(f"least_{i}")) for i in range(half * ROWS)]
+    keys = []
+    for b in range(half):
+        own = bins[b * ROWS : (b + 1) * ROWS]
+        key = F.xxhash64(F.lit(b) + F.when(F.col("upper"), F.lit(half)).otherwise(F.lit(0)), *own)
+        # a band without a shingle has no key, or all lines with such a band would meet
+        keys.append(F.when(F.least(*[F.col(f"least_{i}") for i in range(b * ROWS, (b + 1) * ROWS)]) < none, key).alias(f"key_{b}"))
+    return least.select("id", *keys).select(F.explode(F.array(*[f"key_{b}" for b in range(half)])).alias("key"), "id").where("key is not null")
 
 
 def shingle_set(wide: Column) -> Column:
@@ -76,32 +87,36 @@ def shingle_set(wide: Column) -> Column:
 
 
 def marks(texts: DataFrame) -> DataFrame:
-    """id, n, ones and mark of every line (id, wide): its number of different shingles, and WORDS words of a bitmap in which each of them flips a bit, with the bits left set counted."""
-    # the first WORDS elements stand for the words themselves, so that a word without a shingle is there too
+    """id, n and mark of every line (id, wide): its number of different shingles, and WORDS words of a bitmap in which each of them flips a bit."""
+    # the first elements stand for the groups of LANES words themselves, so that a group without a shingle is there too
     # dealt by id first, so that a line's words are made and brought together in one task
+    groups = WORDS // LANES
     sets = texts.repartition("id").select("id", shingle_set(F.col("wide")).alias("of"))
-    spread = sets.select("id", F.posexplode(F.concat(F.sequence(F.lit(0), F.lit(WORDS - 1)).cast("array<bigint>"), "of")).alias("at", "h"))
-    shingle = F.col("at") >= WORDS
-    word = F.when(shingle, F.pmod(F.shiftright("h", 6), F.lit(WORDS))).otherwise(F.col("h")).cast("int")
-    placed = spread.select("id", word.alias("word"), F.when(shingle, F.expr("shiftleft(1L, cast(h & 63 as int))")).otherwise(F.lit(0)).alias("bit"), shingle.cast("int").alias("one"))
-    several = placed.groupBy("id", "word").agg(F.sum("one").alias("n"), F.bit_xor("bit").alias("bits"))
-    whole = several.groupBy("id").agg(F.sum("n").alias("n"), F.sum(F.bit_count("bits")).alias("ones"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
-    return cut(whole.select("id", "n", "ones", F.col("words.bits").alias("mark")))
+    spread = sets.select("id", F.posexplode(F.concat(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>"), "of")).alias("at", "h"))
+    shingle = F.col("at") >= groups
+    group = F.when(shingle, F.pmod(F.shiftright("h", 9), F.lit(groups))).otherwise(F.col("h")).cast("int")
+    bit = F.when(shingle, F.expr("shiftleft(1L, cast(h & 63 as int))")).otherwise(F.lit(0))
+    placed = spread.select("id", group.alias("group"), F.pmod(F.shiftright("h", 6), F.lit(LANES)).alias("lane"), bit.alias("bit"), shingle.cast("int").alias("one"))
+    lanes = [F.bit_xor(F.when(F.col("lane") == i, F.col("bit")).otherwise(F.lit(0))).alias(f"lane_{i}") for i in range(LANES)]
+    several = placed.groupBy("id", "group").agg(F.sum("one").alias("n"), *lanes)
+    words = F.sort_array(F.collect_list(F.struct("group", F.array(*[f"lane_{i}" for i in range(LANES)]).alias("bits"))))
+    whole = several.groupBy("id").agg(F.sum("n").alias("n"), words.alias("words"))
+    return cut(whole.select("id", "n", F.flatten("words.bits").alias("mark")))
 
 
 def _may_be_near(threshold: float) -> Column:
-    """Whether lines (n, ones, mark) and (_n, _ones, _mark) can have the similarity ``threshold``, by their marks.
+    """Whether lines (n, mark) and (_n, _mark) can have the similarity ``threshold``, by their marks.
 
     Shingles that both lines have flip the same bits of both, so marks differ only in bits flipped by the d shingles of one line alone,
     and in at most d of them. Of sets with i common and u different elements in all, d = u - i and n + _n = u + i, and
     i >= t * u means d <= (n + _n) * (1 - t) / (1 + t). So no pair of the threshold is ruled out. Only shingles of one line alone
-    can hide each other, so few pairs below it pass. Numbers of bits, which differ by no more than the bits do, are looked at first.
+    can hide each other, so few pairs below it pass. Numbers of shingles, which differ by no more than d, are looked at first.
     A mark is one array: with a column for each word the comparison made a method too long for the JVM to compile.
     """
     room = (F.col("n") + F.col("_n")) * F.lit(1 - threshold) + F.lit(1e-6)
     each = F.zip_with("mark", "_mark", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     differ = F.aggregate(each, F.lit(0), lambda total, x: total + x)
-    return (F.abs(F.col("ones") - F.col("_ones")) * F.lit(1 + threshold) <= room) & (differ * F.lit(1 + threshold) <= room)
+    return (F.abs(F.col("n") - F.col("_n")) * F.lit(1 + threshold) <= room) & (differ * F.lit(1 + threshold) <= room)
 
 
 def _other(rows: DataFrame) -> DataFrame:
@@ -133,14 +148,16 @@ def _meet(members: DataFrame) -> DataFrame:
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """a, b and near of the given pairs: whether the Jaccard similarity of their sets of shingles, by 64-bit hashes, reaches the threshold.
 
-    Many pairs share b, so its set is made once; the text of a travels to it, which is shorter than a's set.
+    Many pairs share b, so its set is made once; the text of a travels to it, which is shorter than a's set. A line a with too few
+    places for the threshold makes no set.
     """
     pairs = cut(pairs)
     wanted = pairs.select(F.col("b").alias("_b")).distinct()
     right = cut(texts.join(wanted, F.col("id") == F.col("_b"), "left_semi").select(F.col("id").alias("_b"), shingle_set(F.col("wide")).alias("_of_b")))
     left = texts.select(F.col("id").alias("_a"), F.col("wide").alias("_wide"))
     both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-    sets = both.select("a", "b", shingle_set(F.col("_wide")).alias("_of_a"), "_of_b")
+    enough = F.size(_places(F.col("_wide"))) + 1e-6 >= F.size("_of_b") * F.lit(threshold)
+    sets = both.select("a", "b", F.when(enough, shingle_set(F.col("_wide"))).otherwise(F.array().cast("array<bigint>")).alias("_of_a"), "_of_b")
     counted = sets.select("a", "b", (F.size("_of_a") + F.size("_of_b")).alias("_n"), F.size(F.array_intersect("_of_a", "_of_b")).alias("_common"))
     found = cut(counted.select("a", "b", (F.col("_common") / (F.col("_n") - F.col("_common")) >= threshold).alias("near")))
     discard(pairs, right)
@@ -157,19 +174,18 @@ def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
     return left
 
 
-def line_components(docs: DataFrame, *, threshold: float = 0.8, min_chars: int = 40) -> DataFrame:
-    """node and root for the ids of lines of at least ``min_chars`` characters that are linked, over any number of links, by a similarity of at least ``threshold``.
+def line_components(lines: DataFrame, *, threshold: float = 0.8) -> DataFrame:
+    """node and root for the ids of the ``lines`` (id, line) that are linked, over any number of links, by a similarity of at least ``threshold``.
 
     Lines that share a band key meet in a bucket. All members are compared with the bucket's leader: a
     group of copies of one line, however large, costs one comparison a member. Components are taken, and only buckets
-    that hold several of them go on, since a comparison within a component can add nothing. In buckets of more than
+    in which others than the leader, who has met all, are of several of them go on, since a comparison within a component can add nothing. In buckets of more than
     LEADERS members, LEADERS drawn by a hash, most of them from the bucket's largest component, meet all members of other components, and components
     are taken again: who has near ones there hardly stays outside, so that few are left to be compared one by one. At last all
     pairs of different components that still share a bucket are compared, so that all that is missed is what the bands miss. After the first round
     marks rule out pairs first, by some bit counts, and shingles are compared only where the marks allow the threshold. What is left grows
     with the square of a bucket whose lines are not near each other; a large bucket is dealt into parts for it.
     """
-    lines = occurrences(docs).where(F.length("line") >= min_chars)
     keyed = cut(bands(lines))
     members = cut(_meet(keyed))
     discard(keyed)
@@ -177,7 +193,7 @@ def line_components(docs: DataFrame, *, threshold: float = 0.8, min_chars: int =
     texts = cut(_different(met).select("id", F.encode("line", "UTF-16BE").alias("wide")))
     met = _verify(members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), texts, threshold)
     roots = connected_components(met.where("near").select("a", "b"))
-    left = _named(members.select("key", "id"), roots)
+    left = _named(members.where("id <> leader").select("key", "id"), roots)
     marked = marks(texts.join(left.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_semi"))
     slot = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(LEADERS))
     large = left.where(F.col("size") > LEADERS)
@@ -225,10 +241,11 @@ def duplicate_lines(docs: DataFrame, *, threshold: float = 0.8, min_chars: int =
     A class holds all occurrences of equal lines, however short, and of the lines of at least ``min_chars`` characters that
     :func:`line_components` joins. Its first occurrence, by doc_id and then by place, stays.
     """
-    roots = line_components(docs, threshold=threshold, min_chars=min_chars).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    places = occurrences(docs).select("doc_id", "pos", "id")
-    named = places.join(roots.hint("shuffle_hash"), F.col("id") == F.col("_node"), "left")
+    lines = cut(occurrences(docs))
+    roots = line_components(lines.where(F.length("line") >= min_chars).select("id", "line"), threshold=threshold).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    named = lines.select("doc_id", "pos", "id").join(roots.hint("shuffle_hash"), F.col("id") == F.col("_node"), "left")
     classed = cut(named.select("doc_id", "pos", "id", F.coalesce("_root", "id").alias("class")))
+    discard(lines)
     spread = classed.groupBy("class", "doc_id").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
     # written before the join, so that the join stands alone in its stage and Spark can split a class's rows
     first = spread.groupBy("class").agg(F.min("doc_id").alias("_first_id"), F.min_by("pos", "doc_id").alias("_first_pos"), F.sum("n").alias("n"))

@@ -52,3 +52,23 @@ def test_marks_tell_near_from_nearly_near(spark):
     assert {p for p, s in alike.items() if s >= 0.8} <= passed
     below = [p for p, s in alike.items() if s < 0.77]
     assert len(below) > 300 and sum(p in passed for p in below) <= 0.01 * len(below)
+
+
+def test_met_pairs_are_not_marked(spark, make, monkeypatch):
+    """Two lines that are alike but not near, and share a bucket of two, have met there; neither is marked to be compared again."""
+    monkeypatch.setattr(lines, "bands", lambda found: found.select(F.lit(1).cast("bigint").alias("key"), "id").distinct())
+    marked, marks = [], lines.marks
+    monkeypatch.setattr(lines, "marks", lambda texts: marked.append(texts.count()) or marks(texts))
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    template = text(60)
+    found = lines.drop_duplicate_lines(make((1, template + text(40)), (2, template + text(40)))).collect()
+    assert [r.n_removed for r in found] == [0, 0] and marked == [0]
+
+
+def test_band_without_a_shingle_has_no_key(spark):
+    """Short lines of different words, most of whose bands are empty, share no key; equal ones have the same."""
+    rows = [(i, f"{i:04d}-{i * 7919 % 10007:05d}-") for i in range(200)]
+    found = lines.bands(spark.createDataFrame([*rows, rows[0]], "id bigint, line string"))
+    shared = found.groupBy("key").count().where("count > 1").count()
+    assert shared == 0 and {r.id for r in found.select("id").distinct().collect()} == set(range(200))
