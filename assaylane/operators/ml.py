@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -103,32 +105,49 @@ def feature_blocks(df: DataFrame, sequence: str, structure: Sequence[str], categ
     return features(features(sized, sequence, ["_length"], category, out="B2"), sequence, ["_length", *structure], category, out="B3").drop("_length")
 
 
-def compare_out_of_fold(df: DataFrame, fold: str, folds: Sequence[int], target: str, score: str, *, classify: bool = False, rounds: int = 50, depth: int = 5, seed: int = 0) -> DataFrame:
+def compare_out_of_fold(
+    df: DataFrame, fold: str, folds: Sequence[int], target: str, score: str, *, classify: bool = False, rounds: int = 300, depth: int = 5, min_rows: int = 1, bins: int = 255, seed: int = 0, parallelism: int = 10
+) -> DataFrame:
     """Rows with pred_B0 to pred_B3, each from the rows of other folds.
 
     B0 is the mean of the target (of a class: its share), B1 the raw score, negated where ``classify`` as a stronger binder has a lower one; B2 and B3
     are boosted trees over the vectors of these names, and for a class the probability of the positive one. Where the rows to
     learn from have one class, its share stands for B2 and B3. A fold without rows on either side gives none.
-    The rows are written once before the fits, each of which reads them several times, and with their predictions once after them.
+    A leaf has ``min_rows`` rows at least. The rows are written once before the fits, each of which reads them several times, and with their predictions once after them.
+    The fits need nothing of each other, and ``parallelism`` of them run at once: their jobs are many and short.
     """
-    out = None
     label = F.col(target).cast("double")
     rows = cut(df.withColumn("_y", label).where("_y is not null"))
+    options = {"labelCol": "_y", "maxIter": rounds, "stepSize": 0.05, "maxDepth": depth, "minInstancesPerNode": min_rows, "maxBins": bins, "seed": seed}
+    known, wanted = {}, []
     for f in folds:
-        train, test = rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)
-        mean, classes = train.agg(F.avg("_y"), F.count_distinct("_y")).first()
+        mean, classes = rows.where(F.col(fold) != f).agg(F.avg("_y"), F.count_distinct("_y")).first()
         if mean is None:
             continue
-        part = test.withColumns({"pred_B0": F.lit(float(mean)), "pred_B1": (-F.col(score) if classify else F.col(score)).cast("double")})
+        known[f] = float(mean)
+        if not classify or classes > 1:
+            wanted += [(f, block) for block in BLOCKS[2:]]
+
+    def fitted(which):
+        f, block = which
+        if classify:
+            model = GBTClassifier(**options, featuresCol=block, predictionCol="_class").setProbabilityCol("_p").setRawPredictionCol("_raw")
+        else:
+            model = GBTRegressor(**options, featuresCol=block, predictionCol=f"pred_{block}")
+        return model.fit(rows.where(F.col(fold) != f))
+
+    with ThreadPool(max(1, min(parallelism, len(wanted)))) as pool:
+        models = dict(zip(wanted, pool.map(inheritable_thread_target(rows.sparkSession)(fitted), wanted, chunksize=1), strict=True))
+    out = None
+    for f, mean in known.items():
+        part = rows.where(F.col(fold) == f).withColumns({"pred_B0": F.lit(mean), "pred_B1": (-F.col(score) if classify else F.col(score)).cast("double")})
         for block in BLOCKS[2:]:
-            options = {"labelCol": "_y", "featuresCol": block, "maxIter": rounds, "stepSize": 0.05, "maxDepth": depth, "seed": seed}
-            if classify and classes < 2:
-                part = part.withColumn(f"pred_{block}", F.lit(float(mean)))
+            if (f, block) not in models:
+                part = part.withColumn(f"pred_{block}", F.lit(mean))
             elif classify:
-                model = GBTClassifier(**options, predictionCol="_class").setProbabilityCol("_p").setRawPredictionCol("_raw").fit(train)
-                part = model.transform(part).withColumn(f"pred_{block}", vector_to_array("_p")[1]).drop("_p", "_raw", "_class")
+                part = models[f, block].transform(part).withColumn(f"pred_{block}", vector_to_array("_p")[1]).drop("_p", "_raw", "_class")
             else:
-                part = GBTRegressor(**options, predictionCol=f"pred_{block}").fit(train).transform(part)
+                part = models[f, block].transform(part)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return rows.where("false").withColumns({f"pred_{b}": F.lit(None).cast("double") for b in BLOCKS}).drop("_y")
