@@ -78,9 +78,9 @@ def _compared(spark, d, classify):
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").where("quality is not null")
     words = F.size(F.split(F.col("text"), " ")).cast("double")
     rows = docs.select("doc_id", "lang", "source", F.substring(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), 1, 12).alias("letters"), words.alias("words"), F.col("n_chars").cast("double").alias("chars"), (F.col("n_chars") / words).alias("score"), F.col("quality").alias("good"), F.log10("n_chars").alias("size"))
-    folds = ml.group_folds(rows, "source", 5 if classify else 3).select("source", "fold")
+    folds = ml.group_folds(rows, "source", 5).select("source", "fold")
     blocks = ml.feature_blocks(rows.where("chars > 0").join(folds, "source"), "letters", ["words"], "lang")
-    return ml.compare_out_of_fold(blocks, "fold", range(5 if classify else 3), "good" if classify else "size", "score", classify=classify, **(BOOSTING if classify else {"rounds": 3, "depth": 3}))
+    return ml.compare_out_of_fold(blocks, "fold", range(5), "good" if classify else "size", "score", classify=classify, **BOOSTING)
 
 
 @query("compare_classifiers")

@@ -34,6 +34,12 @@ def test_classifiers_are_whole(spark, sf_dir, monkeypatch):
     assert sorted(sizes) == WHOLE
 
 
+def test_regressors_are_whole(spark, sf_dir, monkeypatch):
+    sizes = asked(monkeypatch, GBTRegressor)
+    assert models.compare_regressors(spark, sf_dir).count() > 0
+    assert sorted(sizes) == WHOLE
+
+
 @pytest.mark.parametrize("classify", [False, True])
 def test_fits_at_once_equal_fits_in_turn(spark, classify):
     rng = random.Random(8)
